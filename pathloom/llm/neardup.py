@@ -35,3 +35,47 @@ def near_duplicates(texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFr
     a, b = _members(tokens, "a", "id_1"), _members(tokens, "d", "id_2")
     pairs = classes.join(a, ["a1", "a2"]).join(b.withColumnRenamed("tab", "tab_2"), ["d1", "d2"]).filter("tab = tab_2 and id_1 <> id_2")
     return pairs.select("tab", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
+
+
+def split_sides(manifest: DataFrame) -> DataFrame:
+    """Manifest records as (tab, id, side, text): side 0 is train, 1 validation or test."""
+    side = F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "test"), 1)
+    return manifest.select(F.lit("manifest").alias("tab"), F.col("global_index").cast("bigint").alias("id"), side.alias("side"), F.col("question").alias("text")).filter("side is not null and id is not null")
+
+
+#: Copies of the evaluation side in the join on equal bare text, so that one text in many training records is spread.
+SALTS = 4
+
+
+def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of a training and an evaluation record with the same bare text or words that agree to ``threshold``.
+
+    ``texts`` has (tab, id, side, text). Equal bare texts meet in a salted join on their 128-bit
+    hash. Near-duplicates meet by their bit fingerprints: code blocks (segments of the rare
+    words) are joined across sides only, pairs outside the Hamming radius that the threshold
+    allows are dropped, the rest is verified on the words.
+    """
+    tokens = written_tokens(texts)
+    rows = tokens.select("id", "side", "b1", "b2").distinct()
+    train = rows.filter("side = 0").select("b1", "b2", F.col("id").alias("id_t"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    held = rows.filter("side = 1").select("b1", "b2", F.col("id").alias("id_e"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    same = train.join(held, ["b1", "b2", "salt"]).select("id_t", "id_e")
+    classes = similar_classes(tokens, threshold, cross=True).select("a1", "a2", "d1", "d2")
+    a, b = _members(tokens, "a", "id_1").drop("tab"), _members(tokens, "d", "id_2").drop("tab")
+    near = classes.join(a, ["a1", "a2"]).join(b, ["d1", "d2"]).filter("id_1_side <> id_2_side").select("id_1", "id_2")
+    pairs = same.union(near).filter("id_t <> id_e")
+    return pairs.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b")).distinct()
+
+
+def overlap_report(manifest: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(split, source, records, overlapping, pairs): per evaluation split and source, how many records also stand in train.
+
+    The source is what precedes the last "/" of source_query_id, or "unknown" without one.
+    """
+    source = F.when(F.col("source_query_id").contains("/"), F.regexp_extract("source_query_id", "^(.*)/", 1)).otherwise("unknown")
+    records = manifest.filter(F.col("split").isin("validation", "test")).groupBy(F.col("global_index").cast("bigint").alias("id")).agg(F.min("split").alias("split"), F.min(source).alias("source"))
+    ends = pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        records.join(ends, "id", "left").groupBy("split", "source")
+        .agg(F.count(F.lit(1)).alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
+    )

@@ -7,15 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import neardup
+from . import copies, neardup, unify
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cross_split_pairs(neardup.split_sides(table(spark, sf_dir, "manifest")))
+
+
+def p1_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.overlap_report(table(spark, sf_dir, "manifest"), p1_found(spark, sf_dir))
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.questions(table(spark, sf_dir, "raw_question"), table(spark, sf_dir, "manifest"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(neardup.questions(table(spark, sf_dir, "raw_question"), table(spark, sf_dir, "manifest")))
+    return neardup.near_duplicates(_questions(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify.hidden_twins(_questions(spark, sf_dir))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.records(*(table(spark, sf_dir, t) for t in ("raw_question", "manifest", "raw_line")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.copy_pairs(_records(spark, sf_dir))
+
+
+def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.collapsed(copies.canonical_hashes(_records(spark, sf_dir)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found}
+    return {f.__name__: f for f in (p1_found, p1_overlap_report, p2_found, p4_found, p5_found, p5_collapsed)}
 
 
 def oracle_sql() -> dict[str, str]:
