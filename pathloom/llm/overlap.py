@@ -51,6 +51,8 @@ SCHEMES = ((1, 0), (15, 10), (150, 60), (600, 240), (2400, 960), (9600, 3840), (
 KEYS_PER_PARTITION = 3_000_000
 #: Classes with one key beyond which the run is cut into blocks of this many.
 RUN_BLOCK = 2048
+#: Classes with one key from which the run is compared as one dense block.
+DENSE = 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -257,6 +259,28 @@ def close_pairs(entry: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: Frac
     return ok & (a["side"] != b["side"]) if cross else ok
 
 
+def radius(n: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """An upper bound of the Hamming distance of a text with ``n`` words to any match, as one byte."""
+    return np.minimum(2 * n * (threshold.denominator - threshold.numerator) // threshold.denominator, 255).astype(np.uint8)
+
+
+def dense_pairs(code: np.ndarray, within: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j, j >= first, of one block whose first 128 fingerprint bits lie within the radius of i.
+
+    ``code`` has one row per fingerprint word. Rows of the block are compared in portions of bounded size.
+    """
+    m = code.shape[1]
+    rows = max(1, (1 << 19) // max(m, 1))
+    for lo in range(0, min(first, m) or m, rows):
+        hi = min(lo + rows, first or m)
+        d = np.bitwise_count(code[0, lo:hi, None] ^ code[0])
+        d += np.bitwise_count(code[1, lo:hi, None] ^ code[1])
+        i, j = np.nonzero(d <= within[lo:hi, None])
+        i += lo
+        keep = (i < j) & (j >= first)
+        yield i[keep], j[keep]
+
+
 def _runs(start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All index pairs within runs of equal keys, in bounded portions."""
     gap = 1
@@ -306,14 +330,38 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
         key, at = v >> np.uint64(32), (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
         size = np.diff(np.r_[start, len(key)])
-        big = size > RUN_BLOCK
-        found = [np.zeros((0, 3), np.int64)]
-        for i, j in _runs(start[~big], size[~big]):
-            i, j = at[i], at[j]
+        big, small = size > RUN_BLOCK, size < DENSE
+        code, within = np.ascontiguousarray(entry["sketch"].T), radius(entry["n"].astype(np.int64), threshold)
+        found, held, near_i, near_j = [np.zeros((0, 3), np.int64)], 0, [], []
+
+        def settle() -> None:
+            nonlocal held
+            i, j = np.concatenate(near_i), np.concatenate(near_j)
             ok = close_pairs(entry, i, j, threshold, cross)
             found.append(_pairs(entry, i[ok], j[ok]))
+            near_i.clear()
+            near_j.clear()
+            held = 0
             if sum(map(len, found)) > 1_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+
+        for i, j in _runs(start[small], size[small]):
+            i, j = at[i], at[j]
+            ok = np.bitwise_count(code[0][i] ^ code[0][j]) + np.bitwise_count(code[1][i] ^ code[1][j]) <= within[i]
+            near_i.append(i[ok])
+            near_j.append(j[ok])
+            settle()
+        for s0, m in zip(start[~big & ~small].tolist(), size[~big & ~small].tolist(), strict=True):
+            run = at[s0 : s0 + m]
+            for i, j in dense_pairs(code[:, run], within[run]):
+                if len(i):
+                    near_i.append(run[i])
+                    near_j.append(run[j])
+                    held += len(i)
+            if held > 500_000:
+                settle()
+        if near_i:
+            settle()
         u = np.unique(np.concatenate(found), axis=0)
         for lo in range(0, len(u), 100_000):
             x = u[lo : lo + 100_000]
@@ -343,8 +391,8 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
                 left = np.frombuffer(batch.column("left")[int(i)].as_py(), _ENTRY)
                 right = np.frombuffer(batch.column("right")[int(i)].as_py(), _ENTRY)
                 both = np.concatenate([left, right])
-                for lo in range(0, len(left), 256):
-                    x, y = (z.ravel() for z in np.meshgrid(np.arange(lo, min(lo + 256, len(left))), np.arange(len(left), len(both)), indexing="ij"))
+                within = radius(both["n"].astype(np.int64), threshold)
+                for x, y in dense_pairs(np.ascontiguousarray(both["sketch"].T), within, len(left)):
                     ok = close_pairs(both, x, y, threshold, cross)
                     u.append(_pairs(both, x[ok], y[ok]))
             u = np.unique(np.concatenate(u), axis=0)
