@@ -270,14 +270,16 @@ def dense_pairs(code: np.ndarray, within: np.ndarray, first: int = 0) -> Iterato
     ``code`` has one row per fingerprint word. Rows of the block are compared in portions of bounded size.
     """
     m = code.shape[1]
-    rows = max(1, (1 << 19) // max(m, 1))
-    for lo in range(0, min(first, m) or m, rows):
+    rows = max(1, min((1 << 18) // max(m, 1), max(32, m // 8)))
+    for lo in range(0, first or m, rows):
         hi = min(lo + rows, first or m)
-        d = np.bitwise_count(code[0, lo:hi, None] ^ code[0])
-        d += np.bitwise_count(code[1, lo:hi, None] ^ code[1])
+        right = max(lo, first)
+        d = np.bitwise_count(code[0, lo:hi, None] ^ code[0, right:])
+        d += np.bitwise_count(code[1, lo:hi, None] ^ code[1, right:])
         i, j = np.nonzero(d <= within[lo:hi, None])
         i += lo
-        keep = (i < j) & (j >= first)
+        j += right
+        keep = i < j
         yield i[keep], j[keep]
 
 
