@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table, written
-from . import copies, leakage, neardup, packing, sampling, unify
+from . import copies, leakage, neardup, packing, sampling, spam, unify
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,15 @@ def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(leakage.leaks(table(spark, sf_dir, "documents"), items), items)
 
 
-_ALL = (p1_found, p1_overlap_report, p2_found, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report)
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_scores(table(spark, sf_dir, "documents"))
+
+
+_ALL = (p1_found, p1_overlap_report, p2_found, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report, p8_found, p8_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
