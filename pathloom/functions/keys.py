@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = "[ \\t\\n\\r\\f\\x0B]+"
 
@@ -28,7 +29,7 @@ def digest_of(value) -> str:
     return hashlib.sha256(canonical_json(value).encode("ascii")).hexdigest()
 
 
-@F.pandas_udf("key string, sample_id string")
+@F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("sample_id", T.StringType())]))
 def _question_identity(text: pd.Series) -> pd.DataFrame:
     keys = [None if t is None else question_key_of(t) for t in text]
     return pd.DataFrame({"key": keys, "sample_id": [None if k is None else digest_of(k) for k in keys]})

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of ``plans`` with QUERIES and SQL.
+MODULES = ("ingest_queries", "record_queries")
+
+
+def _modules():
+    return [import_module(f"{__package__}.plans.{m}") for m in MODULES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for m in _modules() for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _modules() for k, v in m.SQL.items()}
