@@ -64,14 +64,14 @@ def moments(df: DataFrame, a: str, b: str) -> tuple[int, np.ndarray, np.ndarray,
         total = None
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.array(batch.column(c).to_pylist(), dtype=np.float64) for c in (a, b))
+                x, y = (np.array(batch.column(c).to_pylist(), dtype=np.float64) for c in ("__a", "__b"))
                 m = [np.array([len(x)]), x.sum(0), y.sum(0), (x.T @ x).ravel(), (y.T @ y).ravel(), (x.T @ y).ravel()]
                 total = m if total is None else [p + q for p, q in zip(total, m, strict=True)]
         if total is not None:
             flat = np.concatenate([t.astype(np.float64) for t in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), len(total[1]), np.int32))], names=["i", "v", "d"])
 
-    used = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"))
+    used = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("array<double>").alias("__a"), F.col(b).cast("array<double>").alias("__b"))
     got = used.mapInArrow(run, "i int, v double, d int").groupBy("i").agg(F.sum("v").alias("v"), F.max("d").alias("d")).orderBy("i").toPandas()
     if got.empty:
         z = np.zeros((0, 0))

@@ -1 +1 @@
-"""See the module docstrings."""
+"""Structured Streaming over record files: exactly-once resume, late rows, running quotas."""
