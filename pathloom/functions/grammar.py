@@ -22,36 +22,67 @@ SKIP, EXECUTE, REPEAT, IGNORED = 0, 1, 2, -100
 MAX_SEGMENT = 4
 
 
+def _runs(path: tuple[int, ...]) -> list[int]:
+    """Length of the ascending run that starts at each position."""
+    run = [1] * len(path)
+    for i in range(len(path) - 2, -1, -1):
+        if path[i + 1] == path[i] + 1:
+            run[i] = run[i + 1] + 1
+    return run
+
+
+def _reach(path: tuple[int, ...], depth: int, max_segment: int) -> list[set[int]]:
+    """Per number of layers done, the path positions that some program can have reached and go on from."""
+    run, n = _runs(path), len(path)
+    reach: list[set[int]] = [set() for _ in range(depth + 1)]
+    reach[0].add(0)
+    for layer in range(depth):
+        for at in reach[layer]:
+            fits = at < n and path[at] == layer
+            for size in range(1, min(max_segment, depth - layer) + 1):
+                for op, used in ((SKIP, 0), (EXECUTE, size), (REPEAT, 2 * size)):
+                    if op != SKIP and not (fits and run[at] >= size):
+                        continue
+                    if op == REPEAT and not (at + used <= n and path[at + size] == layer and run[at + size] >= size):
+                        continue
+                    to = at + used
+                    # what is left must start with a layer that is still to come
+                    if to == n or path[to] >= layer + size:
+                        reach[layer + size].add(to)
+    return reach
+
+
+@functools.lru_cache(maxsize=200_000)
+def representable(path: tuple[int, ...], depth: int, max_segment: int = MAX_SEGMENT) -> bool:
+    """Some program gives this path."""
+    return len(path) <= 2 * depth and len(path) in _reach(path, depth, max_segment)[depth]
+
+
 @functools.lru_cache(maxsize=100_000)
 def segments(path: tuple[int, ...], depth: int, max_segment: int = MAX_SEGMENT) -> tuple[tuple[int, int, int], ...] | None:
     """Canonical (start, size, operation) of a path, or None if no program gives it."""
     n = len(path)
     if n > 2 * depth:
         return None
-    # run[i]: length of the ascending run of path values that starts at i
-    run = [1] * n
-    for i in range(n - 2, -1, -1):
-        if path[i + 1] == path[i] + 1:
-            run[i] = run[i + 1] + 1
+    run, reach = _runs(path), _reach(path, depth, max_segment)
+    if n not in reach[depth]:
+        return None
     best: list[dict[int, tuple]] = [{} for _ in range(depth + 1)]
     best[depth][n] = (0, 0, 0, (), ())
     for layer in range(depth - 1, -1, -1):
-        here = best[layer]
-        for size in range(1, min(max_segment, depth - layer) + 1):
-            for done, (k, skips, repeats, sizes, ops) in best[layer + size].items():
+        for at in reach[layer]:
+            fits = at < n and path[at] == layer
+            for size in range(1, min(max_segment, depth - layer) + 1):
                 for op, used in ((SKIP, 0), (EXECUTE, size), (REPEAT, 2 * size)):
-                    at = done - used
-                    if at < 0:
+                    rest = best[layer + size].get(at + used)
+                    if rest is None or op != SKIP and not (fits and run[at] >= size):
                         continue
-                    if op != SKIP:
-                        starts = (at,) if op == EXECUTE else (at, at + size)
-                        if any(path[s] != layer or run[s] < size for s in starts):
-                            continue
+                    if op == REPEAT and not (path[at + size] == layer and run[at + size] >= size):
+                        continue
+                    k, skips, repeats, sizes, ops = rest
                     key = (k + 1, skips + (op == SKIP), repeats - (op == REPEAT), (-size, *sizes), (op, *ops))
-                    if at not in here or key[:4] < here[at][:4]:
-                        here[at] = key
-    if 0 not in best[0]:
-        return None
+                    if at not in best[layer] or key[:4] < best[layer][at][:4]:
+                        best[layer][at] = key
     out, at = [], 0
     for size, op in zip(best[0][0][3], best[0][0][4], strict=True):
         out.append((at, -size, op))
