@@ -7,7 +7,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .overlap import similar_classes, written_tokens
+from ..runtime import written
+from .overlap import similar_classes, verify, written_tokens
+from .simhash import fingerprint_pairs
 
 #: Share of the longer text's words that two near-duplicates have in common (TESTDATA.md).
 THRESHOLD = Fraction(7, 10)
@@ -51,16 +53,15 @@ def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD) -> Data
     """Pairs (id_a, id_b), id_a < id_b, of a training and an evaluation record with the same bare text or words that agree to ``threshold``.
 
     ``texts`` has (tab, id, side, text). Equal bare texts meet in a salted join on their 128-bit
-    hash. Near-duplicates meet by their bit fingerprints: code blocks (segments of the rare
-    words) are joined across sides only, pairs outside the Hamming radius that the threshold
-    allows are dropped, the rest is verified on the words.
+    hash. Near-duplicates meet by their bit fingerprints: permuted code blocks are joined
+    across the sides, pairs within the Hamming radius are verified on the words.
     """
     tokens = written_tokens(texts)
     rows = tokens.select("id", "side", "b1", "b2").distinct()
     train = rows.filter("side = 0").select("b1", "b2", F.col("id").alias("id_t"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     held = rows.filter("side = 1").select("b1", "b2", F.col("id").alias("id_e"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     same = train.join(held, ["b1", "b2", "salt"]).select("id_t", "id_e")
-    classes = similar_classes(tokens, threshold, cross=True).select("a1", "a2", "d1", "d2")
+    classes = verify(written(fingerprint_pairs(tokens), "pairs"), tokens, threshold).select("a1", "a2", "d1", "d2")
     a, b = _members(tokens, "a", "id_1").drop("tab"), _members(tokens, "d", "id_2").drop("tab")
     near = classes.join(a, ["a1", "a2"]).join(b, ["d1", "d2"]).filter("id_1_side <> id_2_side").select("id_1", "id_2")
     pairs = same.union(near).filter("id_t <> id_e")

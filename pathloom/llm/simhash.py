@@ -1,0 +1,200 @@
+"""Similar texts across two sides by bit fingerprints.
+
+Each text gets a similarity hash: one bit per random direction, the sign of the weighted sum
+over its words, rarer words weighing more. Two texts whose directions differ by an angle
+differ in that share of the bits. Blocks of the code under fixed permutations are joined
+across the sides, equal or with one bit different; pairs that share a block are kept if the
+whole codes lie within a Hamming radius, and are then verified on the words by the caller.
+
+Block length grows with the logarithm of the number of texts, so a block holds about as many
+texts at every size; the number of blocks follows from the wanted recall.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .overlap import RARITY_BITS, _flat, _spread, rarity
+
+BITS = 256
+#: Share of different bits up to which a pair must be found but for MISS, and up to which a found pair is passed on.
+ANGLE, MISS, RADIUS = 0.25, 1e-3, 0.31
+#: Codes of one partition; beyond it blocks are split by their leading bits.
+CODES_PER_PARTITION = 4_000_000
+_CODE = np.dtype([("c1", "<u8"), ("code", "<u8", (BITS // 64,)), ("side", "u1"), ("pad", "u1", (7,))])
+
+
+def block_length(texts: int) -> int:
+    """Bits of a block: about the logarithm of the number of texts."""
+    return int(np.clip(int(math.log2(max(texts, 2))) - 1, 8, 28))
+
+
+def block_count(length: int, angle: float = ANGLE, miss: float = MISS) -> int:
+    """Blocks needed so that a pair at ``angle`` shares none (up to one bit) with probability ``miss`` at most."""
+    hit = (1 - angle) ** length + length * angle * (1 - angle) ** (length - 1)
+    return math.ceil(math.log(miss) / math.log1p(-hit))
+
+
+def block_bits(count: int, length: int) -> np.ndarray:
+    """(count, length): the code bits of each block, from fixed permutations of all bits."""
+    rng, order = np.random.Generator(np.random.PCG64(11)), []
+    while len(order) < count * length:
+        order.extend(rng.permutation(BITS).tolist())
+    return np.array(order[: count * length]).reshape(count, length)
+
+
+def codes(tok: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(texts, BITS / 64) similarity hashes of concatenated tokens."""
+    df = np.maximum(count[tok >> np.uint32(32 - RARITY_BITS)], 1).astype(np.float64)
+    weight = np.sqrt(np.log1p(count.sum(dtype=np.int64) / df)).astype(np.float32)
+    out = np.empty((len(n), BITS // 64), np.uint64)
+    end = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + 50_000, side="right")))
+        a, b = (end[lo - 1] if lo else 0), end[hi - 1]
+        own, at = np.unique(tok[a:b], return_inverse=True)
+        h = np.stack([_spread(own.astype(np.uint64) + np.uint64(((k + 1) << 33) + 5)) for k in range(BITS // 64)], axis=1)
+        sign = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
+        total = np.add.reduceat(sign[at] * weight[a:b, None], (end[lo:hi] - n[lo:hi]) - a, axis=0)
+        out[lo:hi] = np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64)
+        lo = hi
+    return out
+
+
+def block_keys(bits: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The block value of each code; ``bits`` is the unpacked code matrix."""
+    return bits[:, which].astype(np.int64) @ (1 << np.arange(len(which), dtype=np.int64))
+
+
+def _unpacked(code: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, bitorder="little")
+
+
+def _destinations(bits: np.ndarray, side: np.ndarray, blocks: np.ndarray, shard_bits: int, partitions: int) -> list[np.ndarray]:
+    """Per partition the texts that it needs. A block (t, leading bits) belongs to one partition; side 1 also goes where one leading bit differs."""
+    if not shard_bits:
+        return [np.arange(len(bits))] * partitions
+    length, out = blocks.shape[1], [[] for _ in range(partitions)]
+    for t, which in enumerate(blocks):
+        lead = block_keys(bits, which) >> (length - shard_bits)
+        for flip in (0, *(1 << k for k in range(shard_bits))):
+            rows = np.arange(len(bits)) if flip == 0 else np.nonzero(side == 1)[0]
+            part = ((t << shard_bits) + (lead[rows] ^ flip)) % partitions
+            for p in np.unique(part):
+                out[p].append(rows[part == p])
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
+
+
+def packed_codes(tokens: DataFrame, count: np.ndarray, blocks: np.ndarray, shard_bits: int, partitions: int) -> DataFrame:
+    """Packed rows (p, codes): one fingerprint per class and side of a task, for every partition that needs it."""
+    shared = tokens.sparkSession.sparkContext.broadcast(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            c1, side = batch.column("c1").to_numpy(), batch.column("side").to_numpy()
+            new = []
+            for i, x in enumerate(zip(c1.tolist(), side.tolist(), strict=True)):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            if not new:
+                continue
+            new = np.array(new)
+            rec = np.zeros(len(new), _CODE)
+            rec["c1"], rec["side"] = c1[new].view(np.uint64), side[new]
+            rec["code"] = codes(_flat(batch.column("tok").take(pa.array(new))), batch.column("n").to_numpy()[new].astype(np.int64), shared.value)
+            to = _destinations(_unpacked(rec["code"]), rec["side"], blocks, shard_bits, partitions)
+            rows = [(p, rec[x].tobytes()) for p, x in enumerate(to) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "codes"])
+
+    return tokens.select("side", "c1", "n", "tok").mapInArrow(run, "p int, codes binary")
+
+
+def near_codes(train: np.ndarray, held: np.ndarray, own: list[np.ndarray], shard: tuple[int, int, int, list[int]] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(train, held) index pairs that share a block of ``own`` up to one bit and lie within the radius, block by block.
+
+    A long block is worked off in portions, so memory doesn't grow with it.
+    """
+    a, b = np.ascontiguousarray(train["code"].T), np.ascontiguousarray(held["code"].T)
+    bits_a, bits_b = _unpacked(train["code"]), _unpacked(held["code"])
+    for t, which in own:
+        length = len(which)
+        ka, kb = block_keys(bits_a, which), block_keys(bits_b, which)
+        keep = None
+        if shard:
+            shard_bits, partitions, p, _ = shard
+            keep = np.nonzero(((t << shard_bits) + (ka >> (length - shard_bits))) % partitions == p)[0]
+            ka = ka[keep]
+        order = np.argsort(ka, kind="stable")
+        sorted_keys = ka[order]
+        rows = order if keep is None else keep[order]
+        for flip in (0, *(1 << k for k in range(length))):
+            want = kb ^ flip
+            lo, hi = np.searchsorted(sorted_keys, want, "left"), np.searchsorted(sorted_keys, want, "right")
+            size = hi - lo
+            j_all = np.nonzero(size)[0]
+            cum = np.cumsum(size[j_all])
+            start = 0
+            while start < len(j_all):
+                base = cum[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(cum, base + (1 << 20), "right")))
+                js = j_all[start:end]
+                k = size[js]
+                j = np.repeat(js, k)
+                i = rows[np.repeat(lo[js], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+                far = np.bitwise_count(a[0][i] ^ b[0][j]).astype(np.uint16)
+                far += np.bitwise_count(a[1][i] ^ b[1][j])
+                ok = far <= radius
+                i, j, far = i[ok], j[ok], far[ok]
+                far += np.bitwise_count(a[2][i] ^ b[2][j])
+                far += np.bitwise_count(a[3][i] ^ b[3][j])
+                ok = (far <= radius) & (train["c1"][i] != held["c1"][j])
+                if ok.any():
+                    yield i[ok], j[ok]
+                start = end
+
+
+def fingerprint_pairs(tokens: DataFrame) -> DataFrame:
+    """(tab, ca, cb): classes of written ``tokens`` of different sides (0 and 1) whose codes are near; a pair comes once."""
+    count = rarity(tokens)
+    texts = tokens.count()
+    length = block_length(texts)
+    blocks = block_bits(block_count(length), length)
+    cores = tokens.sparkSession.sparkContext.defaultParallelism
+    shard_bits = max(0, math.ceil(math.log2(max(1, texts / CODES_PER_PARTITION))))
+    partitions = max(2 * cores, len(blocks) << shard_bits) if shard_bits else max(2 * cores, 1)
+    partitions = min(partitions, len(blocks)) if not shard_bits else partitions
+    radius = int(RADIUS * BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for p, x in zip(batch.column("p").to_pylist(), batch.column("codes").to_pylist(), strict=True):
+                parts.setdefault(p, []).append(x)
+        for p in sorted(parts):
+            rec = np.frombuffer(b"".join(parts.pop(p)), _CODE)
+            rec = rec[np.unique(np.stack([rec["c1"], rec["side"].astype(np.uint64)], axis=1), axis=0, return_index=True)[1]]
+            train, held = rec[rec["side"] == 0], rec[rec["side"] == 1]
+            own = [(t, w) for t, w in enumerate(blocks) if shard_bits or t % partitions == p]
+            shard = (shard_bits, partitions, p, []) if shard_bits else None
+            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+            for i, j in near_codes(train, held, own, shard, radius):
+                x, y = train["c1"][i].view(np.int64), held["c1"][j].view(np.int64)
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+                if len(found) > 500:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+            u = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u[:, 0]), pa.array(u[:, 1])], names=["tab", "ca", "cb"])
+
+    packed = packed_codes(tokens, count, blocks, shard_bits, partitions)
+    return packed.repartitionById(partitions, F.col("p")).mapInArrow(run, "tab int, ca bigint, cb bigint").distinct()
