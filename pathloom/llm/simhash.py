@@ -24,7 +24,7 @@ from .overlap import RARITY_BITS, _flat, _spread, rarity
 
 BITS = 256
 #: Share of different bits up to which a pair must be found but for MISS, and up to which a found pair is passed on.
-ANGLE, MISS, RADIUS = 0.25, 1e-3, 0.31
+ANGLE, MISS, RADIUS = 0.25, 5e-3, 0.31
 #: Codes of one partition; beyond it blocks are split by their leading bits.
 CODES_PER_PARTITION = 4_000_000
 _CODE = np.dtype([("c1", "<u8"), ("code", "<u8", (BITS // 64,)), ("side", "u1"), ("pad", "u1", (7,))])
@@ -57,13 +57,14 @@ def codes(tok: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
     end = np.cumsum(n)
     lo = 0
     while lo < len(n):
-        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + 50_000, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + 8_000, side="right")))
         a, b = (end[lo - 1] if lo else 0), end[hi - 1]
         own, at = np.unique(tok[a:b], return_inverse=True)
         h = np.stack([_spread(own.astype(np.uint64) + np.uint64(((k + 1) << 33) + 5)) for k in range(BITS // 64)], axis=1)
         sign = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
-        total = np.add.reduceat(sign[at] * weight[a:b, None], (end[lo:hi] - n[lo:hi]) - a, axis=0)
-        out[lo:hi] = np.packbits(total > 0, axis=1, bitorder="little").view(np.uint64)
+        share = np.zeros((hi - lo, len(own)), np.float32)
+        share[np.repeat(np.arange(hi - lo), n[lo:hi]), at] = weight[a:b]  # tokens of a text are distinct
+        out[lo:hi] = np.packbits(share @ sign > 0, axis=1, bitorder="little").view(np.uint64)
         lo = hi
     return out
 
@@ -136,31 +137,34 @@ def near_codes(train: np.ndarray, held: np.ndarray, own: list[np.ndarray], shard
             keep = np.nonzero(((t << shard_bits) + (ka >> (length - shard_bits))) % partitions == p)[0]
             ka = ka[keep]
         order = np.argsort(ka, kind="stable")
-        sorted_keys = ka[order]
         rows = order if keep is None else keep[order]
+        sorted_a = a[:, rows]
+        if length <= 22:  # a table of block starts; longer blocks are looked up by bisection
+            starts = np.concatenate([[0], np.cumsum(np.bincount(ka, minlength=1 << length))])
+        else:
+            starts, sorted_keys = None, ka[order]
         for flip in (0, *(1 << k for k in range(length))):
             want = kb ^ flip
-            lo, hi = np.searchsorted(sorted_keys, want, "left"), np.searchsorted(sorted_keys, want, "right")
+            lo, hi = (starts[want], starts[want + 1]) if starts is not None else (np.searchsorted(sorted_keys, want, "left"), np.searchsorted(sorted_keys, want, "right"))
             size = hi - lo
             j_all = np.nonzero(size)[0]
             cum = np.cumsum(size[j_all])
             start = 0
             while start < len(j_all):
                 base = cum[start - 1] if start else 0
-                end = max(start + 1, int(np.searchsorted(cum, base + (1 << 20), "right")))
+                end = max(start + 1, int(np.searchsorted(cum, base + (1 << 18), "right")))
                 js = j_all[start:end]
                 k = size[js]
                 j = np.repeat(js, k)
-                i = rows[np.repeat(lo[js], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
-                far = np.bitwise_count(a[0][i] ^ b[0][j]).astype(np.uint16)
-                far += np.bitwise_count(a[1][i] ^ b[1][j])
-                ok = far <= radius
-                i, j, far = i[ok], j[ok], far[ok]
-                far += np.bitwise_count(a[2][i] ^ b[2][j])
-                far += np.bitwise_count(a[3][i] ^ b[3][j])
-                ok = (far <= radius) & (train["c1"][i] != held["c1"][j])
-                if ok.any():
-                    yield i[ok], j[ok]
+                i = np.arange(k.sum()) + np.repeat(lo[js] - (cum[start:end] - base - k), k)
+                far = np.bitwise_count(sorted_a[0][i] ^ b[0][j]).astype(np.uint16)
+                for w in range(1, len(b)):
+                    far += np.bitwise_count(sorted_a[w][i] ^ b[w][j])
+                ok = np.nonzero(far <= radius)[0]
+                if len(ok):
+                    i, j = rows[i[ok]], j[ok]
+                    other = train["c1"][i] != held["c1"][j]
+                    yield i[other], j[other]
                 start = end
 
 
