@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table, written
-from . import copies, leakage, neardup, packing, sampling, spam, unify
+from . import copies, groups, leakage, neardup, packing, sampling, spam, unify
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_questions(spark, sf_dir))
 
 
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.near_duplicate_groups(_questions(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.hidden_twins(_questions(spark, sf_dir))
 
@@ -92,7 +96,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_scores(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_overlap_report, p2_found, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report, p8_found, p8_scores)
+_ALL = (p1_found, p1_overlap_report, p2_found, p2_groups, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report, p8_found, p8_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
