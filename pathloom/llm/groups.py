@@ -39,8 +39,9 @@ def near_duplicate_groups(texts: DataFrame, threshold: Fraction = THRESHOLD) ->
     """
     tokens = written_tokens(texts)
     pairs = written(similar_classes(tokens, threshold).filter("x1 <> y1 or x2 <> y2").select("a1", "a2", "d1", "d2").distinct(), "links")
-    node = lambda p: F.concat_ws(":", F.hex(p + "1"), F.hex(p + "2"))
-    edges = pairs.select(node("a").alias("a"), node("d").alias("b"))
+    node = lambda p: F.concat_ws(":", "tab", F.hex(p + "1"), F.hex(p + "2"))
+    inside = lambda p: tokens.select("tab", F.col("c1").alias(p + "1"), F.col("c2").alias(p + "2")).distinct()
+    edges = written(pairs.join(inside("a"), ["a1", "a2"]).join(inside("d"), ["tab", "d1", "d2"]).select(node("a").alias("a"), node("d").alias("b")), "edges")
     found = components(edges)
     links = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     members = tokens.select("tab", "id", node("c").alias("node")).distinct().join(found.join(links, "node"), "node")
