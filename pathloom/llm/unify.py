@@ -47,7 +47,9 @@ def compositions(spark: SparkSession) -> DataFrame:
 
 
 def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """``keys`` and ``form`` of each row of ``df``; ``keys`` must identify a row.
+    """``keys`` and ``form`` of each row of ``df``; rows with the same keys must have the same text.
+
+    Repeated rows may come out once or more often.
 
     Null stays null; empty, blank and wholly invisible texts become the empty string.
     Other columns of ``df`` are ignored, so their names can't clash.
@@ -58,7 +60,8 @@ def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     spark = df.sparkSession
     plain = src.filter(~dirty).select(*ks, evened(F.col("text_in")).alias("form"))
 
-    spread = src.filter(dirty).repartition(parallelism(spark), *ks)
+    # the same partitioning serves the removal of repeated rows and both regroupings
+    spread = src.filter(dirty).repartition(parallelism(spark), *ks).groupBy(*ks).agg(F.first("text_in").alias("text_in"))
     piece = spread.select(*ks, F.posexplode(F.regexp_extract_all("text_in", F.lit(PIECE), F.lit(0))).alias("pos", "piece"))
     point = piece.select(*ks, "pos", F.posexplode(F.when(F.col("piece").rlike("[^\\t\\n\\r -~]"), F.regexp_extract_all("piece", F.lit("(?s)."), F.lit(0))).otherwise(F.array("piece"))).alias("sub", "ch"))
     own = F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc")))
