@@ -101,7 +101,7 @@ def date_time(text: Column) -> Column:
     two = lambda x: F.lpad(x, 2, "0")
     day = F.coalesce(
         *[
-            F.date_format(F.to_date(F.when(t.rlike(p), F.concat_ws("-", *[F.regexp_extract(t, p, i) if k == 4 else two(F.regexp_extract(t, p, i)) for i, k in order])), "yyyy-MM-dd"), "yyyy-MM-dd")
+            F.date_format(F.try_to_date(F.when(t.rlike(p), F.concat_ws("-", *[F.regexp_extract(t, p, i) if k == 4 else two(F.regexp_extract(t, p, i)) for i, k in order])), "yyyy-MM-dd"), "yyyy-MM-dd")
             for p, order in (
                 (r"^(\d{4})-(\d{1,2})-(\d{1,2})(?: .*)?$", ((1, 4), (2, 2), (3, 2))),
                 (r"^(0?[1-9]|[12]\d|3[01])/(0?[1-9]|1[0-2])/(\d{4})(?: .*)?$", ((3, 4), (2, 2), (1, 2))),
