@@ -54,3 +54,32 @@ def model_depth(name: Column) -> Column:
     for part, depth in reversed(known):
         out = F.when(n.contains(part), depth).otherwise(out)
     return out
+
+
+#: Answer kinds of the contest prompts, in the order in which they are looked for (fixed values).
+ANSWER_KINDS = (("Numerical", "a numerical value"), ("Expression", "an expression"), ("Equation", "an equation"), ("Interval", "an interval"))
+
+
+def answer_kind(kind: Column) -> Column:
+    """The phrase for one answer kind; null for unknown ones."""
+    out = F.lit(None).cast("string")
+    for name, phrase in reversed(ANSWER_KINDS):
+        out = F.when(F.substring_index(kind, "-", 1).contains(name), phrase).otherwise(out)
+    return out
+
+
+def contest_prompt(kind: Column, multiple: Column, unit: Column, subject: str = "Math") -> Column:
+    """The instruction of an open-ended contest problem: what kind of answer, how many, with or without unit."""
+    kinds = F.transform(F.split(kind, ","), answer_kind)
+    several = F.when(F.size(F.array_distinct(kinds)) == 1, F.concat(F.lit("The problem has multiple answers, each of them should be "), kinds[0], F.lit(". "))).otherwise(
+        F.concat(F.lit("The problem has multiple answers, with the answers in order being "), F.array_join(kinds, ", "), F.lit(". "))
+    )
+    said = F.when(kind.contains("Need_human_evaluate") | kind.contains("Tuple"), "").when(multiple, several).otherwise(F.concat(F.lit("The answer of The problem should be "), answer_kind(kind), F.lit(". ")))
+    with_unit = F.coalesce(unit != "", F.lit(False))
+    box = F.concat(F.when(multiple, "\\boxed{multiple answers connected with commas}").otherwise("\\boxed{answer}"), F.when(with_unit, "(unit)").otherwise(""))
+    note = F.when(with_unit, ", note that the unit of the answer should not be included in \\boxed{}").otherwise("")
+    return F.concat(
+        F.lit(f"The following is an open-ended problem from an International {subject} competition. "), said,
+        F.lit("Please calculate the answer according to the given requirements and the information provided. Please use LaTeX format to represent the variables and formulas used in the solution process and results. "),
+        F.lit('Please end your solution with "So the final answer is '), box, F.lit('." and give the result explicitly'), note, F.lit("."),
+    )

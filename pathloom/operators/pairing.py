@@ -103,8 +103,8 @@ def folded(operation: np.ndarray, edit: np.ndarray, length: np.ndarray, tie: np.
 def assigned(pairs: DataFrame, group: str) -> DataFrame:
     """The cheapest pairing of each group's correct paths with distinct wrong ones, by the distance triple then evaluation order.
 
-    One group is one report of at most MOST paths a side; larger ones are refused. Groups
-    with fewer wrong than correct paths are refused too.
+    One group is one report of at most MOST paths a side; larger ones are refused. A group
+    with fewer wrong than correct paths has no one-to-one pairing and gives no rows.
     """
     schema = f"{group} int, correct_id string, wrong_id string, operation_distance int, edit_distance int, length_difference int"
 
@@ -113,6 +113,8 @@ def assigned(pairs: DataFrame, group: str) -> DataFrame:
         rows, cols = list(dict.fromkeys(pdf["correct_id"])), list(dict.fromkeys(pdf.sort_values(["tie", "wrong_id"])["wrong_id"]))
         if max(len(rows), len(cols)) > MOST:
             raise ValueError(f"more than {MOST} paths in one group")
+        if len(rows) > len(cols):
+            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in ((group, "int32"), ("correct_id", object), ("wrong_id", object), ("operation_distance", "int32"), ("edit_distance", "int32"), ("length_difference", "int32"))})
         wide = lambda c: pdf.pivot(index="correct_id", columns="wrong_id", values=c).loc[rows, cols].to_numpy()
         op, ed, le = wide("operation_distance"), wide("edit_distance"), wide("length_difference")
         tie = wide("tie")[0]

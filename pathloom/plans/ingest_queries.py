@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import plain_key
 from ..operators import ingest, ranking
 from ..runtime import table
-from ..sources import readers
+from ..sources import datasets, readers
 
 _KEY = "trim(regexp_replace(query, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' ')"
 _OK = "regexp_matches(coalesce(query, ''), '\\S') AND regexp_matches(coalesce(gt_ans, ''), '\\S')"
@@ -107,13 +107,19 @@ def source_filter_spec(spark, sf_dir):
     return readers.filtered(rows, filters, "raw_id")
 
 
+def source_datasets(spark, sf_dir):
+    raw = table(spark, sf_dir, "raw_question")
+    out = datasets.load({"dart-math/train": raw, "gsm8k-fix/test;ref_ans=int": raw.withColumn("query_metadata", F.struct(F.col("query_metadata.level").alias("n_step")))})
+    return out.select("dataset", "query", "ref_ans", F.coalesce("n_step", F.lit(-1)).alias("n_step"))
+
+
 def source_inventory(spark, sf_dir):
     return readers.file_inventory(spark, sf_dir, "*.parquet")
 
 
 QUERIES = (
     ingest_rejects, ingest_dedup_first, ingest_dedup_last, ingest_conflicts, ingest_id_conflicts, ingest_hash_split, ingest_hash_topn, ingest_exclude_run, ingest_leakage_overlap,
-    ingest_one_per_difficulty, ingest_manifest, ingest_latest_manifest, manifest_violations, source_strict_lines, source_unified, source_filter_spec, source_inventory,
+    ingest_one_per_difficulty, ingest_manifest, ingest_latest_manifest, manifest_violations, source_strict_lines, source_unified, source_filter_spec, source_datasets, source_inventory,
 )
 
 _DEDUP = "WITH {a} SELECT raw_id, key, gt_ans, level, query_id FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY raw_id {dir}) = 1"
@@ -154,6 +160,9 @@ SQL = {
         SELECT 'raw_question' AS dataset, query, gt_ans AS ref_ans, query_metadata.level::VARCHAR AS level, NULL::VARCHAR AS topic, query_id AS source_id FROM raw_question
         UNION ALL SELECT 'raw_line', payload->>'$.query', payload->>'$.gt_ans', payload->>'$.query_metadata.level', payload->>'$.query_metadata.topic', payload->>'$.query_id'
         FROM raw_line WHERE json_valid(payload) AND payload <> ''""",
+    "source_datasets": """
+        SELECT 'dart-math/train' AS dataset, query, gt_ans AS ref_ans, -1 AS n_step FROM raw_question
+        UNION ALL SELECT 'gsm8k-fix/test', query, gt_ans, coalesce(query_metadata.level, -1) FROM raw_question WHERE coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)""",
     "source_filter_spec": """
         SELECT raw_id, query_metadata.level AS level, gt_ans AS ref_ans FROM raw_question
         WHERE query_metadata.level IN (2, 4) AND coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)

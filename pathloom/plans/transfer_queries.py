@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import geometry, transfer
+from ..operators import geometry, reports, transfer
 from ..runtime import table
 
 
@@ -104,8 +104,20 @@ def geometry_last(spark, sf_dir):
     return p.select("label", F.round(geometry.norm(F.col("vec")), 5).alias("norm"), F.size("vec").alias("dim"))
 
 
+def transfer_programs(spark, sf_dir):
+    return reports.capture_programs(_scores(spark, sf_dir), _candidates(spark, sf_dir)).select("program_id", "source", "length", "place")
+
+
+def geometry_layerwise(spark, sf_dir):
+    """Two stand-in programs whose slots are quarters of the vectors; the second one's slots are in another order."""
+    e = table(spark, sf_dir, "embeddings").filter("embedding is not null")
+    slots = F.explode(F.array(*[F.struct(F.lit(p).alias("program_id"), F.lit(s).alias("slot"), F.slice("embedding", 1 + 16 * part, 16).alias("vec")) for p, order in (("baseline", (0, 1, 2, 3)), ("turned", (3, 1, 0, 2))) for s, part in enumerate(order)]))
+    v = e.select(F.col("vec_id").cast("string").alias("sample_id"), slots.alias("x")).select("x.program_id", "x.slot", "sample_id", "x.vec")
+    return reports.layerwise_overlap(reports.slot_neighbours(v, 10), 10)
+
+
 QUERIES = (
-    transfer_metrics, transfer_by_difficulty, transfer_select, transfer_select_by_difficulty, transfer_bootstrap, transfer_verdict, transfer_single_layer, split_counts_pivot, outcome_transitions,
+    transfer_programs, geometry_layerwise, transfer_metrics, transfer_by_difficulty, transfer_select, transfer_select_by_difficulty, transfer_bootstrap, transfer_verdict, transfer_single_layer, split_counts_pivot, outcome_transitions,
     geometry_groups, geometry_knn, geometry_mutual_knn, geometry_cka, geometry_norm, geometry_plane, geometry_pooled, geometry_last,
 )
 
