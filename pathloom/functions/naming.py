@@ -39,7 +39,7 @@ def _pieces(rules, options: dict) -> list[str]:
 
 def run_name(options: dict, evaluation: bool = False) -> str:
     """The suffix that tells runs with different options apart."""
-    lead = [f"beta{options['lenpref_beta']}"] if options.get("policy_mode") == "polar_lenpref" else []
+    lead = [f"beta{options['length_beta']}"] if options.get("prefers_short") else []
     parts = _pieces(_STABILITY, options) + lead + (_pieces(_EVALUATION, options) if evaluation else []) + _pieces(_TRAINING, options)
     return "".join("_" + p for p in parts)
 

@@ -18,7 +18,7 @@ def capture_programs(scores: DataFrame, candidates: DataFrame, most: int = 8, de
     c = candidates.select("candidate_id", "path", "length")
     m = metrics(scores)
     best = selected(m, candidates).select("candidate_id", F.struct(F.lit(0).alias("stage"), F.lit(0).alias("n")).alias("seq"), F.lit("universal_validation_selected").alias("source"))
-    per = selected_by_difficulty(by_difficulty(scores), candidates).select("candidate_id", F.struct(F.lit(1).alias("stage"), F.col("difficulty").alias("n")).alias("seq"), F.concat(F.lit("DM-"), F.col("difficulty").cast("string"), F.lit("_validation_selected")).alias("source"))
+    per = selected_by_difficulty(by_difficulty(scores), candidates).select("candidate_id", F.struct(F.lit(1).alias("stage"), F.col("difficulty").alias("n")).alias("seq"), F.concat(F.lit("difficulty_"), F.col("difficulty").cast("string"), F.lit("_validation_selected")).alias("source"))
     rest = m.filter("split = 'validation'").select("candidate_id", F.struct(F.lit(2).alias("stage"), F.lit(0).alias("n")).alias("seq"), F.lit("validation_ranked_fill").alias("source"))
     first = best.union(per).union(rest).groupBy("candidate_id").agg(F.min(F.struct("seq", "source")).alias("s"))
     order = m.filter("split = 'validation'").select("candidate_id", (-F.col("worst_group_gain")).alias("w"), (-F.col("macro_gain")).alias("g"))

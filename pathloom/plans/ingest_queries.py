@@ -109,7 +109,7 @@ def source_filter_spec(spark, sf_dir):
 
 def source_datasets(spark, sf_dir):
     raw = table(spark, sf_dir, "raw_question")
-    out = datasets.load({"dart-math/train": raw, "gsm8k-fix/test;ref_ans=int": raw.withColumn("query_metadata", F.struct(F.col("query_metadata.level").alias("n_step")))})
+    out = datasets.load({"pooled-math/train": raw, "gsm8k-fix/test;ref_ans=int": raw.withColumn("query_metadata", F.struct(F.col("query_metadata.level").alias("n_step")))})
     return out.select("dataset", "query", "ref_ans", F.coalesce("n_step", F.lit(-1)).alias("n_step"))
 
 
@@ -161,7 +161,7 @@ SQL = {
         UNION ALL SELECT 'raw_line', payload->>'$.query', payload->>'$.gt_ans', payload->>'$.query_metadata.level', payload->>'$.query_metadata.topic', payload->>'$.query_id'
         FROM raw_line WHERE json_valid(payload) AND payload <> ''""",
     "source_datasets": """
-        SELECT 'dart-math/train' AS dataset, query, gt_ans AS ref_ans, -1 AS n_step FROM raw_question
+        SELECT 'pooled-math/train' AS dataset, query, gt_ans AS ref_ans, -1 AS n_step FROM raw_question
         UNION ALL SELECT 'gsm8k-fix/test', query, gt_ans, coalesce(query_metadata.level, -1) FROM raw_question WHERE coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)""",
     "source_filter_spec": """
         SELECT raw_id, query_metadata.level AS level, gt_ans AS ref_ans FROM raw_question

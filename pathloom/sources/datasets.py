@@ -26,7 +26,7 @@ MAPPINGS: dict[str, Callable[[], dict[str, Column]]] = {
     "math": lambda: {"query": F.col("problem"), "ref_ans": judge.boxed_solution(F.col("solution")), "level": judge.level_number(F.col("level"), F.col("problem")).cast("string"), "domain": F.replace("type", F.lit(" "), F.lit(""))},
     "gsm8k": lambda: {"query": F.col("question"), "ref_ans": _last("answer", "\n#### ")},
     "gsm8k-fix": lambda: {"query": F.col("query"), "ref_ans": F.col("gt_ans"), "n_step": F.col("query_metadata.n_step")},
-    "dart-math": lambda: {"query": F.col("query"), "ref_ans": F.col("gt_ans")},
+    "pooled-math": lambda: {"query": F.col("query"), "ref_ans": F.col("gt_ans")},
     "mwpbench": lambda: {"query": F.col("question"), "ref_ans": F.col("answer"), "source": _last("data_source", "\\."), "domain": _last("data_topic", "\\.")},
     "deepmind-mathematics": lambda: {"query": F.col("question"), "ref_ans": F.col("answer")},
     "olympiadbench": lambda: {
