@@ -265,21 +265,26 @@ def radius(n: np.ndarray, threshold: Fraction) -> np.ndarray:
 
 
 def dense_pairs(code: np.ndarray, within: np.ndarray, first: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j, j >= first, of one block whose first 128 fingerprint bits lie within the radius of i.
+    """Index pairs i < j, j >= first, of one block whose fingerprints lie within the radius of i.
 
     ``code`` has one row per fingerprint word. Rows of the block are compared in portions of bounded size.
     """
     m = code.shape[1]
-    rows = max(1, min((1 << 18) // max(m, 1), max(32, m // 8)))
+    rows = max(1, min((1 << 18) // max(m, 1), max(128, m // 8)))
     for lo in range(0, first or m, rows):
         hi = min(lo + rows, first or m)
         right = max(lo, first)
         d = np.bitwise_count(code[0, lo:hi, None] ^ code[0, right:])
         d += np.bitwise_count(code[1, lo:hi, None] ^ code[1, right:])
         i, j = np.nonzero(d <= within[lo:hi, None])
+        if not len(i):
+            continue
+        far = d[i, j]
         i += lo
         j += right
-        keep = i < j
+        for word in code[2:]:
+            far = far + np.bitwise_count(word[i] ^ word[j])
+        keep = (far <= within[i]) & (i < j)
         yield i[keep], j[keep]
 
 
@@ -328,7 +333,9 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
         number = np.empty(len(entry), np.int64)
         number[same] = np.cumsum(first) - 1
         entry = s[first]
-        v = np.unique((key.astype(np.uint64) << np.uint64(32)) | number[at].astype(np.uint64))
+        v = (key.astype(np.uint64) << np.uint64(32)) | number[at].astype(np.uint64)
+        v.sort()
+        v = v[np.r_[True, v[1:] != v[:-1]]]
         key, at = v >> np.uint64(32), (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
         start = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
         size = np.diff(np.r_[start, len(key)])
@@ -338,7 +345,9 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
 
         def settle() -> None:
             nonlocal held
-            i, j = np.concatenate(near_i), np.concatenate(near_j)
+            pair = np.concatenate(near_i) * len(entry) + np.concatenate(near_j)
+            pair.sort()
+            i, j = np.divmod(pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair, len(entry))
             ok = close_pairs(entry, i, j, threshold, cross)
             found.append(_pairs(entry, i[ok], j[ok]))
             near_i.clear()
@@ -349,10 +358,15 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
 
         for i, j in _runs(start[small], size[small]):
             i, j = at[i], at[j]
-            ok = np.bitwise_count(code[0][i] ^ code[0][j]) + np.bitwise_count(code[1][i] ^ code[1][j]) <= within[i]
+            far = np.bitwise_count(code[0][i] ^ code[0][j])
+            for word in code[1:]:
+                far = far + np.bitwise_count(word[i] ^ word[j])
+            ok = far <= within[i]
             near_i.append(i[ok])
             near_j.append(j[ok])
-            settle()
+            held += int(ok.sum())
+            if held > 500_000:
+                settle()
         for s0, m in zip(start[~big & ~small].tolist(), size[~big & ~small].tolist(), strict=True):
             run = at[s0 : s0 + m]
             for i, j in dense_pairs(code[:, run], within[run]):
