@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``plans`` with QUERIES and SQL.
-MODULES = ("ingest_queries", "record_queries", "mining_queries", "transfer_queries", "path_queries", "judge_queries")
+MODULES = ("ingest_queries", "record_queries", "mining_queries", "transfer_queries", "path_queries", "judge_queries", "stream_queries")
 
 
 def _modules():

@@ -7,6 +7,7 @@ so a lost executor costs a re-read and never a recomputation from the sources.
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,7 +22,8 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(ship, "done", None) != sc.applicationId:
         package = Path(__file__).resolve().parent
-        into = tempfile.mkdtemp(prefix="pathloom-package-")
+        into = tempfile.mkdtemp(prefix="pathloom-package-")  # the driver serves it from here
+        atexit.register(shutil.rmtree, into, ignore_errors=True)
         sc.addPyFile(shutil.make_archive(f"{into}/{package.name}", "zip", package.parent, package.name))
         ship.done = sc.applicationId
 
@@ -43,7 +45,9 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         root = getattr(scratch_root, "own", None)
         if root is None:
-            root = scratch_root.own = "file://" + tempfile.mkdtemp(prefix="pathloom-")
+            own = tempfile.mkdtemp(prefix="pathloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = scratch_root.own = f"file://{own}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
@@ -62,6 +66,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the intermediates that this process has written; results that still read them become unusable."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        if f"-{os.getpid()}-" in status.getPath().getName():
+            fs.delete(status.getPath(), True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for, never under its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)

@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import scratch_path
+
 
 def record_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """New Parquet record files of a folder as they arrive; the checkpoint of the query remembers which are done."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """New Parquet record files of a folder as they arrive; the checkpoint of the query remembers which are done.
+
+    A path to one file reads that file only.
+    """
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
 
 
 def once_per_sample(stream: DataFrame, at: str = "written_at", delay: str = "70 days") -> DataFrame:
@@ -48,6 +58,15 @@ def running_quota(stream: DataFrame, target: int) -> DataFrame:
     return stream.select("sample_id", "score").groupBy("sample_id").applyInPandasWithState(step, _OUT, "correct bigint, wrong bigint", "update", "NoTimeout")
 
 
+def drained(stream: DataFrame, tag: str) -> DataFrame:
+    """Run an appending stream over all that is there now into a written table of the shared scratch folder and return its scan."""
+    spark = stream.sparkSession
+    path, mark = scratch_path(spark, tag), scratch_path(spark, f"{tag}-mark")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now into an in-memory table and return it (for tests and small reports)."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
