@@ -9,9 +9,10 @@ def spark():
         .config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
-    from pathloom.runtime import scratch_root, ship
+    from pathloom.runtime import drop_scratch, scratch_root, ship
 
     ship(s)
     scratch_root(s)
     yield s
+    drop_scratch(s)
     s.stop()

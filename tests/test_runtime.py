@@ -1,3 +1,5 @@
+import os
+
 from pathloom import runtime
 
 
@@ -8,7 +10,7 @@ def test_written_tables_live_in_the_scratch_folder_until_dropped(spark):
     assert root == runtime.scratch_root(spark) and spark.sparkContext.getCheckpointDir()
     runtime.drop_scratch(spark)
     files = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(root))
-    assert not [f for f in files if "numbers" in f.getPath().getName()]
+    assert not [f for f in files if f"numbers-{os.getpid()}-" in f.getPath().getName()]
 
 
 def test_package_reaches_the_workers(spark):
