@@ -22,8 +22,8 @@ from .text import words
 
 #: Consecutive words that prove a leak (TESTDATA.md).
 SPAN = 12
-#: Documents of one index shard row.
-SHARD_DOCS = 2000
+#: Documents of one index shard row, and words from which it ends sooner.
+SHARD_DOCS, SHARD_WORDS = 2000, 2_000_000
 #: Proven bound of the query side, which is sent to every task. More items must come in several runs.
 MOST_ITEM_WORDS = 20_000_000
 _SHARD = "docs binary, terms binary, ends binary, postings binary"
@@ -49,25 +49,30 @@ def index_shards(documents: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
+    def shard(ids: list[int], terms: list[int], lengths: list[int]) -> pa.RecordBatch:
+        term, n = np.array(terms, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        start = np.repeat(np.cumsum(n) - n, n)
+        post = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | (np.arange(len(term)) - start).astype(np.uint64)
+        term, post = term[term >= 0], post[term >= 0]
+        order = np.argsort(term, kind="stable")
+        own, count = np.unique(term, return_counts=True)
+        row = (np.array(ids, np.int64).tobytes(), own.astype(np.int32).tobytes(), np.cumsum(count).astype(np.int64).tobytes(), post[order].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["docs", "terms", "ends", "postings"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = shared.value.get
-        for whole in batches:
-            for lo in range(0, whole.num_rows, SHARD_DOCS):
-                batch = whole.slice(lo, SHARD_DOCS)
-                ids, terms, lengths = [], [], []
-                for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    w = [get(x, -1) for x in words(text)]
-                    ids.append(i)
-                    terms.extend(w)
-                    lengths.append(len(w))
-                term, n = np.array(terms, dtype=np.int64), np.array(lengths, dtype=np.int64)
-                start = np.repeat(np.cumsum(n) - n, n)
-                post = (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | (np.arange(len(term)) - start).astype(np.uint64)
-                term, post = term[term >= 0], post[term >= 0]
-                order = np.argsort(term, kind="stable")
-                own, count = np.unique(term, return_counts=True)
-                row = (np.array(ids, np.int64).tobytes(), own.astype(np.int32).tobytes(), np.cumsum(count).astype(np.int64).tobytes(), post[order].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["docs", "terms", "ends", "postings"])
+        for batch in batches:
+            ids, terms, lengths = [], [], []
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = [get(x, -1) for x in words(text)]
+                ids.append(i)
+                terms.extend(w)
+                lengths.append(len(w))
+                if len(ids) == SHARD_DOCS or len(terms) >= SHARD_WORDS:
+                    yield shard(ids, terms, lengths)
+                    ids, terms, lengths = [], [], []
+            if ids:
+                yield shard(ids, terms, lengths)
 
     return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, _SHARD)
 

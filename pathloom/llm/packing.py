@@ -135,12 +135,17 @@ def containers(counts: DataFrame, capacity: int, group_items: int = GROUP_ITEMS)
         raise ValueError("capacity must be positive")
     counts = written(counts, "sizes")
     groups = max(1, -(-counts.count() // group_items))
-    rows = counts.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(groups)))
+    spread = F.coalesce("doc_id", F.monotonically_increasing_id())  # null ids are spread as well
+    rows = counts.withColumn("g", F.pmod(F.xxhash64(spread, F.lit(20)), F.lit(groups)))
     schema = "doc_id bigint, part int, container string, place bigint, n_tokens bigint, first_token bigint"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
-        n, g = pdf["n_tokens"].to_numpy(np.int64), int(pdf["g"].iloc[0])
+        most = 4 * group_items  # a group is this large only if one id comes very often
+        return pd.concat([placed(pdf[k : k + most].reset_index(drop=True), f"{pdf['g'].iloc[0]}" + f".{k // most}" * (k > 0)) for k in range(0, len(pdf), most)], ignore_index=True)
+
+    def placed(pdf: pd.DataFrame, g: str) -> pd.DataFrame:
+        n = pdf["n_tokens"].to_numpy(np.int64)
         full = np.where(n > capacity, n // capacity, 0)
         rest = n - full * capacity
         packed = (rest > 0) | (full == 0)

@@ -86,3 +86,13 @@ def test_token_counts_equal_the_tokenizer(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df).collect()}
     assert got == {i: len(packing._encoding(packing.VOCABULARY).encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
+def test_one_id_in_very_many_rows(spark):
+    df = spark.range(3000).selectExpr("cast(5 as bigint) doc_id", "id % 90 n_tokens").union(spark.range(500).selectExpr("cast(null as bigint)", "id % 90"))
+    rows = packing.containers(df, 100, 50).collect()
+    assert len(rows) == 3500 and sum(r.n_tokens for r in rows) == df.agg(F.sum("n_tokens")).first()[0]
+    load = {}
+    for r in rows:
+        load[r.container] = load.get(r.container, 0) + r.n_tokens
+    assert max(load.values()) <= 100
