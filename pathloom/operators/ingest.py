@@ -107,9 +107,9 @@ def prepare(raw_question: DataFrame, seed: int = 42, train: float = 0.625, valid
     return hash_split(questions, seed, train, validation)
 
 
-def latest_manifest(manifest: DataFrame) -> DataFrame:
-    """One row per record: the latest delivery."""
-    return first_by(manifest, ["sample_id", "global_index"], F.struct("prepared_at", "source_query_id"), last=True)
+def latest_manifest(manifest: DataFrame, *columns: str) -> DataFrame:
+    """One row per record, the latest delivery, with ``columns`` (all if none are named)."""
+    return first_by(manifest, ["sample_id", "global_index"], F.struct("prepared_at", "source_query_id"), last=True, keep=list(columns) or None)
 
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:

@@ -37,9 +37,12 @@ def _on(group: list[str]) -> Column:
     return on
 
 
-def first_by(df: DataFrame, key: list[str], order: Column, last: bool = False) -> DataFrame:
-    """One whole row per key, the first (or last) by ``order``; combined before the shuffle, so hot keys are cheap."""
-    row = F.struct(*[F.col(c) for c in df.columns])
+def first_by(df: DataFrame, key: list[str], order: Column, last: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One row per key, the first (or last) by ``order``; combined before the shuffle, so hot keys are cheap.
+
+    Columns can't be pruned through the aggregation: name those wanted in ``keep``.
+    """
+    row = F.struct(*[F.col(c) for c in keep or df.columns])
     pick = (F.max_by if last else F.min_by)(row, order)
     return df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(pick.alias("__row")).select("__row.*")
 

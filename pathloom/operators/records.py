@@ -16,9 +16,9 @@ MANIFEST_FIELDS = ("question", "gt_ans", "difficulty", "split", "position", "glo
 _NO_PATHS = "array<array<int>>"
 
 
-def latest_records(search_record: DataFrame) -> DataFrame:
-    """One row per sample: the last written."""
-    return first_by(search_record, ["sample_id"], F.struct("written_at", "record_digest"), last=True)
+def latest_records(search_record: DataFrame, *columns: str) -> DataFrame:
+    """One row per sample, the last written, with ``columns`` (all if none are named)."""
+    return first_by(search_record, ["sample_id"], F.struct("written_at", "record_digest"), last=True, keep=list(columns) or None)
 
 
 def _paths(column: str) -> Column:
@@ -46,10 +46,9 @@ def summary(records: DataFrame, total: Column | int) -> DataFrame:
 
 def value_counts(records: DataFrame) -> DataFrame:
     """(kind, value, n): records per split and per failure reason."""
-    one = F.count(F.lit(1)).alias("n")
-    split = records.groupBy(F.lit("split").alias("kind"), F.col("split").alias("value")).agg(one)
-    reason = records.filter("failure_reason <> ''").groupBy(F.lit("failure_reason").alias("kind"), F.col("failure_reason").alias("value")).agg(one)
-    return split.union(reason)
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("split", "failure_reason")])
+    flat = records.select(F.explode(pairs).alias("p")).select("p.kind", "p.value").filter("kind = 'split' or value <> ''")
+    return flat.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def missing(manifest: DataFrame, records: DataFrame) -> DataFrame:
@@ -187,7 +186,7 @@ def loader_parity(records: DataFrame, depth: int = DEPTH) -> DataFrame:
     return both.agg(F.max(F.when(F.col("k") == "e", F.col("n"))).alias("expected"), F.max(F.when(F.col("k") == "l", F.col("n"))).alias("loaded"))
 
 
-def search_records(spark, sf_dir: str) -> DataFrame:
+def search_records(spark, sf_dir: str, *columns: str) -> DataFrame:
     """The latest search records of a data folder."""
-    return latest_records(table(spark, sf_dir, "search_record"))
+    return latest_records(table(spark, sf_dir, "search_record"), *columns)
 

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import KEEP, layer_actions
+from .ranking import first_by
 from .records import DEPTH
 
 ROUND = 6
 
 
 def held_out(universal_record: DataFrame) -> DataFrame:
-    """Complete held-out records, exact repeats once (combined before the shuffle)."""
-    rest = [c for c in universal_record.columns if c != "sample_id"]
-    once = universal_record.filter("status = 'complete'").groupBy("sample_id").agg(F.min_by(F.struct(*rest), F.col("record_digest")).alias("r"))
-    return once.select("sample_id", "r.*")
+    """Complete held-out records (sample_id, split, difficulty, baseline_score, scores), exact repeats once."""
+    keep = ["sample_id", "split", "difficulty", "baseline_score", "scores"]
+    return first_by(universal_record.filter("status = 'complete'"), ["sample_id"], F.col("record_digest"), keep=keep)
 
 
 def long_scores(held: DataFrame) -> DataFrame:

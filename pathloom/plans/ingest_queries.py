@@ -22,7 +22,7 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _one_per_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.first_by(table(spark, sf_dir, "manifest"), ["sample_id"], F.struct("prepared_at", "global_index"), last=True)
+    return ranking.first_by(table(spark, sf_dir, "manifest"), ["sample_id"], F.struct("prepared_at", "global_index"), last=True, keep=["sample_id", "difficulty", "split"])
 
 
 def ingest_rejects(spark, sf_dir):
@@ -76,7 +76,7 @@ def ingest_manifest(spark, sf_dir):
 
 
 def ingest_latest_manifest(spark, sf_dir):
-    return ingest.latest_manifest(table(spark, sf_dir, "manifest")).select("sample_id", "global_index", "split", "difficulty", "source_query_id")
+    return ingest.latest_manifest(table(spark, sf_dir, "manifest"), "sample_id", "global_index", "split", "difficulty", "source_query_id")
 
 
 def manifest_violations(spark, sf_dir):

@@ -10,7 +10,7 @@ from .record_queries import _S
 
 
 def _search(spark, sf_dir):
-    return records.search_records(spark, sf_dir)
+    return records.search_records(spark, sf_dir, "sample_id", "difficulty", "split", "final_valid_transitions", "final_invalid_transitions")
 
 
 def _lift(spark, sf_dir):

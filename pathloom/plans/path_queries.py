@@ -19,7 +19,7 @@ def _candidates(spark, sf_dir):
 
 
 def _search_paths(spark, sf_dir):
-    return traces.evaluation_trace(records.search_records(spark, sf_dir)).select("path").distinct()
+    return traces.evaluation_trace(records.search_records(spark, sf_dir, "sample_id", "evaluations")).select("path").distinct()
 
 
 def path_layer_actions(spark, sf_dir):
@@ -86,7 +86,7 @@ def path_distance_triple(spark, sf_dir):
 
 def _labelled(spark, sf_dir):
     """Distinct training paths per difficulty: correct if ever valid, with an order number from their content id."""
-    obs = mining.observations(records.search_records(spark, sf_dir))
+    obs = mining.observations(records.search_records(spark, sf_dir, "sample_id", "difficulty", "split", "final_valid_transitions", "final_invalid_transitions"))
     rows = obs.groupBy("difficulty", "path").agg(F.bool_or(F.col("outcome") == "valid").alias("correct"))
     pid = px.path_id(F.col("path"))
     return rows.select("difficulty", pid.alias("candidate_id"), "path", F.size("path").alias("length"), F.conv(F.substring(pid, 1, 7), 16, 10).cast("int").alias("evaluation_index"), "correct")
@@ -136,7 +136,7 @@ def beam_rerank(spark, sf_dir):
 
 
 def search_replay(spark, sf_dir):
-    s = records.search_records(spark, sf_dir)
+    s = records.search_records(spark, sf_dir, "sample_id", "split", "evaluations")
     known = traces.evaluation_trace(s).select("sample_id", "path", "score")
     out = search.search_questions(s.select("sample_id", "split"), known, simulations=6)
     return out.select("sample_id", "split", "status", "initial_score", F.size("evaluations").alias("n_evaluations"), F.size("final_valid_transitions").alias("n_valid"), F.col("search_statistics.cache_hits").alias("cache_hits"))

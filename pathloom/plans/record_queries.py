@@ -14,48 +14,51 @@ _V, _I = "coalesce(final_valid_transitions, [])", "coalesce(final_invalid_transi
 _FULL = "range(0, 28)::INTEGER[]"
 
 
-def _search(spark, sf_dir):
-    return records.search_records(spark, sf_dir)
+def _search(spark, sf_dir, *columns):
+    return records.search_records(spark, sf_dir, "sample_id", *columns)
 
 
-def _manifest(spark, sf_dir):
-    return ingest.latest_manifest(table(spark, sf_dir, "manifest"))
+def _manifest(spark, sf_dir, *columns):
+    return ingest.latest_manifest(table(spark, sf_dir, "manifest"), "sample_id", *columns)
+
+
+_SETS = ("final_valid_transitions", "final_invalid_transitions")
 
 
 def record_summary(spark, sf_dir):
-    return records.summary(_search(spark, sf_dir), _manifest(spark, sf_dir).count())
+    return records.summary(_search(spark, sf_dir, "status", *_SETS), _manifest(spark, sf_dir).count())
 
 
 def record_counts(spark, sf_dir):
-    return records.value_counts(_search(spark, sf_dir))
+    return records.value_counts(_search(spark, sf_dir, "split", "failure_reason"))
 
 
 def record_missing(spark, sf_dir):
-    return records.missing(_manifest(spark, sf_dir), table(spark, sf_dir, "search_record")).select("sample_id", "global_index", "split")
+    return records.missing(_manifest(spark, sf_dir, "global_index", "split"), table(spark, sf_dir, "search_record")).select("sample_id", "global_index", "split")
 
 
 def record_placement(spark, sf_dir):
-    return records.misplaced(_search(spark, sf_dir), 8, F.pmod("position", F.lit(8))).select("sample_id", "global_index", "position")
+    return records.misplaced(_search(spark, sf_dir, "global_index", "position"), 8, F.pmod("position", F.lit(8))).select("sample_id", "global_index", "position")
 
 
 def record_source_mismatches(spark, sf_dir):
-    return records.source_mismatches(_manifest(spark, sf_dir), _search(spark, sf_dir))
+    return records.source_mismatches(_manifest(spark, sf_dir, *records.MANIFEST_FIELDS), _search(spark, sf_dir, *records.MANIFEST_FIELDS))
 
 
 def record_violations(spark, sf_dir):
-    return records.violations(_search(spark, sf_dir))
+    return records.violations(_search(spark, sf_dir, "split", "status", "failure_reason", "initial_score", "evaluations", "search_statistics", *_SETS))
 
 
 def record_transition_violations(spark, sf_dir):
-    return records.transition_violations(_search(spark, sf_dir))
+    return records.transition_violations(_search(spark, sf_dir, "evaluations", *_SETS))
 
 
 def record_incomplete(spark, sf_dir):
-    return records.incomplete(_manifest(spark, sf_dir), _search(spark, sf_dir))
+    return records.incomplete(_manifest(spark, sf_dir), _search(spark, sf_dir, "status"))
 
 
 def record_merged(spark, sf_dir):
-    m = records.merged(_search(spark, sf_dir))
+    m = records.merged(_search(spark, sf_dir, "status", "question", "gt_ans", "difficulty", "split", "global_index", "initial_score", *_SETS))
     return m.select("sample_id", "difficulty", "split", "global_index", "initial_score", F.size("final_valid_transitions").alias("n_valid"), F.size("final_invalid_transitions").alias("n_invalid"))
 
 
@@ -69,30 +72,30 @@ def candidate_violations(spark, sf_dir):
 
 
 def examples_drop_original(spark, sf_dir):
-    return records.original_path_flags(_search(spark, sf_dir))
+    return records.original_path_flags(_search(spark, sf_dir, *_SETS))
 
 
 def training_examples(spark, sf_dir):
-    return records.training_examples(_search(spark, sf_dir).filter("split = 'train'"), anti_original=True)
+    return records.training_examples(_search(spark, sf_dir, "question", "gt_ans", "split", *_SETS).filter("split = 'train'"), anti_original=True)
 
 
 def example_weights(spark, sf_dir):
-    x = records.training_examples(_search(spark, sf_dir).filter("split = 'train'"))
+    x = records.training_examples(_search(spark, sf_dir, "question", "gt_ans", "split", *_SETS).filter("split = 'train'"))
     w = records.length_weights(x, F.substring("sample_id", 1, 1), 0.05)
     return w.select("batch", "sample_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), F.round("loss_weight", 6).alias("loss_weight"))
 
 
 def loader_parity(spark, sf_dir):
-    return records.loader_parity(_search(spark, sf_dir))
+    return records.loader_parity(_search(spark, sf_dir, "question", "gt_ans", "split", *_SETS))
 
 
 def trace_order(spark, sf_dir):
-    t = traces.evaluation_trace(_search(spark, sf_dir))
+    t = traces.evaluation_trace(_search(spark, sf_dir, "evaluations"))
     return t.select("sample_id", "evaluation_index", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "score")
 
 
 def trace_quota_stop(spark, sf_dir):
-    q = traces.quota_stop(traces.evaluation_trace(_search(spark, sf_dir)), 2, 2)
+    q = traces.quota_stop(traces.evaluation_trace(_search(spark, sf_dir, "evaluations")), 2, 2)
     return q.filter("stop_index is not null")
 
 
@@ -101,7 +104,7 @@ def trace_time_budget(spark, sf_dir):
 
 
 def trace_features(spark, sf_dir):
-    f = traces.search_features(traces.evaluation_trace(_search(spark, sf_dir)))
+    f = traces.search_features(traces.evaluation_trace(_search(spark, sf_dir, "evaluations")))
     return f.select("sample_id", "evaluation_index", "score", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
@@ -117,16 +120,16 @@ def _decoded(spark, sf_dir):
 
 
 def lookup_types(spark, sf_dir):
-    out = lookup.looked_up(_decoded(spark, sf_dir), _search(spark, sf_dir))
+    out = lookup.looked_up(_decoded(spark, sf_dir), _search(spark, sf_dir, *_SETS))
     return out.groupBy("rank", "lookup_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cache_breakdown(spark, sf_dir):
-    return lookup.cache_breakdown(lookup.sample_results(lookup.looked_up(_decoded(spark, sf_dir), _search(spark, sf_dir))))
+    return lookup.cache_breakdown(lookup.sample_results(lookup.looked_up(_decoded(spark, sf_dir), _search(spark, sf_dir, *_SETS))))
 
 
 def baseline_join(spark, sf_dir):
-    return transfer.with_search_baseline(transfer.held_out(table(spark, sf_dir, "universal_record")), _search(spark, sf_dir)).groupBy("split", "agrees", F.col("search_score").isNull().alias("unmatched")).agg(F.count(F.lit(1)).alias("n"))
+    return transfer.with_search_baseline(transfer.held_out(table(spark, sf_dir, "universal_record")), _search(spark, sf_dir, "initial_score")).groupBy("split", "agrees", F.col("search_score").isNull().alias("unmatched")).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = (
