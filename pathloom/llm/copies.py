@@ -49,7 +49,8 @@ def canonical_hashes(df: DataFrame) -> DataFrame:
 
     h1, h2 are 128 bits of the canonical text; chk is another 64 bits from a different
     hash of it, with which collisions are told apart. Null, empty, blank, mark-only texts
-    and damaged records are left out.
+    and damaged records are left out, as are rows without table or id. A null is_json means
+    plain text. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +66,8 @@ def canonical_hashes(df: DataFrame) -> DataFrame:
                 rest, cols = batch.take(pa.array(keep)), np.array(out, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([rest.column("tab"), rest.column("id"), *(pa.array(cols[:, k]) for k in range(3))], names=["tab", "id", "h1", "h2", "chk"])
 
-    return df.select("tab", F.col("id").cast("bigint"), F.col("text").cast("string"), "is_json").mapInArrow(run, "tab string, id bigint, h1 bigint, h2 bigint, chk bigint")
+    rows = df.filter("tab is not null and id is not null")
+    return rows.select("tab", F.col("id").cast("bigint"), F.col("text").cast("string"), "is_json").mapInArrow(run, "tab string, id bigint, h1 bigint, h2 bigint, chk bigint")
 
 
 def records(raw_question: DataFrame, manifest: DataFrame, raw_line: DataFrame) -> DataFrame:

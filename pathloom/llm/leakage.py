@@ -94,22 +94,26 @@ def term_counts(shards: DataFrame, terms: int) -> np.ndarray:
 
 
 def anchors(item: np.ndarray, counts: np.ndarray, span: int) -> list[int]:
-    """Offsets such that every window of ``span`` terms has its rarest term (the first of equals) among them."""
-    n = counts[item]
-    return sorted({int(lo + np.argmin(n[lo : lo + span])) for lo in range(len(item) - span + 1)})
+    """Ascending offsets such that every window of ``span`` terms has one of its rarest terms among them, as few as a scan finds."""
+    n, out = counts[item], []
+    for lo in range(len(item) - span + 1):
+        window = n[lo : lo + span]
+        least = window.min()
+        if not out or out[-1] < lo or n[out[-1]] > least:
+            out.append(int(lo + span - 1 - np.argmin(window[::-1])))
+    return out
 
 
-def runs_at(post: list[np.ndarray], off: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase matches through the anchor ``off`` of an item with postings ``post`` per offset.
+def runs_at(post: list[np.ndarray], off: int, span: int, seed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase matches through the anchor ``off`` of an item with postings ``post`` per offset; ``seed`` are those of the anchor.
 
     Returns the anchor postings that lie in a run of at least ``span`` matching words, and how
-    many words match directly before and after each.
+    many words match directly before and after each, counted up to ``most``.
     """
-    seed = post[off]
     reach = [np.zeros(len(seed), np.int64), np.zeros(len(seed), np.int64)]
     for side, sign in enumerate((-1, 1)):
         alive = np.arange(len(seed))
-        for step in range(1, len(post)):
+        for step in range(1, most + 1):
             o = off + sign * step
             if not 0 <= o < len(post) or not len(alive):
                 break
@@ -123,8 +127,11 @@ def runs_at(post: list[np.ndarray], off: int, span: int) -> tuple[np.ndarray, np
     return seed[ok], reach[0][ok], reach[1][ok]
 
 
-def phrase_matches(shards: DataFrame, items: list[tuple[int, np.ndarray]], counts: np.ndarray, span: int = SPAN) -> DataFrame:
-    """(doc_id, item_id, doc_pos, item_pos, n_words): all longest shared phrases of at least ``span`` words."""
+def phrase_matches(shards: DataFrame, items: list[tuple[int, np.ndarray]], counts: np.ndarray, span: int = SPAN, whole: bool = True) -> DataFrame:
+    """(doc_id, item_id, doc_pos, item_pos, n_words): all longest shared phrases of at least ``span`` words.
+
+    Without ``whole`` one phrase proves a document, and its length is counted near the anchor only.
+    """
     plan = [(i, t, anchors(t, counts, span)) for i, t in items]
     shared = shards.sparkSession.sparkContext.broadcast(plan)
     none = np.zeros(0, np.uint64)
@@ -137,10 +144,26 @@ def phrase_matches(shards: DataFrame, items: list[tuple[int, np.ndarray]], count
                 out = []
                 for item, t, offs in shared.value:
                     own = [lists.get(int(x), none) for x in t]
+                    known, until = np.zeros(0, np.int64), np.zeros(0, np.int64)  # alignments with a run, and where it ends
+                    proved = none  # numbers of documents that need no further proof
                     for off in offs:
-                        if len(own[off]):
-                            hit, before, after = runs_at(own, off, span)
+                        seed = own[off]
+                        if len(seed) and len(known):
+                            align = seed.astype(np.int64) - off
+                            at = np.minimum(np.searchsorted(known, align), len(known) - 1)
+                            seed = seed[(known[at] != align) | (until[at] <= off)]
+                        if len(seed) and len(proved):
+                            seed = seed[~np.isin(seed >> np.uint64(32), proved)]
+                        if len(seed):
+                            hit, before, after = runs_at(own, off, span, seed, len(own) if whole else span - 1)
+                            if len(hit) and not whole:
+                                proved = np.unique(np.r_[proved, hit >> np.uint64(32)])
                             if len(hit):
+                                known, until = np.r_[known, hit.astype(np.int64) - off], np.r_[until, off + after + 1]
+                                order = np.lexsort((until, known))
+                                known, until = known[order], until[order]
+                                last = np.r_[known[1:] != known[:-1], True]
+                                known, until = known[last], until[last]
                                 doc = docs[(hit >> np.uint64(32)).astype(np.int64)]
                                 at = (hit & np.uint64(0xFFFFFFFF)).astype(np.int64) - before
                                 out.append(np.stack([doc, np.full(len(doc), item), at, off - before, before + after + 1], axis=1))
@@ -151,7 +174,7 @@ def phrase_matches(shards: DataFrame, items: list[tuple[int, np.ndarray]], count
     return shards.mapInArrow(run, "doc_id bigint, item_id bigint, doc_pos bigint, item_pos bigint, n_words bigint")
 
 
-def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, whole: bool = True) -> DataFrame:
     """All phrases of at least ``span`` words that documents share with items (see ``phrase_matches``).
 
     Rows without id or text are no case; texts shorter than ``span`` words can't match; an
@@ -161,12 +184,12 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame
     vocabulary: dict[str, int] = {}
     coded = [(i, np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], dtype=np.int32)) for i, w in found]
     shards = written(index_shards(documents, vocabulary), "shards")
-    return phrase_matches(shards, coded, term_counts(shards, len(vocabulary)), span)
+    return phrase_matches(shards, coded, term_counts(shards, len(vocabulary)), span, whole)
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id) that share at least ``span`` consecutive words."""
-    return leaks(documents, items, span).select("doc_id", "item_id").distinct()
+    return leaks(documents, items, span, whole=False).select("doc_id", "item_id").distinct()
 
 
 def leak_report(matches: DataFrame, items: DataFrame) -> DataFrame:

@@ -52,11 +52,11 @@ SALTS = 4
 def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of a training and an evaluation record with the same bare text or words that agree to ``threshold``.
 
-    ``texts`` has (tab, id, side, text). Equal bare texts meet in a salted join on their 128-bit
+    ``texts`` has (tab, id, side, text); rows with another side than 0 or 1 are left out. Equal bare texts meet in a salted join on their 128-bit
     hash. Near-duplicates meet by their bit fingerprints: permuted code blocks are joined
     across the sides, pairs within the Hamming radius are verified on the words.
     """
-    tokens = written_tokens(texts)
+    tokens = written_tokens(texts.filter("side in (0, 1)"))
     rows = tokens.select("id", "side", "b1", "b2").distinct()
     train = rows.filter("side = 0").select("b1", "b2", F.col("id").alias("id_t"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     held = rows.filter("side = 1").select("b1", "b2", F.col("id").alias("id_e"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -97,7 +97,8 @@ def tokenize(df: DataFrame) -> DataFrame:
     """``df``(tab, id, side, text) -> one row of TOKEN_SCHEMA per row with at least one word.
 
     c1, c2 identify the word sequence (the class of copies), b1, b2 the bare text.
-    Null, empty and blank texts have no words and are left out.
+    Null, empty and blank texts have no words and are left out, as are rows without table or
+    id. A null side counts as 0. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +132,9 @@ def tokenize(df: DataFrame) -> DataFrame:
                 names=["tab", "id", "side", "c1", "c2", "b1", "b2", "n", "tok"],
             )
 
-    return df.select("tab", F.col("id").cast("bigint"), F.col("side").cast("int"), F.col("text").cast("string")).mapInArrow(run, TOKEN_SCHEMA)
+    rows = df.filter("tab is not null and id is not null")
+    side = F.coalesce(F.col("side").cast("int"), F.lit(0)).alias("side")
+    return rows.select("tab", F.col("id").cast("bigint"), side, F.col("text").cast("string")).mapInArrow(run, TOKEN_SCHEMA)
 
 
 def _flat(column: pa.Array) -> np.ndarray:

@@ -129,11 +129,12 @@ def containers(counts: DataFrame, capacity: int, group_items: int = GROUP_ITEMS)
     A document within the capacity is one row (part 0). A longer one has a row per container;
     only its last part shares a container with others. ``place`` is the token offset inside the
     container, ``first_token`` the offset inside the document. Documents without tokens get a
-    place of length 0. Repeated rows are placed each. Null ids are placed like others.
+    place of length 0, as has a null count. Repeated rows are placed each. Null ids are placed
+    like others. Other columns are ignored.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    counts = written(counts, "sizes")
+    counts = written(counts.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)).alias("n_tokens")), "sizes")
     groups = max(1, -(-counts.count() // group_items))
     spread = F.coalesce("doc_id", F.monotonically_increasing_id())  # null ids are spread as well
     rows = counts.withColumn("g", F.pmod(F.xxhash64(spread, F.lit(20)), F.lit(groups)))

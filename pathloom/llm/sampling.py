@@ -47,11 +47,15 @@ def stable_sample(df: DataFrame, key: str, strata: list[str], rates: dict[str, f
     combined before the shuffle and joined in salted sub-groups, so a key with very many
     deliveries is spread.
     """
-    keys = chosen_keys(df, key, strata, rates, default, salt).select(F.col(key).alias("__key"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    others = [F.col(c) for c in df.columns if c != key]
+    part = "salt"
+    while part in df.columns:  # never hide a column of the caller
+        part += "_"
+    keys = chosen_keys(df, key, strata, rates, default, salt).select(F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    kinds = dict(df.dtypes)
+    others = [F.col(c) for c in df.columns if c != key and not kinds[c].startswith(("map", "variant"))]
     spread = F.pmod(F.xxhash64(*others) if others else F.lit(0), F.lit(SALTS)).cast("int")
-    rows = df.withColumn("__salt", spread)
-    return rows.join(keys, (rows[key] == keys["__key"]) & (rows["__salt"] == keys["__salt"]), "left_semi").drop("__salt")
+    rows = df.withColumn(part, spread)
+    return rows.join(keys, (rows[key] == keys["k"]) & (rows[part] == keys["s"]), "left_semi").drop(part)
 
 
 def growth_replay(df: DataFrame, key: str, at: str, strata: list[str], rates: dict[str, float], default: float = 0.0, salt: str = "sample") -> DataFrame:

@@ -83,11 +83,12 @@ def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataF
 def hidden_twins(texts: DataFrame) -> DataFrame:
     """Pairs (tab, id_a, id_b), id_a < id_b, of rows of one table with the same consistent form whose stored texts differ in more than ordinary blanks.
 
-    ``texts`` has (tab, id, text). Null, empty and blank texts are no case, repeated rows
-    of one id count once, an empty table gives no rows.
+    ``texts`` has (tab, id, text); other columns are ignored. Null, empty and blank texts and
+    rows without table or id are no case, repeated rows of one id count once, an empty table
+    gives no rows.
     """
     stored = F.unhex(F.md5(evened(F.col("text"))))
-    rows = texts.filter(F.length(F.trim("text")) > 0).select("tab", F.col("id").cast("bigint").alias("id"), "text", stored.alias("stored"))
+    rows = texts.filter(F.length(F.trim("text")) > 0).filter("tab is not null and id is not null").select("tab", F.col("id").cast("bigint").alias("id"), "text", stored.alias("stored"))
     formed = consistent_form(rows, ["tab", "id", "stored"]).filter("form <> ''")
     formed = written(formed.select("tab", "id", "stored", F.unhex(F.md5("form")).alias("form")).distinct(), "forms")
     several = formed.groupBy("tab", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("tab", "form")
