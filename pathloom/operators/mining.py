@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import KEEP, LOOP, SKIP, actions_path, full_path, layer_actions, path_id
+from ..runtime import written
 from .records import DEPTH, MAX_LENGTH, _paths
 
 SMOOTHING = 0.01
@@ -105,8 +106,8 @@ def candidates(records: DataFrame, max_candidates: int = 96, min_support: int =
     """
     if max_candidates < 2 * top_layers or top_layers > depth:
         raise ValueError("max_candidates must cover both single-layer edits of top_layers layers")
-    lift = layer_lift(layer_weights(records, depth), depth, smoothing)
-    evidence = path_evidence(records)
+    lift = written(layer_lift(layer_weights(records, depth), depth, smoothing), "lift")
+    evidence = written(path_evidence(records), "evidence")
     exact = exact_paths(evidence, depth)
     single = single_layer(hypotheses(lift), top_layers, depth).select("path", F.concat(F.lit("single_"), "action", F.lit("_layer_"), F.col("layer").cast("string")).alias("source"), F.struct(F.lit(0).alias("stage"), F.col("action").alias("a"), F.col("rank_within_action").alias("b")).alias("seq"))
     group = F.when(F.col("grp") == ALL, F.lit("~")).otherwise(F.col("grp"))
