@@ -69,7 +69,10 @@ def answer_kind(kind: Column) -> Column:
 
 
 def contest_prompt(kind: Column, multiple: Column, unit: Column, subject: str = "Math") -> Column:
-    """The instruction of an open-ended contest problem: what kind of answer, how many, with or without unit."""
+    """The instruction of an open-ended contest problem: what kind of answer, how many, with or without unit.
+
+    The wording of all sentences is fixed by the published prompt (fixed values).
+    """
     kinds = F.transform(F.split(kind, ","), answer_kind)
     several = F.when(F.size(F.array_distinct(kinds)) == 1, F.concat(F.lit("The problem has multiple answers, each of them should be "), kinds[0], F.lit(". "))).otherwise(
         F.concat(F.lit("The problem has multiple answers, with the answers in order being "), F.array_join(kinds, ", "), F.lit(". "))

@@ -127,9 +127,9 @@ def with_search_baseline(held: DataFrame, searched: DataFrame) -> DataFrame:
 def group_accuracy(scores: DataFrame) -> DataFrame:
     """(kind, value, candidate_id, questions, accuracy, accuracy_gain) by difficulty and by split in one pass over GROUPING SETS."""
     df = scores.withColumn("d", F.col("difficulty").cast("string"))
-    df.createOrReplaceTempView("pathloom_scores")
     grouped = df.sparkSession.sql(
-        "SELECT candidate_id, d, split, count(1) AS questions, avg(score) AS accuracy, avg(baseline) AS base, grouping_id() AS g FROM pathloom_scores GROUP BY GROUPING SETS ((candidate_id, d), (candidate_id, split))"
+        "SELECT candidate_id, d, split, count(1) AS questions, avg(score) AS accuracy, avg(baseline) AS base FROM {scores} GROUP BY GROUPING SETS ((candidate_id, d), (candidate_id, split))",
+        scores=df,
     )
     kind = F.when(F.col("d").isNotNull(), "difficulty").otherwise("split")
     out = grouped.select(kind.alias("kind"), F.coalesce("d", "split").alias("value"), "candidate_id", "questions", "accuracy", (F.col("accuracy") - F.col("base")).alias("accuracy_gain"))
