@@ -121,6 +121,15 @@ def test_block_scheme():
     assert simhash.block_count(16) < simhash.block_count(20)
 
 
+def test_blocks_find_pairs_at_the_angle():
+    blocks = simhash.block_bits(simhash.block_count(16), 16)
+    differ = np.random.default_rng(5).random((20_000, simhash.BITS)) < 0.25
+    shared = np.zeros(len(differ), bool)
+    for which in blocks:
+        shared |= differ[:, which].sum(axis=1) <= 1
+    assert 1 - shared.mean() < 0.015
+
+
 def test_sharded_blocks_give_the_same_pairs(spark, monkeypatch):
     rows = corpus(120, 8, [50, 64])
     df = spark.createDataFrame([("m", i, i % 2, x) for _, i, x in rows], "tab string, id bigint, side int, text string")
