@@ -61,7 +61,7 @@ def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD) -> Data
     train = rows.filter("side = 0").select("b1", "b2", F.col("id").alias("id_t"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     held = rows.filter("side = 1").select("b1", "b2", F.col("id").alias("id_e"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     same = train.join(held, ["b1", "b2", "salt"]).select("id_t", "id_e")
-    classes = verify(written(fingerprint_pairs(tokens), "pairs"), tokens, threshold).select("a1", "a2", "d1", "d2")
+    classes = verify(written(fingerprint_pairs(tokens, threshold), "pairs"), tokens, threshold).select("a1", "a2", "d1", "d2")
     a, b = _members(tokens, "a", "id_1").drop("tab"), _members(tokens, "d", "id_2").drop("tab")
     near = classes.join(a, ["a1", "a2"]).join(b, ["d1", "d2"]).filter("id_1_side <> id_2_side").select("id_1", "id_2")
     pairs = same.union(near).filter("id_t <> id_e")

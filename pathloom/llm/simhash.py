@@ -1,33 +1,38 @@
 """Similar texts across two sides by bit fingerprints.
 
-Each text gets a similarity hash: one bit per random direction, the sign of the weighted sum
-over its words, rarer words weighing more. Two texts whose directions differ by an angle
-differ in that share of the bits. Blocks of the code under fixed permutations are joined
-across the sides, equal or with one bit different; pairs that share a block are kept if the
-whole codes lie within a Hamming radius, and are then verified on the words by the caller.
+Each text gets a similarity hash: one bit per random direction, the sign of the sum over its
+words, all weighing the same. Two texts differ in each bit with a probability that their
+number of words in common bounds, whichever words are edited. Blocks of the code under fixed
+permutations are joined across the sides, equal or with one bit different; pairs that share a
+block are kept if their odd sketches (see overlap; this filter loses nothing) and the whole
+codes lie within a Hamming radius, and are then verified on the words by the caller.
 
 Block length grows with the logarithm of the number of texts, so a block holds about as many
-texts at every size; the number of blocks follows from the wanted recall.
+texts at every size; radius and number of blocks follow from the threshold and the wanted
+recall.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .overlap import RARITY_BITS, _flat, _spread, rarity
+from .overlap import SKETCH_WORDS, _flat, _sketches, _spread, close_pairs
+from .overlap import radius as sketch_radius
 
-BITS = 256
-#: Share of different bits up to which a pair must be found but for MISS, and up to which a found pair is passed on.
-ANGLE, MISS, RADIUS = 0.25, 1e-3, 0.31
+BITS = 384
+#: Probability that a pair at the threshold is missed, by blocks and radius together.
+MISS = 1e-3
 #: Codes of one partition; beyond it blocks are split by their leading bits.
 CODES_PER_PARTITION = 4_000_000
-_CODE = np.dtype([("c1", "<u8"), ("code", "<u8", (BITS // 64,)), ("side", "u1"), ("pad", "u1", (7,))])
+_CODE = np.dtype([("c1", "<u8"), ("code", "<u8", (BITS // 64,)), ("sketch", "<u8", (SKETCH_WORDS,)), ("n", "<u4"), ("side", "u1"), ("tab", "u1")])
 
 
 def block_length(texts: int) -> int:
@@ -35,10 +40,37 @@ def block_length(texts: int) -> int:
     return int(np.clip(int(math.log2(max(texts, 2))) - 1, 8, 28))
 
 
+def angle(threshold: Fraction) -> float:
+    """Bound of the probability that a bit differs for texts whose words agree to ``threshold``; they are farthest apart at equal length."""
+    return math.acos(threshold) / math.pi
+
+
+#: That of TESTDATA.md's threshold of 70 %.
+ANGLE = angle(Fraction(7, 10))
+
+
+def _distances(angle: float) -> np.ndarray:
+    """Probability of each Hamming distance of two codes."""
+    d = np.arange(BITS + 1)
+    ways = np.array([math.lgamma(BITS + 1) - math.lgamma(k + 1) - math.lgamma(BITS - k + 1) for k in d])
+    return np.exp(ways + d * math.log(angle) + (BITS - d) * math.log1p(-angle))
+
+
+def code_radius(angle: float = ANGLE, miss: float = MISS) -> int:
+    """Hamming distance that a pair at ``angle`` exceeds with half of ``miss`` at most."""
+    return int(np.argmax(1 - np.cumsum(_distances(angle)) <= miss / 2))
+
+
 def block_count(length: int, angle: float = ANGLE, miss: float = MISS) -> int:
-    """Blocks needed so that a pair at ``angle`` shares none (up to one bit) with probability ``miss`` at most."""
-    hit = (1 - angle) ** length + length * angle * (1 - angle) ** (length - 1)
-    return math.ceil(math.log(miss) / math.log1p(-hit))
+    """Blocks needed so that a pair at ``angle`` is beyond the radius or shares none (up to one bit) with probability ``miss`` at most.
+
+    All blocks are cut from the same bits, so their hits are independent only once the distance is given.
+    """
+    chance, near = _distances(angle), code_radius(angle, miss) + 1
+    d, k = np.arange(near)[:, None], np.arange(length)
+    same = np.maximum(BITS - d - k, 0) / (BITS - k)
+    hit = same.prod(axis=1) + length * d[:, 0] / (BITS - length + 1) * same[:, :-1].prod(axis=1)
+    return bisect_left(range(1 << 20), True, key=lambda b: chance[near:].sum() + (chance[:near] * (1 - np.minimum(hit, 1)) ** b).sum() <= miss)
 
 
 def block_bits(count: int, length: int) -> np.ndarray:
@@ -49,10 +81,8 @@ def block_bits(count: int, length: int) -> np.ndarray:
     return np.array(order[: count * length]).reshape(count, length)
 
 
-def codes(tok: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
+def codes(tok: np.ndarray, n: np.ndarray) -> np.ndarray:
     """(texts, BITS / 64) similarity hashes of concatenated tokens."""
-    df = np.maximum(count[tok >> np.uint32(32 - RARITY_BITS)], 1).astype(np.float64)
-    weight = np.sqrt(np.log1p(count.sum(dtype=np.int64) / df)).astype(np.float32)
     out = np.empty((len(n), BITS // 64), np.uint64)
     end = np.cumsum(n)
     lo = 0
@@ -63,39 +93,37 @@ def codes(tok: np.ndarray, n: np.ndarray, count: np.ndarray) -> np.ndarray:
         h = np.stack([_spread(own.astype(np.uint64) + np.uint64(((k + 1) << 33) + 5)) for k in range(BITS // 64)], axis=1)
         sign = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").astype(np.float32) * 2 - 1
         share = np.zeros((hi - lo, len(own)), np.float32)
-        share[np.repeat(np.arange(hi - lo), n[lo:hi]), at] = weight[a:b]  # tokens of a text are distinct
+        share[np.repeat(np.arange(hi - lo), n[lo:hi]), at] = 1  # tokens of a text are distinct
         out[lo:hi] = np.packbits(share @ sign > 0, axis=1, bitorder="little").view(np.uint64)
         lo = hi
     return out
 
 
-def block_keys(bits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The block value of each code; ``bits`` is the unpacked code matrix."""
-    return bits[:, which].astype(np.int64) @ (1 << np.arange(len(which), dtype=np.int64))
-
-
-def _unpacked(code: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(code).view(np.uint8), axis=1, bitorder="little")
+def block_keys(words: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The block value of each code; ``words`` has one row per 64 bits of the codes."""
+    out = np.zeros(words.shape[1], np.int64)
+    for k, bit in enumerate(which.tolist()):
+        out |= ((words[bit >> 6] >> np.uint64(bit & 63)) & np.uint64(1)).astype(np.int64) << k
+    return out
 
 
-def _destinations(bits: np.ndarray, side: np.ndarray, blocks: np.ndarray, shard_bits: int, partitions: int) -> list[np.ndarray]:
+def _destinations(words: np.ndarray, side: np.ndarray, blocks: np.ndarray, shard_bits: int, partitions: int) -> list[np.ndarray]:
     """Per partition the texts that it needs. A block (t, leading bits) belongs to one partition; side 1 also goes where one leading bit differs."""
     if not shard_bits:
-        return [np.arange(len(bits))] * partitions
+        return [np.arange(len(side))] * partitions
     length, out = blocks.shape[1], [[] for _ in range(partitions)]
     for t, which in enumerate(blocks):
-        lead = block_keys(bits, which) >> (length - shard_bits)
+        lead = block_keys(words, which) >> (length - shard_bits)
         for flip in (0, *(1 << k for k in range(shard_bits))):
-            rows = np.arange(len(bits)) if flip == 0 else np.nonzero(side == 1)[0]
+            rows = np.arange(len(side)) if flip == 0 else np.nonzero(side == 1)[0]
             part = ((t << shard_bits) + (lead[rows] ^ flip)) % partitions
             for p in np.unique(part):
                 out[p].append(rows[part == p])
     return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in out]
 
 
-def packed_codes(tokens: DataFrame, count: np.ndarray, blocks: np.ndarray, shard_bits: int, partitions: int) -> DataFrame:
+def packed_codes(tokens: DataFrame, blocks: np.ndarray, shard_bits: int, partitions: int) -> DataFrame:
     """Packed rows (p, codes): one fingerprint per class and side of a task, for every partition that needs it."""
-    shared = tokens.sparkSession.sparkContext.broadcast(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -112,31 +140,36 @@ def packed_codes(tokens: DataFrame, count: np.ndarray, blocks: np.ndarray, shard
                 continue
             new = np.array(new)
             rec = np.zeros(len(new), _CODE)
-            rec["c1"], rec["side"] = c1[new].view(np.uint64), side[new]
-            rec["code"] = codes(_flat(batch.column("tok").take(pa.array(new))), batch.column("n").to_numpy()[new].astype(np.int64), shared.value)
-            to = _destinations(_unpacked(rec["code"]), rec["side"], blocks, shard_bits, partitions)
+            n = batch.column("n").to_numpy()[new].astype(np.int64)
+            rec["c1"], rec["side"], rec["n"] = c1[new].view(np.uint64), side[new], n
+            tok = _flat(batch.column("tok").take(pa.array(new)))
+            rec["code"], rec["sketch"] = codes(tok, n), _sketches(tok, np.repeat(np.arange(len(n)), n), len(n))
+            to = _destinations(np.ascontiguousarray(rec["code"].T), rec["side"], blocks, shard_bits, partitions)
             rows = [(p, rec[x].tobytes()) for p, x in enumerate(to) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "codes"])
 
     return tokens.select("side", "c1", "n", "tok").mapInArrow(run, "p int, codes binary")
 
 
-def near_codes(train: np.ndarray, held: np.ndarray, own: list[np.ndarray], shard: tuple[int, int, int, list[int]] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(train, held) index pairs that share a block of ``own`` up to one bit and lie within the radius, block by block.
+def near_codes(train: np.ndarray, held: np.ndarray, own: list[np.ndarray], shard: tuple[int, int, int, list[int]] | None, radius: int, threshold: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(train, held) index pairs that share a block of ``own`` up to one bit, lie within the radius and are long enough to match, block by block.
 
     A long block is worked off in portions, so memory doesn't grow with it.
     """
-    a, b = np.ascontiguousarray(train["code"].T), np.ascontiguousarray(held["code"].T)
-    bits_a, bits_b = _unpacked(train["code"]), _unpacked(held["code"])
+    a, b = np.ascontiguousarray(train["sketch"].T), np.ascontiguousarray(held["sketch"].T)
+    code_a, code_b = np.ascontiguousarray(train["code"]), np.ascontiguousarray(held["code"])
+    within = sketch_radius(held["n"].astype(np.int64), threshold)
+    words_a, words_b = np.ascontiguousarray(code_a.T), np.ascontiguousarray(code_b.T)
     for t, which in own:
         length = len(which)
-        ka, kb = block_keys(bits_a, which), block_keys(bits_b, which)
+        ka, kb = block_keys(words_a, which), block_keys(words_b, which)
         keep = None
         if shard:
             shard_bits, partitions, p, _ = shard
             keep = np.nonzero(((t << shard_bits) + (ka >> (length - shard_bits))) % partitions == p)[0]
             ka = ka[keep]
-        order = np.argsort(ka, kind="stable")
+        order, columns = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        kb, sorted_b, sorted_within = kb[columns], b[:, columns], within[columns]
         rows = order if keep is None else keep[order]
         sorted_a = a[:, rows]
         if length <= 22:  # a table of block starts; longer blocks are looked up by bisection
@@ -157,28 +190,30 @@ def near_codes(train: np.ndarray, held: np.ndarray, own: list[np.ndarray], shard
                 k = size[js]
                 j = np.repeat(js, k)
                 i = np.arange(k.sum()) + np.repeat(lo[js] - (cum[start:end] - base - k), k)
-                far = np.bitwise_count(sorted_a[0][i] ^ b[0][j]).astype(np.uint16)
+                far = np.bitwise_count(sorted_a[0][i] ^ sorted_b[0][j])
                 for w in range(1, len(b)):
-                    far += np.bitwise_count(sorted_a[w][i] ^ b[w][j])
-                ok = np.nonzero(far <= radius)[0]
+                    far += np.bitwise_count(sorted_a[w][i] ^ sorted_b[w][j])
+                ok = np.nonzero(far <= sorted_within[j])[0]
                 if len(ok):
-                    i, j = rows[i[ok]], j[ok]
-                    other = train["c1"][i] != held["c1"][j]
-                    yield i[other], j[other]
+                    i, j = rows[i[ok]], columns[j[ok]]
+                    ok = np.bitwise_count(code_a[i] ^ code_b[j]).sum(axis=1, dtype=np.int64) <= radius
+                    i, j = i[ok], j[ok]
+                    own_rows = np.arange(len(i))
+                    ok = close_pairs(np.concatenate([train[i], held[j]]), own_rows, own_rows + len(i), threshold, cross=True)
+                    yield i[ok], j[ok]
                 start = end
 
 
-def fingerprint_pairs(tokens: DataFrame) -> DataFrame:
+def fingerprint_pairs(tokens: DataFrame, threshold: Fraction = Fraction(7, 10)) -> DataFrame:
     """(tab, ca, cb): classes of written ``tokens`` of different sides (0 and 1) whose codes are near; a pair comes once."""
-    count = rarity(tokens)
     texts = tokens.count()
     length = block_length(texts)
-    blocks = block_bits(block_count(length), length)
+    blocks = block_bits(block_count(length, angle(threshold)), length)
     cores = tokens.sparkSession.sparkContext.defaultParallelism
     shard_bits = max(0, math.ceil(math.log2(max(1, texts / CODES_PER_PARTITION))))
     partitions = max(2 * cores, len(blocks) << shard_bits) if shard_bits else max(2 * cores, 1)
     partitions = min(partitions, len(blocks)) if not shard_bits else partitions
-    radius = int(RADIUS * BITS)
+    radius = code_radius(angle(threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
@@ -192,7 +227,7 @@ def fingerprint_pairs(tokens: DataFrame) -> DataFrame:
             own = [(t, w) for t, w in enumerate(blocks) if shard_bits or t % partitions == p]
             shard = (shard_bits, partitions, p, []) if shard_bits else None
             found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            for i, j in near_codes(train, held, own, shard, radius):
+            for i, j in near_codes(train, held, own, shard, radius, threshold):
                 x, y = train["c1"][i].view(np.int64), held["c1"][j].view(np.int64)
                 found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
                 if len(found) > 500:
@@ -200,5 +235,5 @@ def fingerprint_pairs(tokens: DataFrame) -> DataFrame:
             u = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int32)), pa.array(u[:, 0]), pa.array(u[:, 1])], names=["tab", "ca", "cb"])
 
-    packed = packed_codes(tokens, count, blocks, shard_bits, partitions)
+    packed = packed_codes(tokens, blocks, shard_bits, partitions)
     return packed.repartitionById(partitions, F.col("p")).mapInArrow(run, "tab int, ca bigint, cb bigint").distinct()

@@ -130,6 +130,19 @@ def test_blocks_find_pairs_at_the_angle():
     assert 1 - shared.mean() < 0.015
 
 
+def test_rare_edits_at_the_threshold_are_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(400):
+        shared = rng.sample([f"w{x}" for x in range(60)], 14)
+        rows += [("m", 2 * k + s, s, " ".join(shared + [f"r{k}s{s}e{x}" for x in range(6 - k % 2 * s)])) for s in (0, 1)]
+    want = {(a, b) for _, a, b in brute([(t, i, x) for t, i, _, x in rows]) if (a + b) % 2}
+    assert len(want) >= 400
+    df = spark.createDataFrame(rows, "tab string, id bigint, side int, text string")
+    found = {tuple(r) for r in neardup.cross_split_pairs(df).collect()}
+    assert found <= want and len(want - found) <= 0.01 * len(want)
+
+
 def test_sharded_blocks_give_the_same_pairs(spark, monkeypatch):
     rows = corpus(120, 8, [50, 64])
     df = spark.createDataFrame([("m", i, i % 2, x) for _, i, x in rows], "tab string, id bigint, side int, text string")
