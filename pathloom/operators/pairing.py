@@ -32,7 +32,7 @@ def extremes(rows: DataFrame, group: str, count: int) -> DataFrame:
 def distances(correct: DataFrame, wrong: DataFrame, group: str) -> DataFrame:
     """All correct x wrong pairs of a group with the distance triple (operations, edits, length).
 
-    Both sides have (group, id, path, ops, evaluation_index) and are selections of a report.
+    Both sides have (group, id, path, ops, evaluation_index). The correct ones are the selection of a report, the wrong ones may be many.
     """
     c = correct.select(group, F.col("candidate_id").alias("correct_id"), F.col("path").alias("cp"), F.col("ops").alias("co"))
     w = wrong.select(group, F.col("candidate_id").alias("wrong_id"), F.col("path").alias("wp"), F.col("ops").alias("wo"), F.col("evaluation_index").alias("tie"))
@@ -100,10 +100,21 @@ def folded(operation: np.ndarray, edit: np.ndarray, length: np.ndarray, tie: np.
     return out
 
 
+def cheapest(pairs: DataFrame, group: str) -> DataFrame:
+    """The pairs that a cheapest one-to-one pairing can need: per correct path as many wrong ones, cheapest first, as the group has correct paths.
+
+    Of these one is always left over by the other correct paths, so no other can be cheaper.
+    """
+    count = pairs.select(group, "correct_id").distinct().groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    w = Window.partitionBy(group, "correct_id").orderBy("operation_distance", "edit_distance", "length_difference", "tie", "wrong_id")
+    first = pairs.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= MOST)
+    return first.join(count, group).filter("_rank <= _rows").drop("_rank", "_rows")
+
+
 def assigned(pairs: DataFrame, group: str) -> DataFrame:
     """The cheapest pairing of each group's correct paths with distinct wrong ones, by the distance triple then evaluation order.
 
-    One group is one report of at most MOST paths a side; larger ones are refused. A group
+    One group is one report of at most MOST paths a side, not counting wrong ones too far to be paired; larger ones are refused. A group
     with fewer wrong than correct paths has no one-to-one pairing and gives no rows.
     """
     schema = f"{group} int, correct_id string, wrong_id string, operation_distance int, edit_distance int, length_difference int"
@@ -116,13 +127,16 @@ def assigned(pairs: DataFrame, group: str) -> DataFrame:
         if len(rows) > len(cols):
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in ((group, "int32"), ("correct_id", object), ("wrong_id", object), ("operation_distance", "int32"), ("edit_distance", "int32"), ("length_difference", "int32"))})
         wide = lambda c: pdf.pivot(index="correct_id", columns="wrong_id", values=c).loc[rows, cols].to_numpy()
-        op, ed, le = wide("operation_distance"), wide("edit_distance"), wide("length_difference")
-        tie = wide("tie")[0]
-        pick = assign(folded(op, ed, le, tie))
+        none = np.isnan(wide("tie").astype(float))  # pairs left out as too far
+        op, ed, le = (np.where(none, 0, wide(c)).astype(int) for c in ("operation_distance", "edit_distance", "length_difference"))
+        tie = np.nanmax(wide("tie").astype(float), axis=0).astype(int)
+        costs = folded(op, ed, le, tie)
+        never = len(rows) * max(map(max, costs)) + 1
+        pick = assign([[never if none[i, j] else x for j, x in enumerate(row)] for i, row in enumerate(costs)])
         g = pdf[group].iloc[0]
         return pd.DataFrame([(g, rows[i], cols[j], op[i, j], ed[i, j], le[i, j]) for i, j in enumerate(pick)], columns=[group, "correct_id", "wrong_id", "operation_distance", "edit_distance", "length_difference"])
 
-    return pairs.groupBy(group).applyInPandas(run, schema)
+    return cheapest(pairs, group).groupBy(group).applyInPandas(run, schema)
 
 
 def figure_rows(paired: DataFrame, group: str) -> DataFrame:

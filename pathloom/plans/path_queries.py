@@ -100,9 +100,7 @@ def pair_extremes(spark, sf_dir):
 def _assigned(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     chosen = pairing.extremes(rows.filter("correct"), "difficulty", 5)
-    from ..operators.ranking import top_per_group
-
-    wrong = top_per_group(rows.filter("not correct"), ["difficulty"], [F.col("evaluation_index"), F.col("candidate_id")], 40)
+    wrong = rows.filter("not correct")
     ops = parsed(chosen.select("path").union(wrong.select("path")), _D).filter("representable").select("path", F.col("layer_ops").alias("ops"))
     return pairing.assigned(pairing.distances(chosen.join(ops, "path"), wrong.join(ops, "path"), "difficulty"), "difficulty")
 

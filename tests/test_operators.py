@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.keys import digest_of, plain_key, question_key_of
 from pathloom.operators import geometry, ingest, lookup, mining, pairing, ranking, records, search, traces, transfer
+from pathloom.plans import path_queries
 from pathloom.sources import readers
 
 RAW = "raw_id bigint, query string, gt_ans string, query_metadata struct<level:int>, query_id string, query4test boolean"
@@ -153,6 +154,37 @@ def test_assignment_is_the_cheapest():
         assert key(pairing.assign(folded)) == min(key(p) for p in itertools.permutations(range(m), n))
 
 
+def test_assignment_takes_all_wrong_paths(spark, monkeypatch):
+    rng = random.Random(6)
+    paths = {(d, tuple(sorted(rng.sample(range(28), rng.randint(20, 28))))) for d in (1, 2) for _ in range(75 if d == 1 else 12)}
+    rows = [(d, f"{k:04d}", list(p), len(p), rng.randint(0, 60), k % 7 == 0) for k, (d, p) in enumerate(sorted(paths))]
+    monkeypatch.setattr(path_queries, "_labelled", lambda *_: spark.createDataFrame(rows, "difficulty int, candidate_id string, path array<int>, length int, evaluation_index int, correct boolean"))
+    got = {}
+    for r in path_queries.pair_assignment(spark, "").collect():
+        got.setdefault(r.difficulty, []).append(r)
+    index = {r[1]: r[4] for r in rows}
+    path = {r[1]: set(r[2]) for r in rows}
+    assert sum(not r[5] for r in rows if r[0] == 1) > 40 and got
+    for d, pairs in got.items():
+        wrong = [r[1] for r in rows if r[0] == d and not r[5]]
+        op = np.array([[len(path[p.correct_id] ^ path[w]) for w in wrong] for p in pairs])
+        length = np.array([[abs(len(path[p.correct_id]) - len(path[w])) for w in wrong] for p in pairs])
+        edit = np.array([[_levenshtein(sorted(path[p.correct_id]), sorted(path[w])) for w in wrong] for p in pairs])
+        costs = pairing.folded(op, edit, length, np.array([index[w] for w in wrong]))
+        best = sum(costs[i][j] for i, j in enumerate(pairing.assign(costs)))
+        assert len({p.wrong_id for p in pairs}) == len(pairs)
+        assert sum(costs[i][wrong.index(p.wrong_id)] for i, p in enumerate(pairs)) == best
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_beam_search():
     seg, ops = np.array([-9.0, 9, -9, -9, -9, -9, -9]), np.log(np.array([[0.1, 0.8, 0.1], [0.6, 0.3, 0.1]] + [[1 / 3] * 3] * 3 + [[0.1, 0.2, 0.7], [0.5, 0.25, 0.25]]))
     got = lookup.decode(seg, ops, beam=3)
