@@ -2,11 +2,12 @@
 
 Each page is cut into lines and windows of words. Lines of links, tags and product entries,
 and runs of bare lines of a few words, are list evidence. Windows of words without sentences
-in which few different words keep coming back are keyword evidence; where the repetition of a
-window alone doesn't decide, its phrase shingles do: phrases (five words) are exploded, the
-distinct hosts of each are counted over the whole crawl, and the window counts as stuffed if
-most of its phrases stand on several hosts. A page is spam if more than half of its words lie
-in such lines and windows.
+in which few different words keep coming back are keyword evidence; every window with less
+repetition is decided by its phrase shingles: the distinct hosts of each phrase (five words)
+are counted over all text of the whole crawl, and the window counts as stuffed if most of its
+phrases stand on several hosts. Only phrases of such windows are shuffled: a table of fixed
+size, which lets no phrase of them slip, sorts out the others before. A page is spam if more
+than half of its words lie in such lines and windows.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import written
+from .overlap import _spread
 from .text import form, words
 
 #: Words of a phrase shingle.
@@ -27,7 +30,11 @@ PHRASE = 5
 #: Words of a window in which repetition is measured.
 WINDOW = 60
 #: Share of repeated words (1 - different / all) from which a window without sentences is stuffed, and from which its phrases decide.
-SURE, UNSURE = 0.3, 0.1
+SURE, UNSURE = 0.3, 0.0
+#: Repetition below which a window is a stray part of wrapped text, not keywords, where half of the page's words are in sentences.
+STRAY = 0.1
+#: Log2 of the places of the table of phrases that decide something.
+TABLE_BITS = 22
 #: Hosts on which a replicated phrase stands at least, and the share of them in a stuffed window.
 HOSTS, REPLICATED = 3, 0.5
 #: Pages with fewer words are one-liners, never spam.
@@ -115,36 +122,76 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
     return total, listed, windows
 
 
-_PAGE = "doc_id bigint, host bigint, n bigint, listed bigint, sure bigint, unsure array<struct<n:int,phrases:array<bigint>>>, phrases array<bigint>"
+_PAGE = "doc_id bigint, host bigint, n bigint, listed bigint, sure bigint, unsure array<struct<n:int,phrases:array<bigint>>>"
 
 
-def _phrases(w: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(" ".join(w[k : k + PHRASE]).encode("utf-8", "surrogatepass")) - (1 << 63) for k in range(max(1, len(w) - PHRASE + 1))]
+def _word_hashes(w: list[str], known: dict[str, int]) -> list[int]:
+    out = []
+    for x in w:
+        h = known.get(x)
+        if h is None:
+            if len(known) > 300_000:
+                known.clear()
+            h = known[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
+        out.append(h)
+    return out
 
 
-def pages(documents: DataFrame) -> DataFrame:
-    """Evidence of each page of ``documents``(doc_id, url, source, text).
+def _phrases(w: list[str], known: dict[str, int]) -> np.ndarray:
+    """Hashes of all runs of PHRASE words."""
+    h = np.array(_word_hashes(w, known), np.uint64)
+    n = max(0, len(h) - PHRASE + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(PHRASE):
+        out = _spread(out + h[k : k + n])
+    return out.view(np.int64)
 
-    The host is that of the url, or the source where there is none.
-    """
+
+def pages(documents: DataFrame) -> DataFrame:
+    """Evidence of each page of ``documents``(doc_id, url, source, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             out = []
             for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
                 n, listed, windows = page_evidence(text or "")
-                sure = [x for x in windows if x[1] >= SURE]
-                unsure = [{"n": x[0], "phrases": _phrases(x[2])} for x in windows if UNSURE <= x[1] < SURE]
-                seen = {p for x in sure for p in _phrases(x[2])}.union(*(x["phrases"] for x in unsure))
-                out.append({"doc_id": i, "host": host, "n": n, "listed": listed, "sure": sum(x[0] for x in sure), "unsure": unsure, "phrases": sorted(seen)})
+                if any(x[1] < STRAY for x in windows) and 2 * sentence_words(text if text.isascii() else form(text)) >= n:
+                    windows = [x for x in windows if x[1] >= STRAY]
+                unsure = [{"n": x[0], "phrases": _phrases(x[2], known).tolist()} for x in windows if UNSURE <= x[1] < SURE]
+                out.append({"doc_id": i, "host": host, "n": n, "listed": listed, "sure": sum(x[0] for x in windows if x[1] >= SURE), "unsure": unsure})
             if out:
                 kind = pa.struct([("n", pa.int32()), ("phrases", pa.list_(pa.int64()))])
-                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "listed": pa.int64(), "sure": pa.int64(), "unsure": pa.list_(kind), "phrases": pa.list_(pa.int64())}
+                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "listed": pa.int64(), "sure": pa.int64(), "unsure": pa.list_(kind)}
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in types.items()], names=list(types))
 
+    return _hosted(documents).mapInArrow(run, _PAGE)
+
+
+def _hosted(documents: DataFrame) -> DataFrame:
+    """(doc_id, host, text); the host is that of the url, or the source where there is none."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/@]*@)?([^/:?#]+)", 1))
     host = F.xxhash64(F.when(host == "", F.coalesce(F.col("source"), F.lit(""))).otherwise(host))
-    return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), host.alias("host"), F.col("text").cast("string")).mapInArrow(run, _PAGE)
+    return documents.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), host.alias("host"), F.col("text").cast("string"))
+
+
+def phrase_hosts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(phrase, host) over all text of all pages, for phrases whose place in the table ``wanted`` is set; combined per batch."""
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known = np.unpackbits(shared.value).view(bool), {}
+        for batch in batches:
+            found = [np.zeros((0, 2), np.int64)]
+            for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                p = _phrases([y for x in text.splitlines() for y in words(x)], known)
+                p = p[table[p & (len(table) - 1)]]
+                if len(p):
+                    found.append(np.stack([p, np.full(len(p), host)], axis=1))
+            u = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1])], names=["phrase", "host"])
+
+    return _hosted(documents).select("host", "text").mapInArrow(run, "phrase bigint, host bigint").distinct()
 
 
 def spam_scores(documents: DataFrame) -> DataFrame:
@@ -153,9 +200,10 @@ def spam_scores(documents: DataFrame) -> DataFrame:
     Null ids and texts are left out; a repeated row is scored again; an empty table gives no rows.
     """
     page = written(pages(documents), "pages")
-    # a page's phrases are distinct already; hosts are counted after combining on the map side
-    on_host = page.select("host", F.explode("phrases").alias("phrase")).distinct()
-    replicated = on_host.groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= HOSTS).select("phrase")
+    places = page.select(F.explode("unsure.phrases").alias("p")).select(F.explode("p").alias("p")).select(F.col("p").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int").alias("place")).distinct()
+    wanted = np.zeros(1 << TABLE_BITS, bool)
+    wanted[places.toArrow().column("place").to_numpy()] = True
+    replicated = phrase_hosts(documents, wanted).groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= HOSTS).select("phrase")
     window = page.filter(F.size("unsure") > 0).select("doc_id", F.posexplode("unsure").alias("w", "x")).select("doc_id", "w", F.col("x.n").alias("n"), F.explode("x.phrases").alias("phrase"))
     hit = window.join(replicated.withColumn("hit", F.lit(1)), "phrase", "left")
     share = hit.groupBy("doc_id", "w").agg(F.first("n").alias("n"), (F.count("hit") / F.count(F.lit(1))).alias("share")).filter(F.col("share") >= REPLICATED)

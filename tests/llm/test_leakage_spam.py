@@ -76,6 +76,20 @@ def test_spam_is_told_from_text(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_varied_phrases_on_many_hosts_are_spam(spark):
+    parts = [" ".join(f"part{k}w{x}" for x in range(20)) for k in range(3)]
+    stitched = " ".join(parts)  # no word twice
+    assert spam.page_evidence(stitched)[2][0][1] == 0
+    rows = [(1, stitched, "https://host1.example/"), (2, stitched.replace("part", "lone"), "https://host2.example/")]
+    # two more hosts, where the phrases stand in ordinary sentences
+    rows += [(10 + 10 * h + k, SENTENCES * 2 + f"The shop writes {p} on its page. " + SENTENCES, f"https://other{h}.example/") for h in range(2) for k, p in enumerate(parts)]
+    # wrapped sentences that were crawled on many hosts
+    wrapped = "In spring forty plates for every quiet house near that broad river came from old\nmiller Tom. Then a baker sold twelve loaves to him."
+    rows += [(50 + k, wrapped, f"https://copy{k}.example/") for k in range(3)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, text string, url string, source string")
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == {1}
+
+
 def test_phrases_on_many_hosts_decide_unclear_windows(spark):
     calm = " ".join(f"word{k}" for k in range(26)) + " word1 word2 word3 word4 word5"
     n, listed, windows = spam.page_evidence(calm)
