@@ -37,7 +37,7 @@ STRAY = 0.1
 TABLE_BITS = 22
 #: Hosts on which a replicated phrase stands at least, and the share of them in a stuffed window.
 HOSTS, REPLICATED = 3, 0.5
-#: Pages with fewer words are one-liners, never spam.
+#: Words of a window or of a page of one line at least; shorter one-liners are never spam.
 LEAST_WORDS = 12
 #: Words of a bare line at most, and how many such lines in a row are a list.
 SHORT, LIST_RUN = 3, 5
@@ -122,7 +122,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
     return total, listed, windows
 
 
-_PAGE = "doc_id bigint, host bigint, n bigint, listed bigint, sure bigint, unsure array<struct<n:int,phrases:array<bigint>>>"
+_PAGE = "doc_id bigint, host bigint, n bigint, lines bigint, listed bigint, sure bigint, unsure array<struct<n:int,phrases:array<bigint>>>"
 
 
 def _word_hashes(w: list[str], known: dict[str, int]) -> list[int]:
@@ -159,10 +159,10 @@ def pages(documents: DataFrame) -> DataFrame:
                 if any(x[1] < STRAY for x in windows) and 2 * sentence_words(text if text.isascii() else form(text)) >= n:
                     windows = [x for x in windows if x[1] >= STRAY]
                 unsure = [{"n": x[0], "phrases": _phrases(x[2], known).tolist()} for x in windows if UNSURE <= x[1] < SURE]
-                out.append({"doc_id": i, "host": host, "n": n, "listed": listed, "sure": sum(x[0] for x in windows if x[1] >= SURE), "unsure": unsure})
+                out.append({"doc_id": i, "host": host, "n": n, "lines": sum(not x.isspace() and x != "" for x in (text or "").splitlines()), "listed": listed, "sure": sum(x[0] for x in windows if x[1] >= SURE), "unsure": unsure})
             if out:
                 kind = pa.struct([("n", pa.int32()), ("phrases", pa.list_(pa.int64()))])
-                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "listed": pa.int64(), "sure": pa.int64(), "unsure": pa.list_(kind)}
+                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "lines": pa.int64(), "listed": pa.int64(), "sure": pa.int64(), "unsure": pa.list_(kind)}
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in types.items()], names=list(types))
 
     return _hosted(documents).mapInArrow(run, _PAGE)
@@ -199,6 +199,10 @@ def spam_scores(documents: DataFrame) -> DataFrame:
 
     Null ids and texts are left out; a repeated row is scored again; an empty table gives no rows.
     """
+    return _scores(documents).drop("lines")
+
+
+def _scores(documents: DataFrame) -> DataFrame:
     page = written(pages(documents), "pages")
     places = page.select(F.explode("unsure.phrases").alias("p")).select(F.explode("p").alias("p")).select(F.col("p").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int").alias("place")).distinct()
     wanted = np.zeros(1 << TABLE_BITS, bool)
@@ -208,13 +212,13 @@ def spam_scores(documents: DataFrame) -> DataFrame:
     hit = window.join(replicated.withColumn("hit", F.lit(1)), "phrase", "left")
     share = hit.groupBy("doc_id", "w").agg(F.first("n").alias("n"), (F.count("hit") / F.count(F.lit(1))).alias("share")).filter(F.col("share") >= REPLICATED)
     more = share.groupBy("doc_id").agg(F.sum("n").alias("more"))
-    return page.join(more, "doc_id", "left").select("doc_id", F.col("n").alias("n_words"), F.col("listed").alias("list_words"), F.col("sure").alias("stuffed_words"), F.coalesce("more", F.lit(0)).cast("bigint").alias("replicated_words"))
+    return page.join(more, "doc_id", "left").select("doc_id", "lines", F.col("n").alias("n_words"), F.col("listed").alias("list_words"), F.col("sure").alias("stuffed_words"), F.coalesce("more", F.lit(0)).cast("bigint").alias("replicated_words"))
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
     """(doc_id) of pages of which more than half of the words are list or keyword evidence."""
-    s = spam_scores(documents)
-    return s.filter((F.col("n_words") >= LEAST_WORDS) & (2 * (F.col("list_words") + F.col("stuffed_words") + F.col("replicated_words")) > F.col("n_words"))).select("doc_id").distinct()
+    s = _scores(documents)
+    return s.filter(((F.col("n_words") >= LEAST_WORDS) | (F.col("lines") > 1)) & (2 * (F.col("list_words") + F.col("stuffed_words") + F.col("replicated_words")) > F.col("n_words"))).select("doc_id").distinct()
 
 
 __all__ = ["line_kind", "page_evidence", "pages", "sentence_words", "spam_pages", "spam_scores"]

@@ -76,6 +76,13 @@ def test_spam_is_told_from_text(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_short_pages_of_several_lines_can_be_spam(spark):
+    urls = [f"https://site{k}.example/" for k in range(6)]
+    texts = ["\n".join(urls), "\n".join(f"#tag{k}" for k in range(5)), urls[0], " \n" + urls[0] + "\n\n", "Plums\nin the spring"]
+    df = spark.createDataFrame([(i, t, None, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, url string, source string")
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == {0, 1}
+
+
 def test_varied_phrases_on_many_hosts_are_spam(spark):
     parts = [" ".join(f"part{k}w{x}" for x in range(20)) for k in range(3)]
     stitched = " ".join(parts)  # no word twice
