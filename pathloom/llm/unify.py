@@ -5,7 +5,8 @@ form needs no more than blank folding. All others are exploded to positioned pie
 of plain ASCII, or one character with the marks and invisible characters after it) and the
 pieces to positioned code points; a broadcast join maps each code point to its decomposed
 plain characters and their combining classes; marks are ordered by class, clusters are
-recomposed by a second broadcast join and the strings rebuilt in order. Both lookup tables
+recomposed by a second broadcast join and the strings rebuilt in order. Hangul syllables are
+recomposed by arithmetic. Both lookup tables
 come from the Unicode database and have a few thousand rows, whatever the data.
 """
 
@@ -29,6 +30,10 @@ SUSPECT = f"[^\\t\\n\\r -~](?<![{char_class(c for c in _SAFE if ord(c) < 0x250)}
 PIECE = f"(?s)[\\t\\n\\r -~]+(?![{_JOINERS}])|[^{_JOINERS}][{_JOINERS}]*|[{_JOINERS}]+"
 
 
+#: Two or three letters of a syllable, or a syllable and its last letter.
+_SYLLABLE = "(?:[\\u1100-\\u1112][\\u1161-\\u1175][\\u11A8-\\u11C2]?|[\\uAC00-\\uD7A3][\\u11A8-\\u11C2])"
+
+
 def evened(text: Column) -> Column:
     """Runs of ordinary blanks as one, none at the ends."""
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " "))
@@ -46,6 +51,22 @@ def compositions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(COMPOSED.items()), "tail string, composed string")
 
 
+def _syllables(text: Column) -> Column:
+    """Hangul letters composed to syllables by arithmetic, as they are in the Unicode standard."""
+    code = lambda x, k: F.ascii(F.substring(x, k, 1))
+    char = lambda n: F.decode(F.unhex(F.hex(n)), "UTF-16BE")
+    last = lambda x, k: F.when(F.length(x) >= k, code(x, k) - 0x11A7).otherwise(0)
+
+    def one(x: Column) -> Column:
+        first = code(x, 1)
+        letters = char((0xAC00 + ((first - 0x1100) * 21 + code(x, 2) - 0x1161) * 28 + last(x, 3)).cast("bigint"))
+        closed = char((first + last(x, 2)).cast("bigint"))
+        return F.when(F.length(x) < 2, x).when(first < 0x1113, letters).when((first - 0xAC00) % 28 == 0, closed).otherwise(x)
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){_SYLLABLE}|."), F.lit(0))
+    return F.when(text.rlike(_SYLLABLE), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``form`` of each row of ``df``; rows with the same keys must have the same text.
 
@@ -76,7 +97,7 @@ def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     )
     out = cluster.join(F.broadcast(compositions(spark)), "tail", "left").select(*ks, "pos", F.concat("head", F.coalesce("composed", "tail", F.lit(""))).alias("out"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")
-    rebuilt = out.groupBy(*ks).agg(evened(whole).alias("form"))
+    rebuilt = out.groupBy(*ks).agg(evened(whole).alias("form")).withColumn("form", _syllables(F.col("form")))
     return plain.unionByName(rebuilt).select(*(F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)), "form")
 
 

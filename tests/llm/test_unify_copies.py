@@ -18,6 +18,15 @@ def test_relational_form_equals_the_plain_one(spark):
             assert unicodedata.normalize("NFC", got[i]) == form(t), ascii(t)
 
 
+def test_hangul_letters_and_syllables_are_one_form(spark):
+    whole = ["\ud55c\uad6d\uc5b4 \uac00 \uac01 x\u0301 \ud7a3", "\uac00\uac01"]
+    texts = [*whole, *(unicodedata.normalize("NFD", t) for t in whole), "\uac00\u11a8", "\uac01\u11a8", "\u1100 \u1161", "\u1100\u0301\u1161"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    assert {r.id: r.form for r in unify.consistent_form(df, ["id"]).collect()} == {i: form(t) for i, t in enumerate(texts)}
+    twins = spark.createDataFrame([("a", 1, whole[0]), ("a", 2, texts[2])], "tab string, id bigint, text string")
+    assert {tuple(r) for r in unify.hidden_twins(twins).collect()} == {("a", 1, 2)}
+
+
 def test_twins(spark):
     rows = [("a", 1, "cafe x"), ("a", 2, "cafe  x"), ("a", 3, "c\u0430fe x"), ("b", 4, "c\u0430fe x"), ("a", 5, "Cafe x"), ("a", 6, None), ("a", 7, "\u200b"), ("a", 8, " "), ("a", 3, "c\u0430fe x")]
     df = spark.createDataFrame(rows, "tab string, id bigint, text string")
