@@ -1,18 +1,22 @@
 """Problem 8: keyword-stuffed pages, link lists and lists of tags or products.
 
 Each page is cut into lines and windows of words. Lines of links, tags and product entries,
-and runs of bare lines of a few words, are list evidence. Windows of words without sentences
-in which few different words keep coming back are keyword evidence; every window with less
-repetition is decided by its phrase shingles: the distinct hosts of each phrase (five words)
-are counted over all text of the whole crawl, and the window counts as stuffed if most of its
-phrases stand on several hosts. Only phrases of such windows are shuffled: a table of fixed
-size, which lets no phrase of them slip, sorts out the others before. A page is spam if more
-than half of its words lie in such lines and windows.
+and runs of bare lines of a few words, are list evidence. Windows of words without real
+sentences are judged twice. Phrase shingles: the distinct hosts of each phrase (five words) are
+counted over all text of the whole crawl. Where one word leads the window, it is masked, so
+that phrases stuffed with different keywords are one frame ("buy * and * *"); such a window is
+stuffed if enough of its frames with two masks or more stand on several hosts, any other if
+most of its phrases do. Repetition: a window in which few different words keep coming back is
+stuffed, also where it is the only one of its kind. Full stops don't make a sentence of words
+that one keyword leads. Only phrases of windows without sentences are shuffled: a table of
+fixed size, which lets no phrase of them slip, sorts out the others before. A page is spam if
+more than half of its words lie in such lines and windows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +33,16 @@ from .text import form, words
 PHRASE = 5
 #: Words of a window in which repetition is measured.
 WINDOW = 60
-#: Share of repeated words (1 - different / all) from which a window without sentences is stuffed, and from which its phrases decide.
-SURE, UNSURE = 0.3, 0.0
+#: Share of repeated words (1 - different / all) from which a window without sentences is stuffed by itself.
+SURE = 0.3
+#: Share of one word from which it leads a window or line, and from which words with a full stop that it leads are no sentence.
+LEAD, LED = 0.2, 0.3
 #: Repetition below which a window is a stray part of wrapped text, not keywords, where half of the page's words are in sentences.
 STRAY = 0.1
 #: Log2 of the places of the table of phrases that decide something.
 TABLE_BITS = 22
-#: Hosts on which a replicated phrase stands at least, and the share of them in a stuffed window.
-HOSTS, REPLICATED = 3, 0.5
+#: Hosts on which a replicated phrase stands at least, and the share of them in a stuffed window, of frames in a led one.
+HOSTS, REPLICATED, FRAMED = 3, 0.5, 0.15
 #: Words of a window or of a page of one line at least; shorter one-liners are never spam.
 LEAST_WORDS = 12
 #: Words of a bare line at most, and how many such lines in a row are a list.
@@ -49,6 +55,7 @@ _PRODUCT = re.compile(r"(?i)\bsku\W?\d+|\S\s[>»›]\s\S+(?:\s\S+){0,3}\s[>»›
 _TAGS = re.compile(r"^\s*#?\w{3,12}:(?:\s*[\w-]+\s*[,;]){3,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
 _ENDED = re.compile(r"[.!?…][\"'”’)\]]*\s*$")
+_TOKEN = re.compile(r"[^\W_]+")
 _NUMBER = re.compile(r"^[^A-Za-z]*\d[\d.,:/%x=_-]*$")
 
 
@@ -68,13 +75,46 @@ def line_kind(line: str, tokens: list[str]) -> str:
     return "short" if len(tokens) <= SHORT and not _ENDED.search(line) else "text"
 
 
-def sentence_words(text: str) -> int:
-    """Words in sentences: pieces of 4 to 60 words that end with a full stop, question or exclamation mark."""
-    return sum(n for n in (len(s.split()) for s in _SENTENCE.split(text) if _ENDED.search(s)) if 4 <= n <= 60)
+def leader(tokens: list[str]) -> tuple[str, float]:
+    """The most frequent word that is no number, and its share of all words; of several the one that comes first."""
+    counts = Counter(tokens)
+    word = max(counts, key=counts.get)
+    if not any(map(str.isalpha, word)):
+        word = next((x for x, _ in counts.most_common(8) if any(map(str.isalpha, x))), "")
+    return word, counts[word] / len(tokens)
+
+
+def sentence_words(text: str, lead: str = "") -> int:
+    """Words in real sentences: pieces of 4 to 60 words that end with a full stop, question or exclamation mark and aren't led by one word.
+
+    ``lead`` leads the page; a line of some length may have its own leader.
+    """
+    led = {lead} if lead else set()
+    for line in text.splitlines():
+        own = _TOKEN.findall(line.lower())
+        if len(own) >= LEAST_WORDS and len(set(own)) <= len(own) * (1 - LED) + 1:  # else no word can come that often
+            word, share = leader(own)
+            if share >= LED:
+                led.add(word)
+    total = 0
+    for piece in _SENTENCE.split(text):
+        n = len(piece.split())
+        if 4 <= n <= 60 and _ENDED.search(piece):
+            w = _TOKEN.findall(piece.lower()) if led else ()
+            if not any(w.count(x) >= LED * len(w) for x in led):
+                total += n
+    return total
+
+
+def page_leader(text: str) -> str:
+    """The word that leads the whole text, or nothing."""
+    own = _TOKEN.findall(text.lower())
+    word, share = leader(own) if len(own) >= LEAST_WORDS else ("", 0.0)
+    return word if share >= LEAD else ""
 
 
 def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]]]]:
-    """(words, words in lists, [(words, repetition, words in order) of each window without sentences])."""
+    """(words, words in lists, [(words, repetition, words in order) of each window without real sentences])."""
     lines, split = [], []
     for x in text.splitlines():
         x = x if x.isascii() else form(x)
@@ -82,6 +122,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
         if t:
             lines.append(x)
             split.append(t)
+    lead = page_leader("\n".join(lines))
     kinds = [line_kind(x, t) for x, t in zip(lines, split, strict=True)]
     for k, kind in enumerate(kinds):  # bare words between links or tags belong to that list
         if kind == "short" and any(kinds[j] in ("link", "tag") for j in (k - 1, k + 1) if 0 <= j < len(kinds)):
@@ -101,7 +142,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
 
     def close() -> None:
         # one block: lines in a row of which none is mostly sentences
-        if block and sum(len(t) for t, _ in block) >= LEAST_WORDS and sentence_words("\n".join(x for _, x in block)) < 0.5 * sum(len(t) for t, _ in block):
+        if block and sum(len(t) for t, _ in block) >= LEAST_WORDS and sentence_words("\n".join(x for _, x in block), lead) < 0.5 * sum(len(t) for t, _ in block):
             w = [y for _, x in block for y in words(x)]
             if len(w) >= LEAST_WORDS and sum(bool(_NUMBER.match(y)) for y in w) <= 0.2 * len(w):
                 n = max(1, round(len(w) / WINDOW))
@@ -114,7 +155,7 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
         if kind in ("link", "tag", "product", "listed"):
             listed += len(t)
             close()
-        elif 2 * sentence_words(line) >= len(t):
+        elif 2 * sentence_words(line, lead) >= len(t):
             close()
         else:
             block.append((t, line))
@@ -122,7 +163,9 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
     return total, listed, windows
 
 
-_PAGE = "doc_id bigint, host bigint, n bigint, lines bigint, listed bigint, sure bigint, unsure array<struct<n:int,phrases:array<bigint>>>"
+_PAGE = "doc_id bigint, host bigint, n bigint, lines bigint, listed bigint, windows array<struct<n:int,repeats:boolean,least:double,phrases:array<bigint>>>"
+#: Stands for the leading word in frames.
+_MASK = np.uint64(0x5851F42D4C957F2D)
 
 
 def _word_hashes(w: list[str], known: dict[str, int]) -> list[int]:
@@ -137,9 +180,7 @@ def _word_hashes(w: list[str], known: dict[str, int]) -> list[int]:
     return out
 
 
-def _phrases(w: list[str], known: dict[str, int]) -> np.ndarray:
-    """Hashes of all runs of PHRASE words."""
-    h = np.array(_word_hashes(w, known), np.uint64)
+def _runs_of(h: np.ndarray) -> np.ndarray:
     n = max(0, len(h) - PHRASE + 1)
     out = np.zeros(n, np.uint64)
     for k in range(PHRASE):
@@ -147,6 +188,34 @@ def _phrases(w: list[str], known: dict[str, int]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _phrases(w: list[str], known: dict[str, int]) -> np.ndarray:
+    """Hashes of all runs of PHRASE words."""
+    return _runs_of(np.array(_word_hashes(w, known), np.uint64))
+
+
+def _frames(w: list[str], lead: str, known: dict[str, int]) -> np.ndarray:
+    """Hashes of all runs of PHRASE words in which ``lead`` stands twice or more and is masked."""
+    h = np.array(_word_hashes(w, known), np.uint64)
+    masked = np.array([x == lead for x in w], bool)
+    h[masked] = _MASK
+    count = np.convolve(masked, np.ones(PHRASE, np.int64), "valid") if len(w) >= PHRASE else np.zeros(0)
+    return _runs_of(h)[count >= 2]
+
+
+def _spelled(line: str) -> list[str]:
+    """The words of a line that have letters or digits."""
+    return [y for y in words(line) if y.isalnum() or any(map(str.isalnum, y))]
+
+
+def _window(n: int, repetition: float, w: list[str], known: dict[str, int]) -> dict:
+    """One window: whether it repeats itself, its phrases or frames, and how many of them must stand on several hosts."""
+    w = [y for y in w if y.isalnum() or any(map(str.isalnum, y))]
+    word, share = leader(w) if w else ("", 0.0)
+    phrases = _frames(w, word, known) if share >= LEAD else _phrases(w, known)
+    least = max(1.0, (FRAMED if share >= LEAD else REPLICATED) * max(len(w) - PHRASE + 1, 1))
+    return {"n": n, "repeats": repetition >= SURE, "least": least, "phrases": phrases.tolist()}
+
+
 def pages(documents: DataFrame) -> DataFrame:
     """Evidence of each page of ``documents``(doc_id, url, source, text)."""
 
@@ -156,13 +225,13 @@ def pages(documents: DataFrame) -> DataFrame:
             out = []
             for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
                 n, listed, windows = page_evidence(text or "")
-                if any(x[1] < STRAY for x in windows) and 2 * sentence_words(text if text.isascii() else form(text)) >= n:
+                if any(x[1] < STRAY for x in windows) and 2 * sentence_words(text if text.isascii() else form(text), page_leader(text)) >= n:
                     windows = [x for x in windows if x[1] >= STRAY]
-                unsure = [{"n": x[0], "phrases": _phrases(x[2], known).tolist()} for x in windows if UNSURE <= x[1] < SURE]
-                out.append({"doc_id": i, "host": host, "n": n, "lines": sum(not x.isspace() and x != "" for x in (text or "").splitlines()), "listed": listed, "sure": sum(x[0] for x in windows if x[1] >= SURE), "unsure": unsure})
+                lines = sum(not x.isspace() and x != "" for x in (text or "").splitlines())
+                out.append({"doc_id": i, "host": host, "n": n, "lines": lines, "listed": listed, "windows": [_window(*x, known) for x in windows]})
             if out:
-                kind = pa.struct([("n", pa.int32()), ("phrases", pa.list_(pa.int64()))])
-                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "lines": pa.int64(), "listed": pa.int64(), "sure": pa.int64(), "unsure": pa.list_(kind)}
+                kind = pa.struct([("n", pa.int32()), ("repeats", pa.bool_()), ("least", pa.float64()), ("phrases", pa.list_(pa.int64()))])
+                types = {"doc_id": pa.int64(), "host": pa.int64(), "n": pa.int64(), "lines": pa.int64(), "listed": pa.int64(), "windows": pa.list_(kind)}
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in types.items()], names=list(types))
 
     return _hosted(documents).mapInArrow(run, _PAGE)
@@ -184,7 +253,10 @@ def phrase_hosts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
         for batch in batches:
             found = [np.zeros((0, 2), np.int64)]
             for host, text in zip(batch.column("host").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                p = _phrases([y for x in text.splitlines() for y in words(x)], known)
+                rows = [_spelled(x) for x in text.splitlines()]
+                w = [y for x in rows for y in x]
+                found_leads = [leader(x) for x in (w, *rows) if len(x) >= LEAST_WORDS and len(set(x)) <= len(x) * (1 - LEAD) + 1]
+                p = np.concatenate([_phrases(w, known), *(_frames(w, x, known) for x in {x for x, share in found_leads if share >= LEAD})])
                 p = p[table[p & (len(table) - 1)]]
                 if len(p):
                     found.append(np.stack([p, np.full(len(p), host)], axis=1))
@@ -195,8 +267,9 @@ def phrase_hosts(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def spam_scores(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_words, list_words, stuffed_words, replicated_words): evidence of every page.
+    """(doc_id, n_words, list_words, repeated_words, replicated_words, stuffed_words): evidence of every page.
 
+    Repetition and phrases on several hosts are counted each by itself; stuffed are the words of windows with either.
     Null ids and texts are left out; a repeated row is scored again; an empty table gives no rows.
     """
     return _scores(documents).drop("lines")
@@ -204,21 +277,24 @@ def spam_scores(documents: DataFrame) -> DataFrame:
 
 def _scores(documents: DataFrame) -> DataFrame:
     page = written(pages(documents), "pages")
-    places = page.select(F.explode("unsure.phrases").alias("p")).select(F.explode("p").alias("p")).select(F.col("p").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int").alias("place")).distinct()
+    places = page.select(F.explode("windows.phrases").alias("p")).select(F.explode("p").alias("p")).select(F.col("p").bitwiseAND(F.lit((1 << TABLE_BITS) - 1)).cast("int").alias("place")).distinct()
     wanted = np.zeros(1 << TABLE_BITS, bool)
     wanted[places.toArrow().column("place").to_numpy()] = True
     replicated = phrase_hosts(documents, wanted).groupBy("phrase").agg(F.count(F.lit(1)).alias("hosts")).filter(F.col("hosts") >= HOSTS).select("phrase")
-    window = page.filter(F.size("unsure") > 0).select("doc_id", F.posexplode("unsure").alias("w", "x")).select("doc_id", "w", F.col("x.n").alias("n"), F.explode("x.phrases").alias("phrase"))
-    hit = window.join(replicated.withColumn("hit", F.lit(1)), "phrase", "left")
-    share = hit.groupBy("doc_id", "w").agg(F.first("n").alias("n"), (F.count("hit") / F.count(F.lit(1))).alias("share")).filter(F.col("share") >= REPLICATED)
-    more = share.groupBy("doc_id").agg(F.sum("n").alias("more"))
-    return page.join(more, "doc_id", "left").select("doc_id", "lines", F.col("n").alias("n_words"), F.col("listed").alias("list_words"), F.col("sure").alias("stuffed_words"), F.coalesce("more", F.lit(0)).cast("bigint").alias("replicated_words"))
+    window = page.filter(F.size("windows") > 0).select("doc_id", F.posexplode("windows").alias("w", "x"))
+    hits = window.select("doc_id", "w", F.explode("x.phrases").alias("phrase")).join(replicated, "phrase", "left_semi").groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("hits"))
+    judged = window.select("doc_id", "w", "x.n", "x.repeats", "x.least").join(hits, ["doc_id", "w"], "left")
+    known = F.coalesce(F.col("hits") >= F.col("least"), F.lit(False))
+    words_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")
+    stuffed = judged.groupBy("doc_id").agg(words_if(F.col("repeats")).alias("repeated_words"), words_if(known).alias("replicated_words"), words_if(F.col("repeats") | known).alias("stuffed_words"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated_words", "replicated_words", "stuffed_words")]
+    return page.select("doc_id", "lines", "n", "listed").join(stuffed, "doc_id", "left").select("doc_id", "lines", F.col("n").alias("n_words"), F.col("listed").alias("list_words"), *zero)
 
 
 def spam_pages(documents: DataFrame) -> DataFrame:
     """(doc_id) of pages of which more than half of the words are list or keyword evidence."""
     s = _scores(documents)
-    return s.filter(((F.col("n_words") >= LEAST_WORDS) | (F.col("lines") > 1)) & (2 * (F.col("list_words") + F.col("stuffed_words") + F.col("replicated_words")) > F.col("n_words"))).select("doc_id").distinct()
+    return s.filter(((F.col("n_words") >= LEAST_WORDS) | (F.col("lines") > 1)) & (2 * (F.col("list_words") + F.col("stuffed_words")) > F.col("n_words"))).select("doc_id").distinct()
 
 
 __all__ = ["line_kind", "page_evidence", "pages", "sentence_words", "spam_pages", "spam_scores"]

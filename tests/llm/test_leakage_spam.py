@@ -100,6 +100,35 @@ def test_varied_phrases_on_many_hosts_are_spam(spark):
 def test_phrases_on_many_hosts_decide_unclear_windows(spark):
     calm = " ".join(f"word{k}" for k in range(26)) + " word1 word2 word3 word4 word5"
     n, listed, windows = spam.page_evidence(calm)
-    assert listed == 0 and spam.UNSURE <= windows[0][1] < spam.SURE
+    assert listed == 0 and windows[0][1] < spam.SURE
     df = spark.createDataFrame([(i, calm, f"https://host{i}.example/", "s") for i in range(spam.HOSTS)] + [(50, calm.replace("word", "lone"), "https://one.example/", "s")], "doc_id bigint, text string, url string, source string")
     assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(spam.HOSTS))
+
+
+def _stuffed(rng, lead, words):
+    """Keyword stuffing cut by full stops, so that every piece looks like a sentence."""
+    out = []
+    for k in range(60):
+        out.append(f"{rng.choice(words)} {lead} {rng.choice(['with', 'for', 'and', 'in'])} {rng.choice(words)} {lead}" + ("." if k % 3 == 2 else ""))
+    return " ".join(out)
+
+
+def test_full_stops_do_not_hide_stuffing(spark):
+    rng = random.Random(3)
+    some = ["buy", "cheap", "new", "best", "review", "order", "price", "fast"]
+    pages = {1: _stuffed(rng, "ruler", some), 2: SENTENCES + "\n" + _stuffed(rng, "tutor", some), 3: "\n".join(_stuffed(rng, "app", some).split(". "))}
+    calm = {10: SENTENCES * 3 + " ".join(f"Tom{k} gave the tutor {k} coins for a lesson in spring." for k in range(20)), 11: "Chaque élève de Langham mesure 61.4 mètres de corde près de 62 étoiles."}
+    df = spark.createDataFrame([(i, t, f"https://h{i}.example/", "s") for i, t in (pages | calm).items()], "doc_id bigint, text string, url string, source string")
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(pages)
+
+
+def test_frames_with_masked_keywords_are_counted_over_hosts(spark):
+    # Each page stuffs its own keyword into the same phrases, once each: little repetition, but the frames stand on many hosts.
+    own = [f"word{x}" for x in range(60)]
+    page = lambda lead: " ".join(f"{own[3 * k]} {own[3 * k + 1]} {lead} {own[3 * k + 2]} {lead}" for k in range(3)) + " " + " ".join(own[30:38])
+    texts = {k: page(f"key{k}") for k in range(4)} | {50: page("solo").replace("word", "lone")}
+    assert all(w[1] < spam.SURE for t in texts.values() for w in spam.page_evidence(t)[2])
+    df = spark.createDataFrame([(i, t, f"https://h{i}.example/", "s") for i, t in texts.items()], "doc_id bigint, text string, url string, source string")
+    scores = {r.doc_id: r for r in spam.spam_scores(df).collect()}
+    assert all(scores[k].repeated_words == 0 and scores[k].replicated_words > 0 for k in range(4)) and scores[50].replicated_words == 0
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(4))
