@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows with one key beyond which ``hot_joined`` spreads them.
+HOT_ROWS = 100_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,15 +39,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_local(master: str) -> bool:
+    """Whether all executors of ``master`` are threads of one process on this machine."""
+    return re.fullmatch(r"local(\[.*\])?", master) is not None
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates and checkpoints.
 
-    The cluster's own setting wins. Only a session that names none (tests on one
-    machine) gets a temporary folder of this process.
+    The cluster's own setting wins. Only a session on one machine that names none (tests)
+    gets a temporary folder of this process; on a cluster that is an error.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = getattr(scratch_root, "own", None)
         if root is None:
             own = tempfile.mkdtemp(prefix="pathloom-")
@@ -66,6 +78,25 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_joined(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """The inner equi-join of ``rows`` and ``other`` on ``key``, in which keys with very many ``rows`` are spread over several tasks.
+
+    Keys are counted first, combined before the shuffle. One with more than HOT_ROWS rows is
+    split by a hash of the rows into as many parts as it needs, and its rows of ``other`` are
+    repeated for each part. There are fewer such keys than rows / HOT_ROWS, so their list can be
+    broadcast. Null keys match nothing. Columns other than ``key`` must have different names.
+    """
+    part, parts = "part_of_key", "parts_of_key"
+    while {part, parts} & {*rows.columns, *other.columns}:
+        part, parts = part + "_", parts + "_"
+    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(parts)).filter(F.col(parts) > HOT_ROWS).withColumn(parts, F.ceil(F.col(parts) / F.lit(HOT_ROWS)).cast("int"))
+    hot = F.broadcast(hot)
+    of_row = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    split = rows.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*of_row), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
+    whole = other.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
+    return split.join(whole, [*key, part]).drop(part)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove the intermediates that this process has written; results that still read them become unusable."""
     jvm = spark.sparkContext._jvm
