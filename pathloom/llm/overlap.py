@@ -8,17 +8,20 @@ Two texts match when the number of words in common (with multiplicity) is at lea
 2. ``rarity``       a histogram of token counts over a fixed number of hash buckets. It
                     covers all rows and its size never grows, so it can be broadcast.
                     Any total order of tokens is correct; a rare-first order is fast.
-3. ``prefix_keys``  rare-first prefixes. Two matching texts share at least ``g + 1``
+3. ``packed_keys``  rare-first prefixes. Two matching texts share at least ``g + 1``
                     tokens of their prefixes of length ``n - need + g + 1``, hence two of
                     them in one of ``g`` hash segments: every pair of prefix tokens in a
                     segment is a join key (an n-gram of the prefix). Short texts use
                     single tokens. Keys travel in packed blocks, one per task and
-                    partition; each text adds a bit fingerprint (an odd sketch: parities
-                    of token hashes), whose Hamming distance never exceeds the number of
-                    tokens that two texts don't share.
+                    partition; the partition follows from the rarer token of a key, so a
+                    text is sent once for all keys with that token (a frequent token is
+                    split by the other one). Each text adds a bit fingerprint (an odd
+                    sketch: parities of token hashes), whose Hamming distance never
+                    exceeds the number of tokens that two texts don't share.
 4. ``match_keys``   within equal keys, the length filter and the Hamming radius that
                     follows from the threshold drop nearly all other pairs. Long runs of
-                    equal keys are cut into blocks that become rows of their own.
+                    equal keys are cut into blocks; each pair of blocks is a task's row,
+                    made only after the blocks have been spread.
 5. ``verify``       each remaining pair is counted exactly, once.
 
 Copies (the same word sequence) are one class throughout: a hot text costs one entry per
@@ -28,7 +31,7 @@ tokens of a key lie in both prefixes), suffix filtering in the Hamming radius.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -48,17 +51,21 @@ SKETCH_WORDS = 3
 #: Each bound needs threshold * bound >= segments + 1.
 SCHEMES = ((1, 0), (15, 10), (150, 60), (600, 240), (2400, 960), (9600, 3840), (38400, 15360), (153600, 61440))
 #: Keys of one partition, which bounds a task's memory.
-KEYS_PER_PARTITION = 3_000_000
+KEYS_PER_PARTITION = 4_000_000
+#: Texts with one leading token beyond which its keys go to several partitions.
+ROUTE_ROWS = 400_000
+#: Tokens whose keys are made at once.
+SLICE_TOKENS = 500_000
 #: Classes with one key beyond which the run is cut into blocks of this many.
-RUN_BLOCK = 2048
+RUN_BLOCK = 16_384
 #: Classes with one key from which the run is compared as one dense block.
 DENSE = 16
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 TOKEN_SCHEMA = "tab string, id bigint, side int, c1 bigint, c2 bigint, b1 bigint, b2 bigint, n int, tok binary"
-_ENTRY = np.dtype([("c1", "<u8"), ("sketch", "<u8", (SKETCH_WORDS,)), ("n", "<u4"), ("side", "u1"), ("tab", "u1"), ("pad", "<u2")])
-_KEY = np.dtype([("key", "<u4"), ("at", "<u4")])
+_ENTRY = np.dtype([("c1", "<u8"), ("sketch", "<u8", (SKETCH_WORDS,)), ("n", "<u4"), ("side", "u1"), ("tab", "u1")])
+_KEY = np.dtype([("key", "<u4"), ("at", "<u2")])
 
 
 def need(m, threshold: Fraction):
@@ -167,14 +174,18 @@ def _sketches(tok: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd, axis=1, bitorder="little").view("<u8").reshape(rows, SKETCH_WORDS)
 
 
-def batch_keys(tok: np.ndarray, n: np.ndarray, tab: np.ndarray, count: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit key) of all join keys of a batch of texts, by every scheme a partner may be in."""
+#: Makes the join keys of a batch: (tokens, lengths, tables, token counts, threshold) -> (row, 64-bit key, 64-bit route) of each key.
+KeyMaker = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Fraction], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def batch_keys(tok: np.ndarray, n: np.ndarray, tab: np.ndarray, count: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, route) of all join keys of a batch of texts, by every scheme a partner may be in. Keys with one rarer token have one route."""
     row = np.repeat(np.arange(len(n)), n)
     df = count[tok >> np.uint32(32 - RARITY_BITS)].astype(np.uint64)
     order = np.lexsort(((df << np.uint64(32)) | tok, row))
-    tok = tok[order]
+    tok, df = tok[order], df[order]
     pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
-    rows, keys = [], []
+    rows, keys, routes = [], [], []
     for k, (low, groups) in enumerate(SCHEMES):
         high = SCHEMES[k + 1][0] if k + 1 < len(SCHEMES) else 1 << 60
         use = (n < high) & (need(low, threshold) <= n) & (n * threshold.denominator // threshold.numerator >= low)
@@ -182,37 +193,75 @@ def batch_keys(tok: np.ndarray, n: np.ndarray, tab: np.ndarray, count: np.ndarra
             continue
         length = np.where(use, n - need(np.maximum(n, low), threshold) + groups + 1, 0)
         pick = pos < length[row]
-        t, r = tok[pick].astype(np.uint64), row[pick]
+        t, r, often = tok[pick].astype(np.uint64), row[pick], df[pick]
+        h = _spread(t + np.uint64(k << 40) + (tab[r].astype(np.uint64) << np.uint64(48)))
         if groups == 0:
             rows.append(r)
-            keys.append(_spread(t + np.uint64(k << 40) + (tab[r].astype(np.uint64) << np.uint64(48))))
+            keys.append(h)
+            routes.append(h)
             continue
         seg = (_spread(t + np.uint64(k + 11)) % np.uint64(groups)).astype(np.int64)
-        order = np.lexsort((t, r * groups + seg))
-        t, r = t[order], r[order]
-        at = r * groups + seg[order]
-        h = _spread(t + np.uint64(k << 40) + (tab[r].astype(np.uint64) << np.uint64(48)))
+        at = r * groups + seg
+        order = np.argsort(at, kind="stable")  # rare tokens stay first
+        at, h, r, often = at[order], h[order], r[order], often[order]
         step = 1
-        a = np.arange(len(t))
+        a = np.arange(len(at))
         while True:
-            a = a[a + step < len(t)]
+            a = a[a + step < len(at)]
             a = a[at[a] == at[a + step]]
             if not len(a):
                 break
+            key = _spread(h[a] * np.uint64(3) + h[a + step])
             rows.append(r[a])
-            keys.append(_spread(h[a] * np.uint64(3) + h[a + step]))
+            keys.append(key)
+            routes.append(split_route(h[a], key, often[a]))
             step += 1
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(keys)
+        none = np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), none, none
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(routes)
 
 
-def prefix_keys(tokens: DataFrame, count: np.ndarray, partitions: int, threshold: Fraction) -> DataFrame:
+def split_route(lead: np.ndarray, key: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """One route for all keys with one leading part, several where more than ROUTE_ROWS ``texts`` have that part."""
+    return _spread(lead + (key % (texts // np.uint64(ROUTE_ROWS) + np.uint64(1))) * _GOLD)
+
+
+def key_count(tokens: DataFrame, threshold: Fraction) -> int:
+    """Keys of all ``tokens`` by ``batch_keys``, estimated from the lengths of all texts."""
+    n, total = F.col("n"), F.lit(0.0)
+    for k, (low, groups) in enumerate(SCHEMES):
+        high = SCHEMES[k + 1][0] if k + 1 < len(SCHEMES) else 1 << 40
+        longer = F.greatest(n, F.lit(low)) * (threshold.numerator / threshold.denominator)
+        length = n - longer + groups + 1
+        per = length if groups == 0 else length * (length - 1) / (2.0 * groups)
+        total += F.when((n < high) & (n >= low * threshold.numerator / threshold.denominator), per).otherwise(0.0)
+    return int(tokens.agg(F.sum(total)).first()[0] or 0)
+
+
+def packed_keys(tokens: DataFrame, count: np.ndarray, partitions: int, threshold: Fraction, make: KeyMaker = batch_keys) -> DataFrame:
     """Packed blocks (p, entries, keys): the classes of one task that have keys in partition ``p``."""
     shared = tokens.sparkSession.sparkContext.broadcast(count)
 
+    def of_slice(c1: np.ndarray, side: np.ndarray, tab: np.ndarray, n: np.ndarray, tok: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        entry = np.zeros(len(n), _ENTRY)
+        entry["c1"], entry["n"], entry["side"], entry["tab"] = c1.view(np.uint64), n, side, tab
+        entry["sketch"] = _sketches(tok, np.repeat(np.arange(len(n)), n), len(n))
+        row, key, route = make(tok, n, tab, shared.value, threshold)
+        part = (route % np.uint64(partitions)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        row, key, part = row[order], key[order], part[order]
+        start = np.nonzero(np.r_[True, part[1:] != part[:-1]])[0] if len(part) else []
+        out = []
+        for a, b in zip(start, [*start[1:], len(part)], strict=True):
+            own, at = np.unique(row[a:b], return_inverse=True)
+            keys = np.empty(b - a, _KEY)
+            keys["key"], keys["at"] = key[a:b] & np.uint64(0xFFFFFFFF), at
+            out.append((int(part[a]), entry[own].tobytes(), keys.tobytes()))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, seen = shared.value, set()
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
             c1, side = batch.column("c1").to_numpy(), batch.column("side").to_numpy()
             tab = np.array([sum(x.encode()) & 255 for x in batch.column("tab").to_pylist()], dtype=np.uint8)
@@ -223,30 +272,17 @@ def prefix_keys(tokens: DataFrame, count: np.ndarray, partitions: int, threshold
                     new.append(i)
             if len(seen) > 2_000_000:
                 seen.clear()
-            if not new:
-                continue
-            new = np.array(new)
-            n = batch.column("n").to_numpy()[new].astype(np.int64)
-            tok = _flat(batch.column("tok").take(pa.array(new)))
-            entry = np.zeros(len(n), _ENTRY)
-            entry["c1"], entry["n"], entry["side"], entry["tab"] = c1[new].view(np.uint64), n, side[new], tab[new]
-            entry["sketch"] = _sketches(tok, np.repeat(np.arange(len(n)), n), len(n))
-            row, key = batch_keys(tok, n, tab[new], df, threshold)
-            part = ((key >> np.uint64(32)) % np.uint64(partitions)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            row, key, part = row[order], key[order], part[order]
-            cut = np.searchsorted(part, np.arange(partitions + 1))
-            out = []
-            for p in range(partitions):
-                a, b = cut[p], cut[p + 1]
-                if a == b:
-                    continue
-                own, at = np.unique(row[a:b], return_inverse=True)
-                keys = np.empty(b - a, _KEY)
-                keys["key"], keys["at"] = key[a:b] & np.uint64(0xFFFFFFFF), at
-                out.append((p, entry[own].tobytes(), keys.tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["p", "entries", "keys"])
+            new = np.array(new, np.int64)
+            size = np.cumsum(batch.column("n").to_numpy()[new].astype(np.int64))
+            lo = 0
+            while lo < len(new):
+                hi = max(lo + 1, min(lo + 60_000, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_TOKENS, side="right"))))
+                own = new[lo:hi]
+                n = batch.column("n").to_numpy()[own].astype(np.int64)
+                out = of_slice(c1[own], side[own], tab[own], n, _flat(batch.column("tok").take(pa.array(own))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["p", "entries", "keys"])
+                lo = hi
 
     return tokens.select("tab", "side", "c1", "n", "tok").mapInArrow(run, "p int, entries binary, keys binary")
 
@@ -310,7 +346,7 @@ def _runs(start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[
         gap += 1
 
 
-_FOUND = "tab int, ca bigint, cb bigint, left binary, right binary, route bigint"
+_FOUND = "tab int, ca bigint, cb bigint, block binary, run bigint, at int, blocks int"
 
 
 def _pairs(entry: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -322,7 +358,9 @@ def _pairs(entry: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: bool) -> DataFrame:
     """(tab, ca, cb) of classes that share a key and pass the filters; a pair may come more than once."""
 
-    def of_partition(blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    names = ["tab", "ca", "cb", "block", "run", "at", "blocks"]
+
+    def of_partition(p: int, blocks: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         entries = [np.frombuffer(e, _ENTRY) for e, _ in blocks]
         packed = [np.frombuffer(k, _KEY) for _, k in blocks]
         base = np.cumsum([0, *map(len, entries)])
@@ -344,6 +382,7 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
         size = np.diff(np.r_[start, len(key)])
         big, small = size > RUN_BLOCK, size < DENSE
         code, within = np.ascontiguousarray(entry["sketch"].T), radius(entry["n"].astype(np.int64), threshold)
+        other = entry["side"] == 1
         found, held, near_i, near_j = [np.zeros((0, 3), np.int64)], 0, [], []
 
         def settle() -> None:
@@ -361,6 +400,9 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
 
         for i, j in _runs(start[small], size[small]):
             i, j = at[i], at[j]
+            if cross:
+                apart = other[i] != other[j]
+                i, j = i[apart], j[apart]
             far = np.bitwise_count(code[0][i] ^ code[0][j])
             for word in code[1:]:
                 far = far + np.bitwise_count(word[i] ^ word[j])
@@ -371,8 +413,13 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
             if held > 500_000:
                 settle()
         for s0, m in zip(start[~big & ~small].tolist(), size[~big & ~small].tolist(), strict=True):
-            run = at[s0 : s0 + m]
-            for i, j in dense_pairs(code[:, run], within[run]):
+            run, first = at[s0 : s0 + m], 0
+            if cross:  # one side first, so that only pairs across are compared
+                run = run[np.argsort(other[run], kind="stable")]
+                first = m - int(other[run].sum())
+                if first in (0, m):
+                    continue
+            for i, j in dense_pairs(code[:, run], within[run], first):
                 if len(i):
                     near_i.append(run[i])
                     near_j.append(run[j])
@@ -384,15 +431,16 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
         u = np.unique(np.concatenate(found), axis=0)
         for lo in range(0, len(u), 100_000):
             x = u[lo : lo + 100_000]
-            route = _spread(x[:, 1].view(np.uint64) ^ _spread(x[:, 2].view(np.uint64))).view(np.int64)
-            none = pa.nulls(len(x), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1]), pa.array(x[:, 2]), none, none, pa.array(route)], names=["tab", "ca", "cb", "left", "right", "route"])
-        for s0, m in zip(start[big], size[big], strict=True):
-            parts = [entry[at[lo : min(lo + RUN_BLOCK, s0 + m)]].tobytes() for lo in range(s0, s0 + m, RUN_BLOCK)]
-            for i in range(len(parts)):
-                for j in range(i, len(parts)):
-                    route = int(_spread(np.array([s0 * 1_000_003 + i * 1009 + j], np.uint64))[0] >> np.uint64(1))
-                    yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([parts[i]], pa.binary()), pa.array([parts[j]], pa.binary()), pa.array([route], pa.int64())], names=["tab", "ca", "cb", "left", "right", "route"])
+            none = [pa.nulls(len(x), t) for t in (pa.binary(), pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(x[:, 1]), pa.array(x[:, 2]), *none], names=names)
+        for s0, m in zip(start[big].tolist(), size[big].tolist(), strict=True):
+            if cross and len(set(other[at[s0 : s0 + m]].tolist())) < 2:
+                continue
+            blocks = -(-m // RUN_BLOCK)
+            for k in range(blocks):
+                part = entry[at[s0 + k * RUN_BLOCK : min(s0 + (k + 1) * RUN_BLOCK, s0 + m)]].tobytes()
+                values = (None, None, None, part, (p << 32) | int(key[s0]), k, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes]]] = {}
@@ -400,25 +448,36 @@ def match_keys(keys: DataFrame, partitions: int, threshold: Fraction, cross: boo
             for p, e, k in zip(*(batch.column(c).to_pylist() for c in ("p", "entries", "keys")), strict=True):
                 held.setdefault(p, []).append((e, k))
         for p in sorted(held):
-            yield from of_partition(held.pop(p))
+            yield from of_partition(p, held.pop(p))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[tuple[int, int, int], bytes] = {}
         for batch in batches:
-            blocks = batch.column("left").is_valid().to_numpy(zero_copy_only=False)
-            u = [np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("tab", "ca", "cb")], axis=1)[~blocks]]
-            for i in np.nonzero(blocks)[0]:
-                left = np.frombuffer(batch.column("left")[int(i)].as_py(), _ENTRY)
-                right = np.frombuffer(batch.column("right")[int(i)].as_py(), _ENTRY)
-                both = np.concatenate([left, right])
+            for run, lo, hi, block in zip(*(batch.column(c).to_pylist() for c in ("run", "lo", "hi", "block")), strict=True):
+                parts = [np.frombuffer(block, _ENTRY)]
+                if lo != hi:
+                    first = waiting.pop((run, lo, hi), None)
+                    if first is None:
+                        waiting[run, lo, hi] = block
+                        continue
+                    parts.append(np.frombuffer(first, _ENTRY))
+                both = np.concatenate(parts)
                 within = radius(both["n"].astype(np.int64), threshold)
-                for x, y in dense_pairs(np.ascontiguousarray(both["sketch"].T), within, len(left)):
+                u = [np.zeros((0, 3), np.int64)]
+                for x, y in dense_pairs(np.ascontiguousarray(both["sketch"].T), within, len(parts[0]) if len(parts) > 1 else 0):
                     ok = close_pairs(both, x, y, threshold, cross)
                     u.append(_pairs(both, x[ok], y[ok]))
-            u = np.unique(np.concatenate(u), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].astype(np.int32)), pa.array(u[:, 1]), pa.array(u[:, 2])], names=["tab", "ca", "cb"])
+                u = np.unique(np.concatenate(u), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(u[:, 0].astype(np.int32)), pa.array(u[:, 1]), pa.array(u[:, 2])], names=["tab", "ca", "cb"])
 
-    found = keys.repartitionById(partitions, F.col("p")).mapInArrow(reduce, _FOUND)
-    return found.repartition(F.col("route")).mapInArrow(expand, "tab int, ca bigint, cb bigint").distinct()
+    found = written(keys.repartitionById(partitions, F.col("p")).mapInArrow(reduce, _FOUND), "found")
+    near, long = found.filter("block is null").select("tab", "ca", "cb"), found.filter("block is not null")
+    if long.isEmpty():
+        return near.distinct()
+    # the blocks of long runs are spread before each is repeated for its tiles
+    tiles = long.select("run", "at", "blocks", "block").repartition(F.col("run"), F.col("at")).select("run", "block", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("run", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "block").repartition(F.col("run"), F.col("lo"), F.col("hi"))
+    return near.union(tiles.mapInArrow(expand, "tab int, ca bigint, cb bigint")).distinct()
 
 
 def verify(pairs: DataFrame, tokens: DataFrame, threshold: Fraction) -> DataFrame:
@@ -452,10 +511,8 @@ def verify(pairs: DataFrame, tokens: DataFrame, threshold: Fraction) -> DataFram
 def similar_classes(tokens: DataFrame, threshold: Fraction, cross: bool = False) -> DataFrame:
     """The pairs of classes of written ``tokens`` that match; with ``cross`` only pairs whose rows have different sides."""
     count = rarity(tokens)
-    rows = tokens.count()
-    per_row = 50
-    partitions = max(2 * tokens.sparkSession.sparkContext.defaultParallelism, -(-rows * per_row // KEYS_PER_PARTITION))
-    pairs = match_keys(prefix_keys(tokens, count, partitions, threshold), partitions, threshold, cross)
+    partitions = max(2 * tokens.sparkSession.sparkContext.defaultParallelism, -(-key_count(tokens, threshold) // KEYS_PER_PARTITION))
+    pairs = match_keys(packed_keys(tokens, count, partitions, threshold), partitions, threshold, cross)
     return verify(written(pairs, "pairs"), tokens, threshold)
 
 
@@ -464,4 +521,4 @@ def written_tokens(df: DataFrame) -> DataFrame:
     return written(tokenize(df), "tokens")
 
 
-__all__ = ["hash128", "match_keys", "need", "occurrence_tokens", "parallelism", "prefix_keys", "rarity", "similar_classes", "tokenize", "verify", "written_tokens"]
+__all__ = ["hash128", "match_keys", "need", "occurrence_tokens", "packed_keys", "parallelism", "rarity", "similar_classes", "tokenize", "verify", "written_tokens"]
