@@ -7,9 +7,9 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import hot_joined, written
+from .codes import code_pairs
 from .overlap import similar_classes, verify, written_tokens
-from .simhash import fingerprint_pairs
 
 #: Share of the longer text's words that two near-duplicates have in common (TESTDATA.md).
 THRESHOLD = Fraction(7, 10)
@@ -35,7 +35,7 @@ def near_duplicates(texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFr
     tokens = written_tokens(texts)
     classes = similar_classes(tokens, threshold).filter("x1 <> y1 or x2 <> y2").select("a1", "a2", "d1", "d2")
     a, b = _members(tokens, "a", "id_1"), _members(tokens, "d", "id_2")
-    pairs = classes.join(a, ["a1", "a2"]).join(b.withColumnRenamed("tab", "tab_2"), ["d1", "d2"]).filter("tab = tab_2 and id_1 <> id_2")
+    pairs = hot_joined(b.withColumnRenamed("tab", "tab_2"), hot_joined(a, classes, ["a1", "a2"]), ["d1", "d2"]).filter("tab = tab_2 and id_1 <> id_2")
     return pairs.select("tab", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b")).distinct()
 
 
@@ -45,25 +45,25 @@ def split_sides(manifest: DataFrame) -> DataFrame:
     return manifest.select(F.lit("manifest").alias("tab"), F.col("global_index").cast("bigint").alias("id"), side.alias("side"), F.col("question").alias("text")).filter("side is not null and id is not null")
 
 
-#: Copies of the evaluation side in the join on equal bare text, so that one text in many training records is spread.
-SALTS = 4
-
-
-def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
+def cross_split_pairs(texts: DataFrame, threshold: Fraction = THRESHOLD, exact: bool = False) -> DataFrame:
     """Pairs (id_a, id_b), id_a < id_b, of a training and an evaluation record with the same bare text or words that agree to ``threshold``.
 
-    ``texts`` has (tab, id, side, text); rows with another side than 0 or 1 are left out. Equal bare texts meet in a salted join on their 128-bit
+    ``texts`` has (tab, id, side, text); rows with another side than 0 or 1 are left out. Equal bare texts meet in a join on their 128-bit
     hash. Near-duplicates meet by their bit fingerprints: permuted code blocks are joined
-    across the sides, pairs within the Hamming radius are verified on the words.
+    across the sides, pairs within the Hamming radius are verified on the words. With ``exact`` the blocks are those of the exact prefix join
+    instead, which misses none. Null, empty and blank texts match nothing; an empty table gives no rows.
     """
     tokens = written_tokens(texts.filter("side in (0, 1)"))
     rows = tokens.select("id", "side", "b1", "b2").distinct()
-    train = rows.filter("side = 0").select("b1", "b2", F.col("id").alias("id_t"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    held = rows.filter("side = 1").select("b1", "b2", F.col("id").alias("id_e"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    same = train.join(held, ["b1", "b2", "salt"]).select("id_t", "id_e")
-    classes = verify(written(fingerprint_pairs(tokens, threshold), "pairs"), tokens, threshold).select("a1", "a2", "d1", "d2")
+    train, held = (rows.filter(F.col("side") == k).select("b1", "b2", F.col("id").alias(name)) for k, name in ((0, "id_t"), (1, "id_e")))
+    same = hot_joined(train, held, ["b1", "b2"]).select("id_t", "id_e")
+    if exact:
+        classes = similar_classes(tokens, threshold, cross=True)
+    else:
+        classes = verify(written(code_pairs(tokens, threshold), "pairs"), tokens, threshold)
+    classes = classes.select("a1", "a2", "d1", "d2")
     a, b = _members(tokens, "a", "id_1").drop("tab"), _members(tokens, "d", "id_2").drop("tab")
-    near = classes.join(a, ["a1", "a2"]).join(b, ["d1", "d2"]).filter("id_1_side <> id_2_side").select("id_1", "id_2")
+    near = hot_joined(b, hot_joined(a, classes, ["a1", "a2"]), ["d1", "d2"]).filter("id_1_side <> id_2_side").select("id_1", "id_2")
     pairs = same.union(near).filter("id_t <> id_e")
     return pairs.select(F.least("id_t", "id_e").alias("id_a"), F.greatest("id_t", "id_e").alias("id_b")).distinct()
 

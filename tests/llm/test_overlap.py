@@ -5,7 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from pathloom.llm import neardup, overlap, simhash
+from pathloom.llm import codes, neardup, overlap
 from pathloom.llm.text import words
 
 
@@ -65,13 +65,33 @@ def test_empty_table(spark):
 
 
 def test_long_runs_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "RUN_BLOCK", 8)
     rows = corpus(120, 5, [20, 25])
-    df = spark.createDataFrame([(t, i, 0, x) for t, i, x in rows], "tab string, id bigint, side int, text string")
+    df = spark.createDataFrame([(t, i, i % 2, x) for t, i, x in rows], "tab string, id bigint, side int, text string")
     tokens = overlap.written_tokens(df)
     count = overlap.rarity(tokens)
-    part = next(iter(overlap.match_keys(overlap.prefix_keys(tokens, count * 0, 3, Fraction(7, 10)), 3, Fraction(7, 10), False).limit(1).collect()), None)
-    assert part is not None
+    t = Fraction(7, 10)
+    found = lambda cross: {tuple(r) for r in overlap.match_keys(overlap.packed_keys(tokens, count, 3, t), 3, t, cross).collect()}
+    whole = found(False), found(True)
+    monkeypatch.setattr(overlap, "RUN_BLOCK", 2)
+    assert whole == (found(False), found(True)) and whole[1] < whole[0]
+
+
+def test_keys_of_frequent_tokens_and_long_texts_are_split(spark, monkeypatch):
+    rows = corpus(80, 6, [20, 60, 160])
+    df = spark.createDataFrame([(t, i, 0, x) for t, i, x in rows], "tab string, id bigint, side int, text string")
+    monkeypatch.setattr(overlap, "ROUTE_ROWS", 2)
+    monkeypatch.setattr(overlap, "SLICE_TOKENS", 100)
+    assert {tuple(r) for r in neardup.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_keys_are_estimated_from_lengths(spark):
+    rows = corpus(200, 9, [3, 20, 60, 120, 400])
+    df = spark.createDataFrame([(t, i, 0, x) for t, i, x in rows], "tab string, id bigint, side int, text string")
+    tokens = overlap.written_tokens(df).cache()
+    keys = 0
+    for r in tokens.collect():
+        keys += len(overlap.batch_keys(np.frombuffer(r.tok, np.uint32), np.array([r.n]), np.zeros(1, np.uint8), np.zeros(1 << overlap.RARITY_BITS, np.int32), Fraction(7, 10))[0])
+    assert 0.8 < overlap.key_count(tokens, Fraction(7, 10)) / keys < 1.25
 
 
 def test_cross_split(spark):
@@ -84,6 +104,7 @@ def test_cross_split(spark):
         bare.setdefault("".join(words(x)), []).append(i)
     same = {(a, b) for ids in bare.values() for a in ids for b in ids if a < b and side[a] != side[b]}
     got = {tuple(r) for r in neardup.cross_split_pairs(df).collect()}
+    assert {tuple(r) for r in neardup.cross_split_pairs(df, exact=True).collect()} == near | same
     assert got <= near | same
     assert len(got) >= 0.99 * len(near | same)
     assert same <= got
@@ -102,8 +123,9 @@ def test_prefix_keys_cover_every_match():
                 continue
             b = common + [rng.randrange(1 << 32) for _ in range(m - len(common))]
             tok = np.array(a + b, np.uint32)
-            row, key = overlap.batch_keys(tok, np.array([n, m]), np.zeros(2, np.uint8), count, t)
-            assert set(key[row == 0]) & set(key[row == 1]), (n, m)
+            row, key, route = overlap.batch_keys(tok, np.array([n, m]), np.zeros(2, np.uint8), count, t)
+            both = set(zip(key[row == 0].tolist(), route[row == 0].tolist(), strict=True)) & set(zip(key[row == 1].tolist(), route[row == 1].tolist(), strict=True))
+            assert both, (n, m)
 
 
 def test_sketch_distance_is_bounded_by_difference():
@@ -114,20 +136,29 @@ def test_sketch_distance_is_bounded_by_difference():
     assert np.bitwise_count(s[0] ^ s[1]).sum() <= 25
 
 
-def test_block_scheme():
-    assert simhash.block_length(200_000) == 16
-    b = simhash.block_bits(10, 16)
-    assert b.shape == (10, 16) and all(len(set(x)) == 16 for x in b[:10].tolist())
-    assert simhash.block_count(16) < simhash.block_count(20)
+def _pairs_at(n, m, common, pairs, rng):
+    """(tokens, lengths) of ``pairs`` pairs of texts with n and m words, ``common`` of them the same."""
+    x = rng.integers(0, 1 << 32, (pairs, n + m - common), dtype=np.uint32)
+    both = np.concatenate([x[:, :n], x[:, n - common :]], axis=1)
+    return both.ravel(), np.tile([n, m], pairs)
+
+
+def test_blocks_meet_at_the_threshold():
+    count, t = np.zeros(1 << overlap.RARITY_BITS, np.int32), Fraction(7, 10)
+    for n, m, common in ((10, 10, 7), (20, 20, 14), (40, 40, 28), (14, 20, 14), (30, 40, 29), (40, 40, 30), (100, 100, 70), (5, 5, 4)):
+        tok, size = _pairs_at(n, m, common, 3000, np.random.default_rng(n * m))
+        row, key, _ = codes.code_keys(tok, size, np.zeros(len(size), np.uint8), count, t)
+        key = key[np.argsort(row, kind="stable")].reshape(3000, 2, -1)
+        assert (key[:, 0] == key[:, 1]).any(axis=1).mean() >= 0.998, (n, m, common)
 
 
-def test_blocks_find_pairs_at_the_angle():
-    blocks = simhash.block_bits(simhash.block_count(16), 16)
-    differ = np.random.default_rng(5).random((20_000, simhash.BITS)) < 0.25
-    shared = np.zeros(len(differ), bool)
-    for which in blocks:
-        shared |= differ[:, which].sum(axis=1) <= 1
-    assert 1 - shared.mean() < 0.015
+def test_copies_of_a_text_do_not_depend_on_the_number_of_texts():
+    tok, size = _pairs_at(40, 40, 28, 500, np.random.default_rng(1))
+    for seen in (0, 10**5, 10**12):  # how often each token comes in the whole collection
+        row, key, route = codes.code_keys(tok, size, np.zeros(len(size), np.uint8), np.full(1 << overlap.RARITY_BITS, seen), Fraction(7, 10))
+        assert (np.bincount(row) == codes.ANCHORS * codes.PARTNERS).all()
+        most = codes.ANCHORS if seen < overlap.ROUTE_ROWS else codes.ANCHORS * codes.PARTNERS
+        assert max(len(set(route[row == r])) for r in range(50)) <= most
 
 
 def test_rare_edits_at_the_threshold_are_found(spark):
@@ -141,12 +172,3 @@ def test_rare_edits_at_the_threshold_are_found(spark):
     df = spark.createDataFrame(rows, "tab string, id bigint, side int, text string")
     found = {tuple(r) for r in neardup.cross_split_pairs(df).collect()}
     assert found <= want and len(want - found) <= 0.01 * len(want)
-
-
-def test_sharded_blocks_give_the_same_pairs(spark, monkeypatch):
-    rows = corpus(120, 8, [50, 64])
-    df = spark.createDataFrame([("m", i, i % 2, x) for _, i, x in rows], "tab string, id bigint, side int, text string")
-    tokens = overlap.written_tokens(df)
-    whole = {tuple(r) for r in simhash.fingerprint_pairs(tokens).collect()}
-    monkeypatch.setattr(simhash, "CODES_PER_PARTITION", 40)
-    assert {tuple(r) for r in simhash.fingerprint_pairs(tokens).collect()} == whole
