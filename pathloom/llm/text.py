@@ -80,6 +80,17 @@ def _tables() -> tuple[dict[str, str], dict[str, str], str]:
 PLAIN, COMPOSED, COMBINING = _tables()
 
 
+#: Unicode's primary compositions of two characters: first + second -> composed character.
+PAIRS = {}
+for _ch in map(chr, (cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp <= 0xDFFF)):
+    _dec = ud.decomposition(_ch)
+    if _dec and not _dec.startswith("<") and " " in _dec and ud.normalize("NFC", _ch) == _ch:
+        PAIRS["".join(chr(int(x, 16)) for x in _dec.split())] = _ch
+#: Those whose second character is no combining mark, and those that begin with their results.
+STARTER_PAIRS = {k: v for k, v in PAIRS.items() if not ud.combining(k[1])}
+STARTER_PAIRS |= {k: v for k, v in PAIRS.items() if k[0] in set(STARTER_PAIRS.values())}
+
+
 def char_class(chars) -> str:
     """A regex class (without brackets) of ``chars`` as ranges, valid for Python and Java."""
     cps, out = sorted({ord(c) for c in chars}), []

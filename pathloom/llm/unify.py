@@ -5,8 +5,9 @@ form needs no more than blank folding. All others are exploded to positioned pie
 of plain ASCII, or one character with the marks and invisible characters after it) and the
 pieces to positioned code points; a broadcast join maps each code point to its decomposed
 plain characters and their combining classes; marks are ordered by class, clusters are
-recomposed by a second broadcast join and the strings rebuilt in order. Hangul syllables are
-recomposed by arithmetic. Both lookup tables
+recomposed by a second broadcast join (step by step where only a part of the marks composes)
+and the strings rebuilt in order. Letters and vowel signs that compose without a mark, and Hangul
+syllables by arithmetic, are put together in the rebuilt text. All lookup tables
 come from the Unicode database and have a few thousand rows, whatever the data.
 """
 
@@ -17,13 +18,13 @@ import unicodedata as ud
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import parallelism, written
-from .text import CHANGED, COMBINING, COMPOSED, PLAIN, char_class
+from ..runtime import hot_joined, parallelism, written
+from .text import CHANGED, COMBINING, COMPOSED, PAIRS, PLAIN, STARTER_PAIRS, char_class
 
-#: Characters that join the cluster before them: combining marks and invisible characters.
-_JOINERS = char_class([*COMBINING, *(c for c, to in PLAIN.items() if not to)])
+#: Characters that join the cluster before them: combining marks, characters that stand for some, and invisible characters.
+_JOINERS = char_class([*COMBINING, *(c for c, to in PLAIN.items() if not to or ud.combining(to[0]))])
 _JAMO = [chr(c) for c in range(0x1100, 0x1200)]
-_SUSPECT = {*CHANGED, *COMBINING, *_JAMO} - set(" \t\n\r")
+_SUSPECT = {*CHANGED, *COMBINING, *_JAMO, *(x[1] for x in STARTER_PAIRS)} - set(" \t\n\r")
 _SAFE = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000)] if chr(c) not in _SUSPECT]
 #: A character that may have another plain form. ASCII, then common letters are told apart first, for speed.
 SUSPECT = f"[^\\t\\n\\r -~](?<![{char_class(c for c in _SAFE if ord(c) < 0x250)}])(?<![{char_class(_SAFE)}])"
@@ -34,6 +35,39 @@ PIECE = f"(?s)[\\t\\n\\r -~]+(?![{_JOINERS}])|[^{_JOINERS}][{_JOINERS}]*|[{_JOIN
 _SYLLABLE = "(?:[\\u1100-\\u1112][\\u1161-\\u1175][\\u11A8-\\u11C2]?|[\\uAC00-\\uD7A3][\\u11A8-\\u11C2])"
 
 
+_MARK_PAIRS = {k: v for k, v in PAIRS.items() if ud.combining(k[1])}
+_FIRST, _SECOND = char_class(x[0] for x in STARTER_PAIRS), char_class(x[1] for x in STARTER_PAIRS)
+
+
+def _lookup(pairs: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in sorted(pairs.items()) for x in kv)), key)
+
+
+def _stepwise(base: Column, marks: Column) -> Column:
+    """A base with ordered marks (c, ccc), of which each composes that no uncomposed mark of its class precedes."""
+    text, number = F.lit("").cast("string"), F.lit(0).cast("int")
+
+    def step(acc: Column, m: Column) -> Column:
+        both = F.when((acc["rest"] == "") | (acc["last"] < m["ccc"]), _lookup(_MARK_PAIRS, F.concat(acc["base"], m["c"])))
+        return F.struct(F.coalesce(both, acc["base"]).alias("base"), F.when(both.isNull(), F.concat(acc["rest"], m["c"])).otherwise(acc["rest"]).alias("rest"), F.when(both.isNull(), m["ccc"]).otherwise(acc["last"]).alias("last"))
+
+    start = F.struct(F.coalesce(base, F.lit("")).alias("base"), text.alias("rest"), number.alias("last"))
+    return F.aggregate(marks, start, step, lambda acc: F.concat(acc["base"], acc["rest"]))
+
+
+def _starters(text: Column) -> Column:
+    """Neighbouring letters and signs that compose without a mark."""
+
+    def one(x: Column) -> Column:
+        rest = F.regexp_extract_all(F.substring(x, 2, 1 << 30), F.lit("(?s)."), F.lit(0))
+        put = lambda acc, c: F.coalesce(F.concat(F.left(acc, F.length(acc) - 1), _lookup(STARTER_PAIRS, F.concat(F.right(acc, F.lit(1)), c))), F.concat(acc, c))
+        return F.when(F.length(x) < 2, x).otherwise(F.aggregate(rest, F.left(x, F.lit(1)), put))
+
+    run = f"[{_FIRST}][{_SECOND}]+"
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s){run}|."), F.lit(0))
+    return F.when(text.rlike(run), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
 def evened(text: Column) -> Column:
     """Runs of ordinary blanks as one, none at the ends."""
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " "))
@@ -91,13 +125,14 @@ def consistent_form(df: DataFrame, keys: list[str], text: str = "text") -> DataF
     cluster = mapped.groupBy(*ks, "pos").agg(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), part))).alias("all"))
     join = lambda a: F.array_join(F.transform(a, lambda x: x["c"]), "")
     bases, marks = F.filter("all", lambda x: ~x["mark"]), F.filter("all", lambda x: x["mark"])
+    last = F.slice(bases, F.greatest(F.size(bases), F.lit(1)), 1)
     cluster = cluster.select(
-        *ks, "pos", F.when(F.size(marks) == 0, join(F.col("all"))).otherwise(join(F.slice(bases, 1, F.greatest(F.size(bases) - 1, F.lit(0))))).alias("head"),
-        F.when(F.size(marks) > 0, F.concat(join(F.slice(bases, F.greatest(F.size(bases), F.lit(1)), 1)), join(marks))).alias("tail"),
+        *ks, "pos", F.get(last, F.lit(0))["c"].alias("base"), marks.alias("marks"), F.when(F.size(marks) == 0, join(F.col("all"))).otherwise(join(F.slice(bases, 1, F.greatest(F.size(bases) - 1, F.lit(0))))).alias("head"),
+        F.when(F.size(marks) > 0, F.concat(join(last), join(marks))).alias("tail"),
     )
-    out = cluster.join(F.broadcast(compositions(spark)), "tail", "left").select(*ks, "pos", F.concat("head", F.coalesce("composed", "tail", F.lit(""))).alias("out"))
+    out = cluster.join(F.broadcast(compositions(spark)), "tail", "left").select(*ks, "pos", F.concat("head", F.coalesce("composed", F.when(F.size("marks") > 1, _stepwise(F.col("base"), F.col("marks"))), "tail", F.lit(""))).alias("out"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "")
-    rebuilt = out.groupBy(*ks).agg(evened(whole).alias("form")).withColumn("form", _syllables(F.col("form")))
+    rebuilt = out.groupBy(*ks).agg(evened(whole).alias("form")).withColumn("form", _starters(_syllables(F.col("form"))))
     return plain.unionByName(rebuilt).select(*(F.col(f"key_{i}").alias(k) for i, k in enumerate(keys)), "form")
 
 
@@ -113,7 +148,10 @@ def hidden_twins(texts: DataFrame) -> DataFrame:
     formed = consistent_form(rows, ["tab", "id", "stored"]).filter("form <> ''")
     formed = written(formed.select("tab", "id", "stored", F.unhex(F.md5("form")).alias("form")).distinct(), "forms")
     several = formed.groupBy("tab", "form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).filter("lo <> hi").select("tab", "form")
-    kept = formed.join(several, ["tab", "form"], "left_semi")
-    other = kept.select("tab", "form", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
-    pairs = kept.withColumnRenamed("id", "id_a").join(other, ["tab", "form"]).filter("id_a < id_b and stored <> stored_b")
-    return pairs.select("tab", "id_a", "id_b").distinct()
+    kept = written(formed.join(several, ["tab", "form"], "left_semi"), "twins")
+    # stored texts meet, each once however many rows have it; then their rows come in
+    text = kept.select("tab", "form", "stored").distinct()
+    pairs = text.withColumnRenamed("stored", "stored_a").join(text.withColumnRenamed("stored", "stored_b"), ["tab", "form"]).filter("stored_a < stored_b")
+    for at in ("a", "b"):
+        pairs = hot_joined(kept.select("tab", "form", F.col("stored").alias(f"stored_{at}"), F.col("id").alias(f"of_{at}")), pairs, ["tab", "form", f"stored_{at}"])
+    return pairs.filter("of_a <> of_b").select("tab", F.least("of_a", "of_b").alias("id_a"), F.greatest("of_a", "of_b").alias("id_b")).distinct()
