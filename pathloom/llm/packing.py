@@ -13,39 +13,48 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import parallelism, written
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published splitting pattern of that byte-pair vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of one group on average; bounds a task and the cost of differencing.
 GROUP_ITEMS = 1024
+#: Groups that one task packs on average at most.
+GROUPS_PER_TASK = 64
 
 
 @functools.lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(name: str):
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(SparkFiles.get(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of the whole text of every row; null and empty texts have none."""
+    """(doc_id, n_tokens) of the whole text of every row; null and empty texts have none.
+
+    ``vocabulary`` is a path on the driver, from where the file is sent to every executor.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        encode, split, known = _encoding(vocabulary).encode_ordinary, regex.compile(PATTERN).findall, {}
+        encode, split, known = _encoding(name).encode_ordinary, regex.compile(PATTERN).findall, {}
         for batch in batches:
             n = []
             for text in batch.column("text").to_pylist():
@@ -166,7 +175,9 @@ def containers(counts: DataFrame, capacity: int, group_items: int = GROUP_ITEMS)
         ]
         return pd.concat(out, ignore_index=True)
 
-    return rows.groupBy("g").applyInPandas(run, schema)
+    # the rows are few bytes and much work: a number of partitions of one's own isn't coalesced
+    tasks = min(groups, max(parallelism(counts.sparkSession), -(-groups // GROUPS_PER_TASK)))
+    return rows.repartition(tasks, "g").groupBy("g").applyInPandas(run, schema)
 
 
 def fill_report(placed: DataFrame, capacity: int) -> DataFrame:
