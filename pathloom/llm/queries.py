@@ -46,19 +46,19 @@ def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(copies.canonical_hashes(_records(spark, sf_dir)))
 
 
-#: Sampling rates by split and difficulty; other strata take the default.
-RATES = {"train|1": 0.05, "train|5": 0.2, "validation|3": 0.5, "test|5": 0.25}
-DEFAULT_RATE = 0.1
+#: Sampling rates of an earlier sample and of this one, by split and difficulty; other strata take the default.
+EARLIER_RATES = sampling.Rates({"train|5": 0.15, "validation|3": 0.2}, 0.05)
+RATES = sampling.Rates({"train|1": 0.05, "train|5": 0.2, "validation|3": 0.5, "test|5": 0.25}, 0.1)
 STRATA = ["split", "difficulty"]
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picked = sampling.stable_sample(table(spark, sf_dir, "manifest"), "sample_id", STRATA, RATES, DEFAULT_RATE)
+    picked = sampling.stable_sample(table(spark, sf_dir, "manifest"), "sample_id", STRATA, RATES, before=EARLIER_RATES)
     return picked.select("sample_id", "global_index", "split", "difficulty", "prepared_at")
 
 
 def p3_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.growth_replay(table(spark, sf_dir, "manifest"), "sample_id", "prepared_at", STRATA, RATES, DEFAULT_RATE)
+    return sampling.growth_replay(table(spark, sf_dir, "manifest"), "sample_id", "prepared_at", STRATA, RATES)
 
 
 def _placed(spark: SparkSession, sf_dir: str, capacity: int) -> DataFrame:
@@ -105,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _FRACTION = "('0x' || substr(sha256('sample|' || sample_id), 1, 13))::BIGINT / 4503599627370496.0"
 _STRATUM = "coalesce(split, '') || '|' || coalesce(difficulty::VARCHAR, '')"
-_RATE = f"CASE {_STRATUM} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.items()) + f" ELSE {DEFAULT_RATE} END"
+_RATE = f"CASE {_STRATUM} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.named.items()) + f" ELSE {RATES.default} END"
 
 
 def oracle_sql() -> dict[str, str]:

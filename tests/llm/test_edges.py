@@ -30,7 +30,7 @@ def test_forms_and_copies(spark):
 
 def test_sample_keeps_clashing_columns(spark):
     df = _texts(spark).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
-    out = sampling.stable_sample(df, "tab", ["side"], {}, 1.0)
+    out = sampling.stable_sample(df, "tab", ["side"], sampling.Rates({}, 1.0))
     assert out.columns == df.columns and out.count() == df.filter("tab is not null").count()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm import packing, sampling
 
-RATES = {"train|1": 0.3, "test|": 0.8}
+RATES = sampling.Rates({"train|1": 0.3, "test|": 0.8}, 0.1)
 
 
 def _rows(n):
@@ -15,22 +15,40 @@ def _rows(n):
 
 def test_sample_is_stable(spark):
     df = spark.createDataFrame([*_rows(600), (None, "train", 1, 9999)], "key string, split string, level int, at int")
-    pick = lambda d, rates=RATES: {(r.key, r.at) for r in sampling.stable_sample(d, "key", ["split", "level"], rates, 0.1).collect()}
+    pick = lambda d, rates=RATES: {(r.key, r.at) for r in sampling.stable_sample(d, "key", ["split", "level"], rates).collect()}
     whole = pick(df)
     assert whole == pick(df.repartition(7).orderBy(F.desc("at")))
     keys = {k for k, _ in whole}
     assert whole == {(k, a) for k, _, _, a in _rows(600) if k in keys}
     assert {k for k, _ in pick(df.filter("at < 300"))} <= keys
-    raised = sampling.raise_rates(RATES, {"train|1": 0.1, "|2": 0.9})
-    assert raised == {"train|1": 0.3, "test|": 0.8, "|2": 0.9}
-    assert whole <= pick(df, raised)
-    assert sampling.stable_sample(df.limit(0), "key", ["split"], {}).count() == 0
+    raised = sampling.Rates({"train|1": 0.4, "test|": 0.8, "|2": 0.9}, 0.1)
+    assert whole <= {(r.key, r.at) for r in sampling.stable_sample(df, "key", ["split", "level"], raised, before=RATES).collect()}
+    assert sampling.stable_sample(df.limit(0), "key", ["split"], sampling.Rates({})).count() == 0
     assert df.columns == sampling.stable_sample(df, "key", ["split", "level"], RATES).columns
 
 
+@pytest.mark.parametrize("lower", [sampling.Rates({"train|1": 0.2, "test|": 0.8}, 0.1), sampling.Rates(RATES.named, 0.05), sampling.Rates({"train|1": 0.3, "test|": 0.8, "|2": 0.05}, 0.1), sampling.Rates({}, 0.2)])
+def test_rates_never_fall(spark, lower, tmp_path):
+    with pytest.raises(ValueError, match="only rise"):
+        sampling.stable_sample(spark.createDataFrame(_rows(4), "key string, split string, level int, at int"), "key", ["split"], lower, before=RATES)
+    path = f"file://{tmp_path}/rates"
+    assert sampling.stored_rates(spark, path) is None
+    sampling.store_rates(spark, path, RATES)
+    with pytest.raises(ValueError, match="only rise"):
+        sampling.store_rates(spark, path, lower)
+    assert sampling.stored_rates(spark, path) == RATES
+    assert sampling.store_rates(spark, path, sampling.Rates(RATES.named, 0.2)).default == 0.2
+
+
+def test_rates_are_probabilities():
+    for rate in (-0.1, 1.5, float("nan")):
+        with pytest.raises(ValueError):
+            sampling.Rates({"a": rate})
+
+
 def test_growth_replay_keeps_all(spark):
     df = spark.createDataFrame(_rows(600), "key string, split string, level int, at int").withColumn("t", F.timestamp_seconds(F.col("at") * 86400 * 2))
-    rows = sampling.growth_replay(df, "key", "t", ["split", "level"], RATES, 0.1).orderBy("month").collect()
+    rows = sampling.growth_replay(df, "key", "t", ["split", "level"], RATES).orderBy("month").collect()
     assert all(b.kept == a.chosen for a, b in itertools.pairwise(rows)) and rows[0].kept == 0
     assert rows[-1].records == 300
 
