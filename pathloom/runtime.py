@@ -78,10 +78,10 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_joined(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+def hot_joined(rows: DataFrame, other: DataFrame, key: list[str], counts: DataFrame | None = None) -> DataFrame:
     """The inner equi-join of ``rows`` and ``other`` on ``key``, in which keys with very many ``rows`` are spread over several tasks.
 
-    Keys are counted first, combined before the shuffle. One with more than HOT_ROWS rows is
+    Keys are counted first, combined before the shuffle (unless ``counts`` has ``key`` and ``n``). One with more than HOT_ROWS rows is
     split by a hash of the rows into as many parts as it needs, and its rows of ``other`` are
     repeated for each part. There are fewer such keys than rows / HOT_ROWS, so their list can be
     broadcast. Null keys match nothing. Columns other than ``key`` must have different names.
@@ -89,7 +89,8 @@ def hot_joined(rows: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
     part, parts = "part_of_key", "parts_of_key"
     while {part, parts} & {*rows.columns, *other.columns}:
         part, parts = part + "_", parts + "_"
-    hot = rows.groupBy(*key).agg(F.count(F.lit(1)).alias(parts)).filter(F.col(parts) > HOT_ROWS).withColumn(parts, F.ceil(F.col(parts) / F.lit(HOT_ROWS)).cast("int"))
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = counts.select(*key, F.col("n").alias(parts)).filter(F.col(parts) > HOT_ROWS).withColumn(parts, F.ceil(F.col(parts) / F.lit(HOT_ROWS)).cast("int"))
     hot = F.broadcast(hot)
     of_row = [F.col(c) for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
     split = rows.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(*of_row), F.col(parts)).cast("int"), F.lit(0))).drop(parts)
