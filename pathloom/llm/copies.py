@@ -11,13 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import hot_joined, written
 from .overlap import hash128
 from .text import bare
 
-#: Sub-groups into which the members of one set of copies are split for the final join.
-SALTS = 8
-
 
 def _constant(name: str):
     raise ValueError(f"{name} is no JSON")
@@ -76,20 +73,22 @@ def records(raw_question: DataFrame, manifest: DataFrame, raw_line: DataFrame) -
     return part(raw_question, "raw_question", "raw_id", "query", False).union(part(manifest, "manifest", "global_index", "question", False)).union(part(raw_line, "raw_line", "line_id", "payload", True))
 
 
-def collapsed(hashes: DataFrame) -> DataFrame:
+def collapsed(hashes: DataFrame, repeated: tuple[str, ...] | None = None) -> DataFrame:
     """(tab, keep_id, n_copies): one row per set of copies, single records included.
 
     Counts are combined before the shuffle, so a set that holds a third of all rows costs
-    a few partial rows. Rows of one id count once.
+    a few partial rows. Rows of one id count once: ``repeated`` names the tables in which an id
+    may come in several rows (all, if not given); only their rows are made distinct first.
     """
-    return hashes.distinct().groupBy("tab", "h1", "h2", "chk").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).select("tab", "keep_id", "n_copies")
+    many = F.lit(True) if repeated is None else F.col("tab").isin(*repeated)
+    rows = hashes.filter(many).distinct().union(hashes.filter(~many))
+    return rows.groupBy("tab", "h1", "h2", "chk").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).select("tab", "keep_id", "n_copies")
 
 
 def copy_pairs(df: DataFrame) -> DataFrame:
-    """(tab, keep_id, copy_id): every member of a set of copies but the one with the least id."""
-    rows = written(canonical_hashes(df).distinct(), "hashes")
+    """(tab, keep_id, copy_id): every member of a set of copies but the one with the least id; a repeated row counts once."""
+    rows = written(canonical_hashes(df), "hashes")
     key = ["tab", "h1", "h2", "chk"]
-    sets = rows.groupBy(*key).agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).filter("keep_id < last_id").drop("last_id")
-    sets = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return members.join(sets, [*key, "salt"]).filter("id <> keep_id").select("tab", "keep_id", F.col("id").alias("copy_id"))
+    sets = rows.groupBy(*key).agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("keep_id < last_id")
+    sets = written(sets.select(*key, "keep_id", "n"), "sets")
+    return hot_joined(rows, sets.drop("n"), key, counts=sets).filter("id <> keep_id").select("tab", "keep_id", F.col("id").alias("copy_id")).distinct()

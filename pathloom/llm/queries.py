@@ -43,7 +43,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.collapsed(copies.canonical_hashes(_records(spark, sf_dir)))
+    hashes = written(copies.canonical_hashes(_records(spark, sf_dir)), "hashes")
+    return copies.collapsed(hashes, repeated=("manifest",))  # raw_id and line_id are unique
 
 
 #: Sampling rates of an earlier sample and of this one, by split and difficulty; other strata take the default.
