@@ -85,8 +85,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "heldout_item")
-    return leakage.leak_report(leakage.leaks(table(spark, sf_dir, "documents"), items), items)
+    items, documents = table(spark, sf_dir, "heldout_item"), table(spark, sf_dir, "documents")
+    return leakage.leak_report(leakage.leaks(documents, items), items, leakage.near_leaks(documents, items))
+
+
+def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.near_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_item"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_scores(table(spark, sf_dir, "documents"))
 
 
-_ALL = (p1_found, p1_overlap_report, p2_found, p2_groups, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report, p8_found, p8_scores)
+_ALL = (p1_found, p1_overlap_report, p2_found, p2_groups, p3_sample, p3_growth, p4_found, p5_found, p5_collapsed, p6_containers, p6_containers_512, p6_fill_report, p7_found, p7_item_report, p7_proximity, p8_found, p8_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -48,6 +50,70 @@ def test_longest_phrase_and_empty_sides(spark):
     assert leakage.leaked_pairs(docs, items.limit(0)).count() == 0
 
 
+def _brute_near(docs, items, span, within, share):
+    """The definition of near_matches by looking at every word of every document."""
+    coded = {d: words(t or "") for d, t in docs}
+    vocab = {}
+    for _, t in items:
+        if len(words(t or "")) >= span:
+            for x in words(t):
+                vocab.setdefault(x, len(vocab))
+    count = {x: sum(w.count(x) for w in coded.values()) for x in vocab}
+    out = {}
+    for i, t in items:
+        t = words(t or "")
+        for at in {*range(0, len(t) - span + 1, max(span // 2, 1)), len(t) - span} if len(t) >= span else ():
+            own = sorted(set(t[at : at + span]), key=lambda x: (count[x], vocab[x]))
+            least = math.ceil(len(own) * share)
+            for d, w in coded.items():
+                for p, x in enumerate(w):
+                    if x in own[: len(own) - least + 1]:
+                        n = len(set(own) & set(w[max(0, p - within) : p + within + 1]))
+                        if n >= least:
+                            out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+@pytest.mark.parametrize("span", [4, 12])
+def test_near_leaks_equal_brute_force(spark, span):
+    rng = random.Random(span)
+    vocab = [f"v{k}" for k in range(60)] + ["the"] * 6
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(1, 40)))) for i in range(20)] + [(90, None), (91, "")]
+    docs = []
+    for d in range(60):
+        w = rng.choices([*vocab, "x", "y"], k=rng.randint(0, 60))
+        t = rng.choice(items[:20])[1].split()
+        rng.shuffle(t)
+        w[len(w) // 2 : len(w) // 2] = [y for x in t for y in ([x, "gap"] if rng.random() < 0.2 else [x])]
+        docs.append((d, " ".join(w)))
+    docs += [(500, None), (501, ""), (502, "the " * 3000)]
+    args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_terms for r in leakage.near_leaks(*args, span, 9, Fraction(3, 4)).collect()}
+    assert got == _brute_near(docs, items, span, 9, 0.75)
+    assert leakage.near_leaks(args[0].limit(0), args[1]).count() == 0 and leakage.near_leaks(args[0], args[1].limit(0)).count() == 0
+
+
+def test_an_edit_in_every_run_leaves_a_proximity_match(spark):
+    item = [f"a{k}" for k in range(30)]
+    edited = " ".join(x + "z" if k % 8 == 5 else x for k, x in enumerate(item))
+    docs = spark.createDataFrame([(1, "x " + edited), (2, " ".join(item)), (3, " ".join(x for y in zip(item, ["gap " * 30] * 30, strict=True) for x in y))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, "b", "test", " ".join(item))], "item_id bigint, benchmark string, split string, text string")
+    assert {tuple(r) for r in leakage.leaked_pairs(docs, items).collect()} == {(2, 7)}
+    assert {r.doc_id for r in leakage.near_leaks(docs, items).collect()} == {1, 2}
+    assert [tuple(r) for r in leakage.leak_report(leakage.leaks(docs, items), items, leakage.near_leaks(docs, items)).collect()] == [(7, "b", "test", 1, 30, 1)]
+
+
+def test_items_beyond_the_bound_are_taken_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"t{rng.randrange(300)}" for _ in range(30))) for i in range(12)] + [(50, " ".join(f"u{k}" for k in range(200)))]
+    docs = [(d, "x " + items[d % 13][1] + " y") for d in range(40)]
+    args = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    monkeypatch.setattr(leakage, "MOST_ITEM_WORDS", 100)
+    parts = list(leakage.item_parts(args[1]))
+    assert len(parts) >= 5 and sorted(i for p in parts for i, _ in p) == [i for i, _ in items]
+    assert {tuple(r) for r in leakage.leaked_pairs(*args).collect()} == _brute(docs, items, 12)
+
+
 SENTENCES = "The gardener counted 45 plum trees near the river before noon. Then the baker sold 12 loaves to the miller, who paid 30 coins. How many loaves remain if each basket holds 7 of them? "
 SPAM = {
     1: "\n".join(f"- https://site{k}.example/page-{k}.html" for k in range(12)),
