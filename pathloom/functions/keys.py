@@ -29,6 +29,16 @@ def digest_of(value) -> str:
     return hashlib.sha256(canonical_json(value).encode("ascii")).hexdigest()
 
 
+@F.pandas_udf(T.StringType())
+def _json_digest(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else digest_of(json.loads(t)) for t in text], dtype=object)
+
+
+def digest_column(columns: list[str]) -> Column:
+    """SHA-256 of the canonical JSON of a row's ``columns``; nulls are kept as null."""
+    return _json_digest(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}))
+
+
 @F.pandas_udf(T.StructType([T.StructField("key", T.StringType()), T.StructField("sample_id", T.StringType())]))
 def _question_identity(text: pd.Series) -> pd.DataFrame:
     keys = [None if t is None else question_key_of(t) for t in text]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,6 +74,21 @@ def hash_split(questions: DataFrame, seed: int = 42, train: float = 0.625, valid
     return joined.select(*ranked.columns, split_by_position(F.col("position"), F.col("n"), train, validation).alias("split"))
 
 
+def picked(numbered_rows: DataFrame, index: str, wanted: Sequence[int]) -> DataFrame:
+    """The rows at the positions ``wanted`` (in that order, as ``pick``), each as often as it is named.
+
+    A negative position or one beyond the last row is an error. ``wanted`` is a list written down by
+    hand or in a config, so it is small; the rows may be many.
+    """
+    last = numbered_rows.agg(F.max(index)).first()[0]
+    size = -1 if last is None else last
+    outside = [x for x in wanted if not 0 <= x <= size]
+    if outside:
+        raise IndexError(f"positions outside 0..{size}: {outside[:10]}")
+    pick = numbered_rows.sparkSession.createDataFrame([(k, int(x)) for k, x in enumerate(wanted)], f"pick int, `{index}` bigint")
+    return numbered_rows.join(F.broadcast(pick), index)
+
+
 def hash_top(questions: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The first ``n`` questions by content hash (a top-k, no full sort); 0 means all."""
     ordered = questions.withColumn("hash", seeded_digest(seed, F.col("sample_id")))
@@ -115,7 +132,7 @@ def latest_manifest(manifest: DataFrame, *columns: str) -> DataFrame:
 def manifest_violations(manifest: DataFrame) -> DataFrame:
     """(rule, value, n): one row per broken rule and value of a manifest.
 
-    Rules: duplicate_sample, duplicate_source, missing_answer, bad_difficulty, bad_split,
+    Rules: duplicate_sample, duplicate_question, duplicate_source, missing_answer, bad_difficulty, bad_split,
     position_gap (positions of a difficulty aren't 0..n-1), index_gap (indexes aren't
     contiguous), split_order (train, validation, test must follow each other).
     """
@@ -127,6 +144,7 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
     whole = manifest.agg(F.count_distinct("global_index").alias("n"), F.min("global_index").alias("lo"), F.max("global_index").alias("hi"))
     return (
         rule(repeated("sample_id"), "duplicate_sample", "sample_id")
+        .union(rule(repeated("question").select(F.sha2("question", 256).alias("question"), "n"), "duplicate_question", "question"))
         .union(rule(repeated("source_query_id"), "duplicate_source", "source_query_id"))
         .union(rule(where(~F.coalesce(F.trim("gt_ans") != "", F.lit(False)), "split"), "missing_answer", "split"))
         .union(rule(where(~F.coalesce(F.col("difficulty").between(1, 5), F.lit(False)), "difficulty"), "bad_difficulty", "difficulty"))
@@ -135,3 +153,9 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
         .union(rule(whole.filter("n > 0 and (lo <> 0 or hi <> n - 1)"), "index_gap", "hi"))
         .union(rule(per.filter("t > v0 or v1 > e or t > e"), "split_order", "difficulty"))
     )
+
+
+def identity_violations(manifest: DataFrame) -> DataFrame:
+    """(sample_id): records whose id isn't the digest of their question's duplicate key."""
+    own = question_identity(F.col("question"))
+    return manifest.select("sample_id", own.alias("own")).filter(~F.coalesce(F.col("own.sample_id") == F.col("sample_id"), F.lit(False))).select("sample_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grammar import parsed
+from ..functions.keys import digest_column
 from ..functions.paths import drop_full_path, full_path, has_path, has_shorter
 from ..runtime import table
 from .ranking import first_by
@@ -106,18 +109,47 @@ def transition_violations(records: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def universal_violations(records: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(sample_id, rule) of held-out records: split, status, scores in {0, 1}, exactly the candidate ids (a bounded, frozen set)."""
-    frozen = [x.candidate_id for x in candidates.select("candidate_id").distinct().orderBy("candidate_id").limit(10_000).collect()]
-    known = F.array(*map(F.lit, frozen)) if frozen else F.array().cast("array<string>")
+    """(sample_id, rule) of held-out records: split, status, scores in {0, 1}, exactly the candidate ids if complete, one evaluation config.
+
+    Scores are matched with the candidates row by row, so neither side is bounded. A failed
+    record may lack scores but have no other ids. Null ids are a broken rule of their own.
+    """
     rules = {
+        "no_id": F.col("sample_id").isNull(),
         "bad_split": ~F.coalesce(F.col("split").isin("validation", "test"), F.lit(False)),
         "unknown_status": ~F.coalesce(F.col("status").isin("complete", "failed"), F.lit(False)),
         "complete_without_baseline": (F.col("status") == "complete") & ~F.coalesce(F.col("baseline_score").isin(0.0, 1.0), F.lit(False)),
         "bad_score": F.exists(F.map_values("scores"), lambda x: ~F.coalesce(x.isin(0.0, 1.0), F.lit(False))),
-        "unknown_candidate": F.size(F.array_except(F.map_keys("scores"), known)) > 0,
         "failed_without_reason": (F.col("status") == "failed") & (F.coalesce(F.col("failure_reason"), F.lit("")) == ""),
     }
-    return records.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule"))
+    own = records.select("sample_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule"))
+    frozen = candidates.filter("candidate_id is not null").select("candidate_id").distinct().withColumn("frozen", F.lit(True))
+    expected = frozen.count()
+    complete = F.col("status") == "complete"
+    scored = records.select("sample_id", F.coalesce(complete, F.lit(False)).alias("complete"), F.explode_outer(F.map_keys("scores")).alias("candidate_id")).join(frozen, "candidate_id", "left")
+    per = scored.groupBy("sample_id").agg(
+        F.bool_or(F.col("candidate_id").isNotNull() & F.col("frozen").isNull()).alias("unknown"), F.bool_or("complete").alias("complete"), F.count_distinct(F.when(F.col("frozen"), F.col("candidate_id"))).alias("n")
+    )
+    named = F.array(F.when(F.col("unknown"), F.lit("unknown_candidate")), F.when(F.col("complete") & (F.col("n") < expected), F.lit("missing_candidate")))
+    return own.union(per.select("sample_id", F.explode(F.array_compact(named)).alias("rule"))).distinct()
+
+
+def config_violations(records: DataFrame, config: str) -> DataFrame:
+    """(value, n): records per config where a run has several configs, or records without one; nothing if all share one."""
+    per = records.groupBy(F.coalesce(F.col(config), F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    few = Window.partitionBy()  # configs of a run are few
+    return per.withColumn("configs", F.count(F.lit(1)).over(few)).filter("configs > 1 or value = ''").drop("configs")
+
+
+def checksummed(df: DataFrame, columns: list[str], out: str = "record_digest") -> DataFrame:
+    """``df`` with the SHA-256 of the canonical JSON of ``columns`` (sorted names, ASCII, no blanks) in ``out``."""
+    return df.withColumn(out, digest_column(columns))
+
+
+def digest_violations(df: DataFrame, key: str, columns: list[str], digest: str = "record_digest") -> DataFrame:
+    """(key, rule): rows whose stored digest is missing or isn't that of ``columns``."""
+    rule = F.when(F.coalesce(F.col(digest), F.lit("")) == "", F.lit("no_digest")).when(F.col(digest) != digest_column(columns), F.lit("wrong_digest"))
+    return df.select(key, rule.alias("rule")).filter("rule is not null")
 
 
 def merged(records: DataFrame) -> DataFrame:
@@ -132,21 +164,49 @@ def incomplete(manifest: DataFrame, records: DataFrame) -> DataFrame:
     return gone.select("missing", F.lit(0).cast("bigint").alias("failed")).union(bad.select(F.lit(0).cast("bigint"), "failed")).agg(F.sum("missing").alias("missing"), F.sum("failed").alias("failed"))
 
 
+def validated(manifest: DataFrame, records: DataFrame, universal: DataFrame, candidates: DataFrame, config: str = "config_id") -> DataFrame:
+    """(stage, rule, n): every rule that the outputs of a run break, over all its stages; empty for a sound run.
+
+    ``manifest`` and ``records`` have one row per sample. A missing or failed record, an open placement or a lost
+    training path counts as a broken rule like any other.
+    """
+    from .ingest import manifest_violations
+    from .mining import candidate_violations
+
+    stage = lambda name, df: df.select(F.lit(name).alias("stage"), F.col("rule").cast("string").alias("rule"))
+    each = [
+        stage("manifest", manifest_violations(manifest)), stage("source", source_mismatches(manifest, records).withColumnRenamed("field", "rule")),
+        stage("record", violations(records)), stage("transitions", transition_violations(records)), stage("config", config_violations(records, config).withColumn("rule", F.lit("configs"))),
+        stage("universal", universal_violations(universal, candidates)), stage("candidate", candidate_violations(candidates, parsed(candidates, DEPTH))),
+        stage("merge", missing(manifest, records).withColumn("rule", F.lit("missing"))), stage("merge", records.filter("status = 'failed'").withColumn("rule", F.lit("failed"))),
+        stage("loader", loader_parity(records).filter("expected <> loaded").withColumn("rule", F.lit("lost_paths"))),
+    ]
+    return reduce(DataFrame.union, each).groupBy("stage", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 def original_path_flags(records: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(sample_id, has_original, has_shorter, n_valid, n_kept): valid paths before and after the full path is dropped in favour of shorter ones."""
     valid = _paths("final_valid_transitions")
     return records.select("sample_id", has_path(valid, depth).alias("has_original"), has_shorter(valid, depth).alias("has_shorter"), F.size(valid).alias("n_valid"), F.size(drop_full_path(valid, depth)).alias("n_kept"))
 
 
-def training_examples(records: DataFrame, depth: int = DEPTH, drop_original: bool = False, reweight_original: bool = False, original_weight: float = 1.0, anti_original: bool = False, normalize: bool = True, max_paths: int = 50, seed: int = 42) -> DataFrame:
+def kept_original(sample_id: Column, keep: float, seed: int) -> Column:
+    """Whether the full path of a sample stays although shorter ones are valid: by its content hash, with probability ``keep``."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"keep|{seed}|"), sample_id), 256), 1, 13), 16, 10).cast("bigint") < F.lit(int(keep * 16**13))
+
+
+def training_examples(records: DataFrame, depth: int = DEPTH, drop_original: bool = False, keep_probability: float = 0.0, reweight_original: bool = False, original_weight: float = 1.0, anti_original: bool = False, normalize: bool = True, max_paths: int = 50, seed: int = 42) -> DataFrame:
     """One example per valid, representable path of each sample, with labels, flags and weight.
 
     Above ``max_paths`` the paths with the least content hash are taken. With ``normalize`` the
-    weights of a sample are divided by its number of examples.
+    weights of a sample are divided by its number of examples. With ``drop_original`` the full path
+    goes where shorter ones are valid, but for a share ``keep_probability`` of the samples.
     """
     valid = _paths("final_valid_transitions")
     trigger = has_path(valid, depth) & has_shorter(valid, depth)
-    kept = drop_full_path(valid, depth) if drop_original and not reweight_original else valid
+    kept = valid
+    if drop_original and not reweight_original:
+        kept = F.when(kept_original(F.col("sample_id"), keep_probability, seed), valid).otherwise(drop_full_path(valid, depth))
     order = F.transform(kept, lambda p: F.struct(F.sha2(F.concat(F.lit(f"{seed}|"), F.col("sample_id"), F.lit("|"), F.array_join(p.cast("array<string>"), ",")), 256).alias("h"), p.alias("p")))
     picked = F.when(F.size(kept) > max_paths, F.transform(F.slice(F.array_sort(order), 1, max_paths), lambda x: x["p"])).otherwise(kept)
     flat = records.select("sample_id", "question", F.col("gt_ans").alias("gt"), trigger.alias("trigger_shorter_valid"), has_path(valid, depth).alias("original_path_is_valid"), F.explode(picked).alias("path"))

@@ -83,6 +83,7 @@ SQL = {
     "mine_layer_lift": f"""WITH {_LIFT} SELECT grp, layer::INTEGER AS layer, action, round(valid_weight, 6) AS valid_weight, round(invalid_weight, 6) AS invalid_weight,
         round(valid_fraction, 6) AS valid_fraction, round(invalid_fraction, 6) AS invalid_fraction, round(log_propensity_lift, 6) AS log_propensity_lift FROM lift""",
     "mine_hypotheses": f"WITH {_LIFT} SELECT action, layer::INTEGER AS layer, round(worst, 6) AS worst, round(macro, 6) AS macro, round(all_train, 6) AS all_train FROM hyp",
+    "mine_rank": f"WITH {_LIFT} SELECT action, layer::INTEGER AS layer, row_number() OVER (PARTITION BY action ORDER BY worst DESC, macro DESC, layer)::INTEGER AS rank_within_action FROM hyp QUALIFY rank_within_action <= 10",
     "mine_exact_support": f"WITH {_EXACT} SELECT {_P.format('path')} AS path, valid_support, observed_support, round(valid_support / observed_support, 6) AS accuracy FROM ex",
     "mine_exact_top": f"WITH {_EXACT} SELECT {_P.format('path')} AS path, valid_support, round(valid_support / observed_support, 6) AS accuracy FROM ex ORDER BY valid_support DESC, valid_support / observed_support DESC, len(ex.path), ex.path LIMIT 20",
     "mine_consensus_prefix": f"""

@@ -8,6 +8,7 @@ from ..functions import paths as px
 from ..functions.grammar import parsed
 from ..operators import lookup, mining, pairing, records, search, traces
 from ..runtime import table
+from .broken import PARSE_SQL
 from .record_queries import _S
 
 _D = records.DEPTH
@@ -48,18 +49,19 @@ def path_edits(spark, sf_dir):
     return e.select("candidate_id", _J(F.col("p")).alias("edited"))
 
 
-def _pairs(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    other = c.select(F.col("candidate_id").alias("other_id"), F.col("path").alias("other"), "length")
-    return c.join(other, "length").filter("candidate_id < other_id")
+def _sample_pairs(spark, sf_dir):
+    """Pairs of the paths evaluated for one question, whatever their lengths."""
+    t = traces.evaluation_trace(records.search_records(spark, sf_dir, "sample_id", "evaluations")).select("sample_id", "evaluation_index", "path")
+    other = t.select("sample_id", F.col("evaluation_index").alias("other_index"), F.col("path").alias("other"))
+    return t.join(other, "sample_id").filter("evaluation_index < other_index")
 
 
 def path_levenshtein(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("candidate_id", "other_id", px.edit_distance(F.col("path"), F.col("other")).alias("distance"))
+    return _sample_pairs(spark, sf_dir).select("sample_id", "evaluation_index", "other_index", px.edit_distance(F.col("path"), F.col("other")).alias("distance"))
 
 
 def path_canonical_parse(spark, sf_dir):
-    return parsed(_search_paths(spark, sf_dir), _D).select(_J(F.col("path")).alias("path"), "representable", "seg_flip", "op_labels", "layer_ops")
+    return parsed(_search_paths(spark, sf_dir), _D).select(_J(F.col("path")).alias("path"), "representable", *(_J(F.col(c)).alias(c) for c in ("seg_flip", "op_labels", "layer_ops")))
 
 
 def path_representable(spark, sf_dir):
@@ -76,12 +78,11 @@ def path_round_trip(spark, sf_dir):
 
 
 def path_distance_triple(spark, sf_dir):
-    c = _candidates(spark, sf_dir)
-    ops = parsed(c, _D).select("path", F.col("layer_ops").alias("ops"))
-    full = c.join(ops, "path")
-    other = full.select(F.col("candidate_id").alias("other_id"), F.col("path").alias("other"), F.col("ops").alias("other_ops"), "length")
-    p = full.join(other, "length").filter("candidate_id < other_id")
-    return p.select("candidate_id", "other_id", px.operation_distance(F.col("ops"), F.col("other_ops")).alias("operation_distance"), px.edit_distance(F.col("path"), F.col("other")).alias("edit_distance"), F.lit(0).alias("length_difference"))
+    p = _sample_pairs(spark, sf_dir)
+    ops = parsed(_search_paths(spark, sf_dir), _D).filter("representable").select("path", F.col("layer_ops").alias("ops"))
+    both = p.join(ops, "path").join(ops.select(F.col("path").alias("other"), F.col("ops").alias("other_ops")), "other")
+    triple = px.operation_distance(F.col("ops"), F.col("other_ops")), px.edit_distance(F.col("path"), F.col("other")), F.abs(F.size("path") - F.size("other"))
+    return both.select("sample_id", "evaluation_index", "other_index", *(d.alias(n) for d, n in zip(triple, ("operation_distance", "edit_distance", "length_difference"), strict=True)))
 
 
 def _labelled(spark, sf_dir):
@@ -99,10 +100,10 @@ def pair_extremes(spark, sf_dir):
 
 def _assigned(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
-    chosen = pairing.extremes(rows.filter("correct"), "difficulty", 5)
-    wrong = rows.filter("not correct")
-    ops = parsed(chosen.select("path").union(wrong.select("path")), _D).filter("representable").select("path", F.col("layer_ops").alias("ops"))
-    return pairing.assigned(pairing.distances(chosen.join(ops, "path"), wrong.join(ops, "path"), "difficulty"), "difficulty")
+    ops = parsed(rows, _D).filter("representable").select("path", F.col("layer_ops").alias("ops"))
+    known = rows.join(ops, "path")  # before the extremes are chosen, so that each pick can be paired
+    chosen = pairing.extremes(known.filter("correct"), "difficulty", 5)
+    return pairing.assigned(pairing.distances(chosen, known.filter("not correct"), "difficulty"), "difficulty")
 
 
 def pair_assignment(spark, sf_dir):
@@ -148,6 +149,7 @@ QUERIES = (
 _P = "'[' || array_to_string({}, ',') || ']'"
 _E = f"{_S}, p AS (SELECT DISTINCT ev.path AS path FROM (SELECT unnest(evaluations) AS ev FROM s))"
 _N = "list_transform(range(0, 28), lambda l: len(list_filter(path, lambda y: y = l)))"
+_CODE = "array_to_string(list_transform(path, lambda x: chr(x + 48)), '')"
 _LABEL = f"""{_S}, obs AS (SELECT difficulty, unnest(coalesce(final_valid_transitions, [])) AS path, TRUE AS good FROM s WHERE split = 'train'
                     UNION ALL SELECT difficulty, unnest(coalesce(final_invalid_transitions, [])), FALSE FROM s WHERE split = 'train'),
     lab AS (SELECT difficulty, path, substr(sha256({_P.format('path')}), 1, 16) AS candidate_id, len(path) AS length, bool_or(good) AS correct FROM obs GROUP BY 1, 2),
@@ -162,9 +164,21 @@ SQL = {
         WITH cut AS (SELECT candidate_id, path, a, z FROM candidate, range(0, 40) r(a), range(1, 5) s(z) WHERE a + z <= len(path)),
           e AS (SELECT candidate_id, path, path[1:a] || path[a + z + 1:] AS p FROM cut UNION SELECT candidate_id, path, path[1:a + z] || path[a + 1:a + z] || path[a + z + 1:] FROM cut)
         SELECT DISTINCT candidate_id, {_P.format('p')} AS edited FROM e WHERE len(p) BETWEEN 1 AND 32 AND p <> path""",
-    "path_levenshtein": """
-        WITH c AS (SELECT candidate_id, length, array_to_string(list_transform(path, lambda x: chr(x + 48)), '') AS code FROM candidate)
-        SELECT c.candidate_id, o.candidate_id AS other_id, levenshtein(c.code, o.code)::INTEGER AS distance FROM c JOIN c o ON c.length = o.length AND c.candidate_id < o.candidate_id""",
+    "path_levenshtein": f"""
+        WITH {_S}, t AS (SELECT sample_id, (generate_subscripts(evaluations, 1) - 1)::INTEGER AS i, unnest(evaluations).path AS path FROM s), c AS (SELECT *, {_CODE} AS code FROM t)
+        SELECT c.sample_id, c.i AS evaluation_index, o.i AS other_index, levenshtein(c.code, o.code)::INTEGER AS distance FROM c JOIN c o ON c.sample_id = o.sample_id AND c.i < o.i""",
+    "path_distance_triple": f"""
+        WITH RECURSIVE {_E}, {PARSE_SQL}, t AS (SELECT sample_id, (generate_subscripts(evaluations, 1) - 1)::INTEGER AS i, unnest(evaluations).path AS path FROM s),
+          c AS (SELECT t.*, {_CODE} AS code, layer_ops FROM t JOIN parse USING (path))
+        SELECT c.sample_id, c.i AS evaluation_index, o.i AS other_index, list_sum(list_transform(list_zip(c.layer_ops, o.layer_ops), lambda z: abs(z[1] - z[2])))::INTEGER AS operation_distance,
+               levenshtein(c.code, o.code)::INTEGER AS edit_distance, abs(len(c.path) - len(o.path))::INTEGER AS length_difference FROM c JOIN c o ON c.sample_id = o.sample_id AND c.i < o.i""",
+    "path_canonical_parse": f"""
+        WITH RECURSIVE {_E}, {PARSE_SQL} SELECT {_P.format('p.path')} AS path, parse.path IS NOT NULL AS representable, {_P.format('seg_flip')} AS seg_flip, {_P.format('op_labels')} AS op_labels,
+               {_P.format('layer_ops')} AS layer_ops FROM p LEFT JOIN parse USING (path)""",
+    "path_representable": f"""
+        WITH RECURSIVE {_E}, {PARSE_SQL} SELECT parse.path IS NOT NULL AS representable, len(list_filter(p.path, lambda x: x < 0 OR x > 27)) = 0 AND coalesce(list_max(list_transform(p.path, lambda x: len(list_filter(p.path, lambda y: y = x)))), 0) <= 2 AS in_vocabulary,
+               count(*) AS n FROM p LEFT JOIN parse USING (path) GROUP BY 1, 2""",
+    "path_round_trip": f"WITH RECURSIVE {_E}, {PARSE_SQL} SELECT {_P.format('path')} AS path, {_P.format('path')} AS decoded, list_sum(list_transform(list_zip(ops, sizes), lambda z: z[1] * z[2]))::INTEGER AS length FROM parse",
     "pair_extremes": f"""
         WITH {_LABEL}, lo AS (SELECT difficulty, candidate_id, length, row_number() OVER (PARTITION BY difficulty ORDER BY length, n_layers, evaluation_index, candidate_id) AS rank FROM c QUALIFY rank <= 5),
           hi AS (SELECT difficulty, candidate_id, length, row_number() OVER (PARTITION BY difficulty ORDER BY length DESC, n_layers DESC, evaluation_index DESC, candidate_id DESC) AS rank FROM c QUALIFY rank <= 5)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import geometry, reports, transfer
+from ..operators.records import DEPTH
 from ..runtime import table
+from . import broken
 
 
 def _scores(spark, sf_dir):
@@ -47,7 +49,7 @@ def transfer_verdict(spark, sf_dir):
 
 
 def transfer_single_layer(spark, sf_dir):
-    return transfer.single_layer_transfer(transfer.metrics(_scores(spark, sf_dir)), _candidates(spark, sf_dir))
+    return transfer.single_layer_transfer(transfer.metrics(_scores(spark, sf_dir)), broken.one_edit(_candidates(spark, sf_dir), DEPTH))
 
 
 def split_counts_pivot(spark, sf_dir):
@@ -154,12 +156,20 @@ SQL = {
                validation_gain > 0 AND validation_worst_group_gain >= 0 AND test_gain > 0 AND test_worst_group_gain >= 0 AS held_out_robust,
                gain_low > 0 AS test_interval_excludes_zero FROM w LEFT JOIN (SELECT * FROM ci WHERE split = 'test') USING (candidate_id)""",
     "transfer_single_layer": f"""
-        WITH {_D}, e AS (SELECT candidate_id, list_filter(list_transform(range(0, 28), lambda l: {{'layer': l, 'n': len(list_filter(path, lambda x: x = l))}}), lambda z: z.n <> 1) AS e FROM candidate),
+        WITH {_D}, {broken.ONE_EDIT_SQL}, e AS (SELECT candidate_id, list_filter(list_transform(range(0, 28), lambda l: {{'layer': l, 'n': len(list_filter(path, lambda x: x = l))}}), lambda z: z.n <> 1) AS e FROM candidate_1),
           o AS (SELECT candidate_id, e[1].layer::INTEGER AS layer, CASE e[1].n WHEN 0 THEN 'skip' ELSE 'loop' END AS action FROM e WHERE len(e) = 1),
           w AS (SELECT candidate_id, max(worst_group_gain) FILTER (split = 'validation') AS validation_worst_group_gain, max(macro_gain) FILTER (split = 'validation') AS validation_macro_gain,
                        max(gain) FILTER (split = 'test') AS test_gain, max(worst_group_gain) FILTER (split = 'test') AS test_worst_group_gain FROM met GROUP BY 1)
         SELECT o.candidate_id, layer, action, validation_worst_group_gain, validation_macro_gain, test_gain, test_worst_group_gain,
                row_number() OVER (ORDER BY validation_worst_group_gain DESC, validation_macro_gain DESC, action, layer, candidate_id)::INTEGER AS rank FROM o JOIN w USING (candidate_id)""",
+    "transfer_programs": f"""
+        WITH {_SEL}, pd AS (SELECT d.*, length, round(d.gain, 6) AS g, round(ps / questions, 6) AS acc FROM d JOIN candidate USING (candidate_id) WHERE split = 'validation'),
+          per AS (SELECT difficulty, candidate_id FROM pd QUALIFY row_number() OVER (PARTITION BY difficulty ORDER BY g DESC, acc DESC, length, candidate_id DESC) = 1),
+          src AS (SELECT candidate_id, 0 AS stage, 0 AS n, 'universal_validation_selected' AS source FROM best UNION ALL SELECT candidate_id, 1, difficulty, 'difficulty_' || difficulty || '_validation_selected' FROM per
+                  UNION ALL SELECT candidate_id, 2, 0, 'validation_ranked_fill' FROM met WHERE split = 'validation'),
+          one AS (SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY stage, n, source) = 1),
+          o AS (SELECT one.*, ml.length, row_number() OVER (ORDER BY stage, n, worst_group_gain DESC, macro_gain DESC, ml.length, candidate_id) AS place FROM one JOIN ml USING (candidate_id) WHERE ml.split = 'validation')
+        SELECT 'baseline' AS program_id, 'full_depth' AS source, 28 AS length, 0 AS place UNION ALL SELECT candidate_id, source, length::INTEGER, place::INTEGER FROM o WHERE place <= 7""",
     "split_counts_pivot": f"WITH {_U} SELECT split, " + ", ".join(f"count(*) FILTER (difficulty = {d}) AS d{d}" for d in range(1, 6)) + " FROM u GROUP BY 1",
     "outcome_transitions": f"""WITH {_U} SELECT candidate_id, CASE base WHEN 1 THEN 'correct' WHEN 0 THEN 'wrong' END AS from_outcome, CASE score WHEN 1 THEN 'correct' WHEN 0 THEN 'wrong' END AS to_outcome, count(*) AS n
         FROM sc WHERE base IN (0, 1) AND score IN (0, 1) GROUP BY 1, 2, 3""",

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import ast
+import fnmatch
+import hashlib
 import json
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from fractions import Fraction
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUESTION_SCHEMA = "query string, gt_ans string, query_metadata struct<level:int>, query_id string, query4test boolean"
 
@@ -98,12 +105,50 @@ def strict_questions(lines: DataFrame) -> DataFrame:
     return ok.select(F.from_json(value, QUESTION_SCHEMA).alias("q")).select("q.*")
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", hash_up_to: int = 64 << 20) -> DataFrame:
-    """(file, bytes, sha256): fingerprints of the files of a folder; larger files by size only."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    small = files.filter(F.col("length") <= hash_up_to).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > hash_up_to).select("path", "length", F.lit(None).cast("string").alias("sha256"))
-    return small.union(large).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), "sha256")
+#: Bytes read at once from a file that is fingerprinted, and the head that tells a pointer file (fixed value).
+BLOCK, POINTER_HEAD = 1 << 20, b"version https://git-lfs.github.com/spec/v1"
+
+
+def _fingerprint(folder: str, name: str) -> tuple[str, bool]:
+    """(SHA-256, whether it is a pointer file instead of its content) of a file, read in blocks."""
+    fs, root = FileSystem.from_uri(folder)
+    digest, head = hashlib.sha256(), b""
+    with fs.open_input_stream(f"{root}/{name}") as f:
+        while block := f.read(BLOCK):
+            head = head or block[: len(POINTER_HEAD)]
+            digest.update(block)
+    return digest.hexdigest(), head == POINTER_HEAD
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", hashed: str = ".*") -> DataFrame:
+    """(file, bytes, sha256, is_pointer): fingerprints of all files of a folder whose names match a glob, empty ones among them.
+
+    Files are read in blocks, one file per row and task, so their size doesn't matter. Those whose
+    name doesn't match the regex ``hashed`` (weights, for a quick fingerprint) go by size only.
+    Only names and sizes are listed on the driver.
+    """
+    fs, root = FileSystem.from_uri(path)
+    found = [(x.path[len(root) :].lstrip("/"), x.size) for x in fs.get_file_info(FileSelector(root, recursive=True)) if x.is_file and fnmatch.fnmatch(x.base_name, pattern)]
+    files = spark.createDataFrame(found, "path string, length bigint").select("*", F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, file, wanted, size in zip(*(batch.column(c).to_pylist() for c in ("path", "file", "wanted", "length")), strict=True):
+                sha, pointer = _fingerprint(path, name) if wanted else (None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([size], pa.int64()), pa.array([sha], pa.string()), pa.array([pointer], pa.bool_())], names=["file", "bytes", "sha256", "is_pointer"])
+
+    wanted = files.withColumn("wanted", F.col("file").rlike(f"^(?:{hashed})$")).repartition(max(1, spark.sparkContext.defaultParallelism), "path")
+    return wanted.mapInArrow(run, "file string, bytes bigint, sha256 string, is_pointer boolean")
+
+
+def snapshot_errors(inventory: DataFrame, shards: Sequence[str] = ()) -> DataFrame:
+    """(file, error) that forbid the use of a model snapshot: pointer files, empty files, and names in ``shards`` that aren't there."""
+    bad = F.when(F.col("is_pointer"), F.lit("pointer")).when(F.col("bytes") == 0, F.lit("empty"))
+    out = inventory.select("file", bad.alias("error")).filter("error is not null")
+    if shards:
+        wanted = inventory.sparkSession.createDataFrame([(x,) for x in shards], "file string")
+        out = out.union(wanted.join(inventory.select("file"), "file", "left_anti").select("file", F.lit("missing")))
+    return out
 
 
 def unified(parts: dict[str, tuple[DataFrame, dict[str, Column]]], columns: list[str]) -> DataFrame:
@@ -134,9 +179,42 @@ def parse_dataset(spec: str) -> tuple[str, dict]:
 
 
 def is_integer_answer(answer: Column) -> Column:
-    """The answer is a number without fraction."""
+    """The answer is a number without fraction, also one written as arithmetic such as 1/2 + 1/2. Nothing is executed."""
     n = answer.try_cast("double")
-    return F.coalesce(n == F.floor(n), F.lit(False))
+    plain = F.coalesce(n % 1 == 0, F.lit(False))
+    sums = n.isNull() & F.coalesce(answer.rlike(r"^[0-9eE.+\-*/() \t_]{3,200}$"), F.lit(False))
+    return plain | F.when(sums, _arithmetic_integer(F.when(sums, answer))).otherwise(F.lit(False))
+
+
+_OPERATIONS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod}
+
+
+def arithmetic(text: str) -> Fraction | None:
+    """The exact value of numbers joined by + - * / // % ** and brackets, or nothing; powers are bounded."""
+
+    def value(node: ast.AST) -> Fraction:
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
+            return Fraction(str(node.value))
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
+            return value(node.operand) * (-1 if isinstance(node.op, ast.USub) else 1)
+        if isinstance(node, ast.BinOp):
+            a, b = value(node.left), value(node.right)
+            if isinstance(node.op, ast.Pow) and b.denominator == 1 and abs(b) <= 64:
+                return a ** int(b)
+            if type(node.op) in _OPERATIONS:
+                return Fraction(_OPERATIONS[type(node.op)](a, b))
+        raise ValueError("no arithmetic")
+
+    try:
+        return value(ast.parse(text.strip(), mode="eval").body)
+    except (ValueError, SyntaxError, ZeroDivisionError, RecursionError, OverflowError, MemoryError):
+        return None
+
+
+@F.pandas_udf(T.BooleanType())
+def _arithmetic_integer(text: pd.Series) -> pd.Series:
+    values = [None if t is None else arithmetic(t) for t in text]
+    return pd.Series([v is not None and v.denominator == 1 for v in values])
 
 
 def filtered(df: DataFrame, filters: dict, key: str, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathloom.functions import keys, paths
 from pathloom.functions.keys import digest_of, plain_key, question_key_of
 from pathloom.operators import geometry, ingest, lookup, mining, pairing, ranking, records, search, traces, transfer
 from pathloom.plans import path_queries
@@ -252,3 +253,91 @@ def test_bootstrap_brackets_the_gain(spark):
     m, ci = transfer.metrics(df).first(), transfer.bootstrap(df, 300).first()
     assert ci.gain_low <= m.gain <= ci.gain_high and ci.gain_high - ci.gain_low < 0.3
     assert transfer.bootstrap(df, 300, seed=1).first() != ci
+
+
+def test_held_out_scores_are_checked_against_any_number_of_candidates(spark):
+    n = 10_001
+    cands = spark.range(n).select(F.format_string("c%05d", "id").alias("candidate_id"))
+    scores = "map_from_arrays(transform(sequence(0, {}), x -> format_string('c%05d', x)), array_repeat(1.0D, {}))"
+    rows = [("whole", n - 1, n), ("short", n - 2, n - 1)]
+    recs = None
+    for name, last, k in rows:
+        one = spark.sql(f"select '{name}' sample_id, 'test' split, 'complete' status, 1.0D baseline_score, {scores.format(last, k)} scores, '' failure_reason")
+        recs = one if recs is None else recs.union(one)
+    odd = spark.sql("select 'odd' sample_id, 'test' split, 'failed' status, 0.0D baseline_score, map('none', 1.0D) scores, 'x' failure_reason union all select 'null', 'test', 'failed', null, null, 'x' union all select null, 'test', 'failed', null, null, 'x'")
+    got = {tuple(r) for r in records.universal_violations(recs.union(odd), cands).collect()}
+    assert got == {("short", "missing_candidate"), ("odd", "unknown_candidate"), (None, "no_id")}
+
+
+def test_checksums_are_attached_and_verified(spark):
+    df = spark.createDataFrame([("a", 1, 0.1, [1, 2], "é\"\\"), ("b", None, float("inf"), None, None)], "id string, n int, x double, p array<int>, t string")
+    signed = records.checksummed(df, ["id", "n", "p", "t"])
+    by_id = {r.id: r.record_digest for r in signed.collect()}
+    assert by_id["a"] == digest_of({"id": "a", "n": 1, "p": [1, 2], "t": "é\"\\"}) and by_id["b"] == digest_of({"id": "b", "n": None, "p": None, "t": None})
+    assert records.digest_violations(signed, "id", ["id", "n", "p", "t"]).count() == 0
+    changed = signed.withColumns({"n": F.lit(7), "record_digest": F.when(F.col("id") == "a", F.col("record_digest"))})
+    assert {tuple(r) for r in records.digest_violations(changed, "id", ["id", "n", "p", "t"]).collect()} == {("a", "wrong_digest"), ("b", "no_digest")}
+    assert records.config_violations(df.withColumn("c", F.lit("x")), "c").count() == 0
+    assert {tuple(r) for r in records.config_violations(df.withColumn("c", F.col("t")), "c").collect()} == {("", 1), ("é\"\\", 1)}
+
+
+def test_ids_are_digests_of_questions(spark):
+    key = keys.question_key_of("Ａ  b")
+    df = spark.createDataFrame([(digest_of(key), "Ａ  b"), ("0" * 64, "c"), ("1" * 64, None)], "sample_id string, question string")
+    assert {r.sample_id for r in ingest.identity_violations(df).collect()} == {"0" * 64, "1" * 64}
+
+
+def test_explicit_positions_are_picked_within_bounds(spark):
+    df = spark.range(10).select(F.col("id").alias("at"), (F.col("id") * 10).alias("x"))
+    assert [(r.pick, r.x) for r in ingest.picked(df, "at", [3, 0, 3]).orderBy("pick").collect()] == [(0, 30), (1, 0), (2, 30)]
+    for wrong in ([10], [-1], [0, 99]):
+        with pytest.raises(IndexError):
+            ingest.picked(df, "at", wrong)
+    with pytest.raises(IndexError):
+        ingest.picked(df.limit(0), "at", [0])
+    assert ingest.picked(df.limit(0), "at", []).count() == 0
+
+
+def test_soft_drop_keeps_a_share(spark):
+    rows = [(f"s{k}", "q", "a", [list(range(6)), [0, 1, 2, 3, 4]]) for k in range(400)]
+    df = spark.createDataFrame(rows, "sample_id string, question string, gt_ans string, final_valid_transitions array<array<int>>")
+    n = lambda **k: records.training_examples(df, 6, **k).filter("is_original_path").count()
+    assert n() == 400 and n(drop_original=True) == 0 and n(drop_original=True, keep_probability=1.0) == 400
+    some = n(drop_original=True, keep_probability=0.25)
+    assert 60 < some < 140 and some <= n(drop_original=True, keep_probability=0.5)
+
+
+def test_large_files_and_pointers_are_fingerprinted(spark, tmp_path):
+    import hashlib
+
+    big = tmp_path / "model-00001-of-00002.bin"
+    with big.open("wb") as f:
+        for k in range(65):
+            f.write(bytes([k]) * (1 << 20))
+    (tmp_path / "pointer.bin").write_bytes(b"version https://git-lfs.github.com/spec/v1\noid sha256:00\nsize 1\n")
+    (tmp_path / "empty.json").write_bytes(b"")
+    inv = readers.file_inventory(spark, str(tmp_path))
+    rows = {r.file: r for r in inv.collect()}
+    assert rows[big.name].sha256 == hashlib.sha256(big.read_bytes()).hexdigest() and rows[big.name].bytes == 65 << 20
+    quick = {r.file: r.sha256 for r in readers.file_inventory(spark, str(tmp_path), hashed=r".*\.json").collect()}
+    assert quick[big.name] is None and quick["empty.json"]
+    errors = {tuple(r) for r in readers.snapshot_errors(inv, [big.name, "model-00002-of-00002.bin"]).collect()}
+    assert errors == {("pointer.bin", "pointer"), ("empty.json", "empty"), ("model-00002-of-00002.bin", "missing")}
+
+
+def test_arithmetic_answers(spark):
+    texts = ["3", "3.0", "3.5", "1/2+1/2", "2**3", "(1+2)*4/6", "1/3", "7//2", "__import__('os')", "1/0", "2**9999999999", "", None, "abc", "9" * 150, "-(4)"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i for r in df.filter(readers.is_integer_answer(F.col("t"))).collect()}
+    assert {texts[i] for i in got} == {"3", "3.0", "1/2+1/2", "2**3", "(1+2)*4/6", "7//2", "9" * 150, "-(4)"}
+
+
+def test_a_sound_run_breaks_no_rule(spark):
+    full = list(range(28))
+    m = spark.createDataFrame([("a", "q", "1", 1, "train", 0, 0, "s/1")], "sample_id string, question string, gt_ans string, difficulty int, split string, position int, global_index int, source_query_id string")
+    s = m.withColumns({"config_id": F.lit("c"), "status": F.lit("complete"), "failure_reason": F.lit(""), "initial_score": F.lit(1.0), "final_valid_transitions": F.array(F.array(*map(F.lit, full))), "final_invalid_transitions": F.array().cast("array<array<int>>"), "evaluations": F.array(F.struct(F.array(*map(F.lit, full)).alias("path"), F.lit(1.0).alias("score"))), "search_statistics": F.struct(F.lit(1).alias("unique_evaluations"))})
+    c = spark.createDataFrame([(full, ["x"], 28)], "path array<int>, sources array<string>, length int").withColumn("candidate_id", paths.path_id(F.col("path")))
+    u = c.select(F.lit("b").alias("sample_id"), F.lit("test").alias("split"), F.lit("complete").alias("status"), F.lit(1.0).alias("baseline_score"), F.create_map("candidate_id", F.lit(1.0)).alias("scores"), F.lit("").alias("failure_reason"))
+    assert records.validated(m, s, u, c).collect() == []
+    bad = {(r.stage, r.rule): r.n for r in records.validated(m, s.withColumn("question", F.lit("other")).withColumn("status", F.lit("failed")), u, c).collect()}
+    assert bad == {("source", "question"): 1, ("record", "failed_without_reason"): 1, ("merge", "failed"): 1}
