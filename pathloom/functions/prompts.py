@@ -5,21 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Parts of the two general prompt templates (fixed values).
+_TASK = "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n"
+#: Parts of the published prompt templates (fixed values).
 TEMPLATES = {
-    "qa": {"system": "", "before_query": "User:\n", "after_query": "\n\n", "before_answer": "Assistant:\n", "between": "\n\n"},
-    "alpaca": {
-        "system": "Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n",
-        "before_query": "### Instruction:\n", "after_query": "\n\n", "before_answer": "### Response:\n", "between": "\n\n",
+    "qa": {"system": "", "before_query": "User:\n", "after_query": "\n\n", "before_answer": "Assistant:\n", "hint": "", "between": "\n\n"},
+    "alpaca": {"system": _TASK, "before_query": "### Instruction:\n", "after_query": "\n\n", "before_answer": "### Response:\n", "hint": "", "between": "\n\n"},
+    "wizardmath-cot": {"system": _TASK, "before_query": "### Instruction:\n", "after_query": "\n\n", "before_answer": "### Response: ", "hint": "Let's think step by step.", "between": "\n\n"},
+    "deepseekmath": {
+        "system": "", "before_query": "User: ", "after_query": "\nPlease reason step by step, and put your final answer within \\boxed{}.\n\n",
+        "before_answer": "Assistant: ", "hint": "", "between": "<｜end▁of▁sentence｜>",
+    },
+    "deepseekmath-tool": {
+        "system": "", "before_query": "User: ", "after_query": "\nPlease integrate natural language reasoning with programs to solve the problem above, and put your final answer within \\boxed{}.\n\n",
+        "before_answer": "Assistant: ", "hint": "", "between": "<｜end▁of▁sentence｜>",
+    },
+    "xwinmath": {
+        "system": "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions. ",
+        "before_query": "USER: ", "after_query": " Give your solution in detail. In the end, write your final answer in the format of 'The answer is: <ANSWER>.'.  ",
+        "before_answer": "ASSISTANT: ", "hint": "", "between": "\n\n",
+    },
+    "mammoth2-cot": {"system": "You are supposed to provide a solution to a given problem.\n\n\n", "before_query": "Problem:\n", "after_query": "\n", "before_answer": "Solution: ", "hint": "Let's think step by step.\n", "between": "\n\n"},
+    "llama3-math": {
+        "system": "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n\nYou are a helpful agent on solving math problems.<|eot_id|>",
+        "before_query": "<|start_header_id|>user<|end_header_id|>\n\n", "after_query": "<|eot_id|>", "before_answer": "<|start_header_id|>assistant<|end_header_id|>\n\n", "hint": "", "between": "<|eot_id|>\n",
     },
 }
+#: The published turns of the chat models: what opens and closes a turn, the system text, and an empty thinking part (fixed values).
+CHAT_OPEN, CHAT_CLOSE, CHAT_SYSTEM, NO_THINKING = "<|im_start|>", "<|im_end|>\n", "You are a helpful assistant.", "<think>\n\n</think>\n\n"
+#: Model families by parts of the lower-case name, one of each group, in this order: (family, groups, has a system turn, thinks) (fixed values).
+FAMILIES = (
+    ("qwen3", (("qwen3",),), False, True), ("qwen1.5-moe", (("qwen1.5", "qwen1_5"), ("moe",), ("chat",)), True, False), ("qwen2.5", (("qwen2.5", "qwen2_5"), ("instruct",)), True, False),
+)
 #: Id of the token that ends a thinking part (fixed value).
 THINK_END = 151668
 
 
-def render(query: Column, template: dict[str, str], examples: list[tuple[str, str]] = (), hint: str = "") -> Column:
-    """The full prompt: system text, worked examples, the query; blanks at the very end are cut."""
-    one = lambda q: F.concat(F.lit(template["before_query"]), q, F.lit(template["after_query"] + template["before_answer"] + hint))
+def render(query: Column, template: dict[str, str], examples: list[tuple[str, str]] = (), hint: str | None = None) -> Column:
+    """The full prompt: system text, worked examples, the query; blanks at the very end are cut. ``hint`` replaces the template's own start of an answer."""
+    start = template["hint"] if hint is None else hint
+    one = lambda q: F.concat(F.lit(template["before_query"]), q, F.lit(template["after_query"] + template["before_answer"] + start))
     shots = [F.concat(one(F.lit(q)), F.lit(a)) for q, a in examples]
     return F.concat(F.lit(template["system"]), F.concat_ws(template["between"], *shots, F.rtrim(one(query))))
 
@@ -46,16 +70,41 @@ def markdown_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-def model_depth(name: Column) -> Column:
-    """Layers of a known model family by its name; null for others."""
-    n = F.lower(name)
-    known = (("qwen1.5-moe", 24), ("qwen2.5-3b", 36), ("qwen3-8b", 36), ("llama-3.2-3b", 28))
-    out = F.lit(None).cast("int")
-    for part, depth in reversed(known):
-        out = F.when(n.contains(part), depth).otherwise(out)
+def _named(name: Column, groups: tuple[tuple[str, ...], ...]) -> Column:
+    """``name`` has one part of each group."""
+    n, out = F.lower(name), F.lit(True)
+    for group in groups:
+        some = F.lit(False)
+        for part in group:
+            some = some | n.contains(part)
+        out = out & some
+    return out
+
+
+def model_family(name: Column) -> Column:
+    """The chat family of a model by its name; null for models without chat turns."""
+    return F.coalesce(*(F.when(_named(name, groups), family) for family, groups, *_ in FAMILIES))
+
+
+def chat(name: Column, text: Column) -> Column:
+    """``text`` as the user's turn for the chat family of a model, ready for its answer; other models get the text as it is."""
+    turn = lambda role, x: F.concat(F.lit(CHAT_OPEN + role + "\n"), x, F.lit(CHAT_CLOSE))
+    out = text
+    for _, groups, system, thinks in reversed(FAMILIES):
+        parts = [turn("system", F.lit(CHAT_SYSTEM))] * system + [turn("user", text), F.lit(CHAT_OPEN + "assistant\n" + NO_THINKING * thinks)]
+        out = F.when(_named(name, groups), F.concat(*parts)).otherwise(out)
     return out
 
 
+#: Layers of the supported models by parts of the name (fixed values).
+DEPTHS = (((("qwen1.5", "qwen1_5"), ("moe",)), 24), ((("qwen2.5", "qwen2_5"), ("3b",)), 36), ((("qwen3",), ("8b",)), 36), ((("llama-3.2",), ("3b",)), 28))
+
+
+def model_depth(name: Column) -> Column:
+    """Layers of a supported model by its name; null for others."""
+    return F.coalesce(*(F.when(_named(name, groups), depth) for groups, depth in DEPTHS))
+
+
 #: Answer kinds of the contest prompts, in the order in which they are looked for (fixed values).
 ANSWER_KINDS = (("Numerical", "a numerical value"), ("Expression", "an expression"), ("Equation", "an equation"), ("Interval", "an interval"))
 

@@ -114,9 +114,22 @@ def source_filter_spec(spark, sf_dir):
 
 
 def source_datasets(spark, sf_dir):
+    """All families, each with the raw questions under its publisher's column names."""
     raw = table(spark, sf_dir, "raw_question")
-    out = datasets.load({"pooled-math/train": raw, "gsm8k-fix/test;ref_ans=int": raw.withColumn("query_metadata", F.struct(F.col("query_metadata.level").alias("n_step")))})
-    return out.select("dataset", "query", "ref_ans", F.coalesce("n_step", F.lit(-1)).alias("n_step"))
+    n, level = F.col("raw_id").cast("string"), F.col("query_metadata.level")
+    text = lambda x: F.concat(F.lit(x), n)
+    parts = {
+        "math/train": raw.select(F.col("query").alias("problem"), F.concat(F.lit("So it is \\boxed{"), n, F.lit("}.")).alias("solution"), F.concat(F.lit("Level "), level.cast("string")).alias("level"), F.lit("Number Theory").alias("type")),
+        "gsm8k/train": raw.select(F.col("query").alias("question"), F.concat(F.lit("Add.\n#### "), n).alias("answer")),
+        "pooled-math/train": raw, "gsm8k-fix/test;ref_ans=int": raw.withColumn("query_metadata", F.struct(level.alias("n_step"))),
+        "mwpbench/test": raw.select(F.col("query").alias("question"), F.col("gt_ans").alias("answer"), text("set.part.").alias("data_source"), F.lit("topic.algebra").alias("data_topic")),
+        "deepmind-mathematics": raw.select(F.col("query").alias("question"), F.col("gt_ans").alias("answer")),
+        "olympiadbench": raw.select(F.col("query").alias("question"), F.lit("Numerical").alias("answer_type"), F.lit(False).alias("is_multiple_answer"), F.lit("").alias("unit"), F.array("gt_ans").alias("final_answer"), F.lit("0.01").alias("error"), F.lit("Geometry").alias("subfield")),
+        "theoremqa": raw.select(F.col("query").alias("Question"), F.col("raw_id").alias("Answer")),
+        "odyssey-math;level=[2,3]": raw.select(F.col("query").alias("question"), F.col("gt_ans").alias("answer"), F.lit("algebra").alias("label"), level.alias("level")),
+        "aops": raw.select(F.col("query").alias("problem"), F.col("gt_ans").alias("answer"), text("thread/").alias("link")),
+    }
+    return datasets.load(parts).drop("max_n_trials", "min_n_corrects")
 
 
 def source_inventory(spark, sf_dir):
@@ -174,8 +187,18 @@ SQL = {
         UNION ALL SELECT 'raw_line', payload->>'$.query', payload->>'$.gt_ans', payload->>'$.query_metadata.level', payload->>'$.query_metadata.topic', payload->>'$.query_id'
         FROM raw_line WHERE json_valid(payload) AND payload <> ''""",
     "source_datasets": """
-        SELECT 'pooled-math/train' AS dataset, query, gt_ans AS ref_ans, -1 AS n_step FROM raw_question
-        UNION ALL SELECT 'gsm8k-fix/test', query, gt_ans, coalesce(query_metadata.level, -1) FROM raw_question WHERE coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)""",
+        WITH q AS (SELECT query, gt_ans, raw_id::VARCHAR AS n, query_metadata.level AS level FROM raw_question)
+        SELECT 'math/train' AS dataset, query, n AS ref_ans, level::VARCHAR AS level, 'NumberTheory' AS domain, NULL::VARCHAR AS source, NULL::INTEGER AS n_step, NULL::DOUBLE AS abs_tol, NULL::VARCHAR AS source_id FROM q
+        UNION ALL SELECT 'gsm8k/train', query, n, NULL, NULL, NULL, NULL, NULL, NULL FROM q
+        UNION ALL SELECT 'pooled-math/train', query, gt_ans, NULL, NULL, NULL, NULL, NULL, NULL FROM q
+        UNION ALL SELECT 'gsm8k-fix/test', query, gt_ans, NULL, NULL, NULL, level, NULL, NULL FROM q WHERE coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)
+        UNION ALL SELECT 'mwpbench/test', query, gt_ans, NULL, 'algebra', n, NULL, NULL, NULL FROM q
+        UNION ALL SELECT 'deepmind-mathematics', query, gt_ans, NULL, NULL, NULL, NULL, NULL, NULL FROM q
+        UNION ALL SELECT 'olympiadbench', 'The following is an open-ended problem from an International Math competition. The answer of The problem should be a numerical value. Please calculate the answer according to the given requirements and the information provided. Please use LaTeX format to represent the variables and formulas used in the solution process and results. Please end your solution with "So the final answer is ' || chr(92) || 'boxed{answer}." and give the result explicitly.' || chr(10) || query,
+            gt_ans, NULL, 'Geometry', NULL, NULL, 0.01, NULL FROM q
+        UNION ALL SELECT 'theoremqa', query, n, NULL, NULL, NULL, NULL, NULL, NULL FROM q
+        UNION ALL SELECT 'odyssey-math', query, gt_ans, level::VARCHAR, 'algebra', NULL, NULL, NULL, NULL FROM q WHERE level IN (2, 3)
+        UNION ALL SELECT 'aops', query, gt_ans, NULL, NULL, NULL, NULL, NULL, 'thread/' || n FROM q""",
     "source_filter_spec": """
         SELECT raw_id, query_metadata.level AS level, gt_ans AS ref_ans FROM raw_question
         WHERE query_metadata.level IN (2, 4) AND coalesce(try_cast(gt_ans AS DOUBLE) = floor(try_cast(gt_ans AS DOUBLE)), FALSE)

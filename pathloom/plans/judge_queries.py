@@ -66,9 +66,19 @@ def judge_format_gate(spark, sf_dir):
     return d.groupBy(F.coalesce(judge.format_gate(F.col("text")).cast("string"), F.lit("judge")).alias("gate")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_SHOT = ("What is 1 + 1?", "2")
+_MODELS = ("Qwen/Qwen3-8B", "Qwen/Qwen1.5-MoE-A2.7B-Chat", "Qwen/Qwen2.5-3B-Instruct", "meta-llama/Llama-3.2-3B-Instruct")
+
+
 def prompt_render(spark, sf_dir):
     q = table(spark, sf_dir, "heldout_item").filter("text is not null")
-    return q.select("item_id", prompts.render(F.col("text"), prompts.TEMPLATES["alpaca"], [("What is 1 + 1?", "2")]).alias("prompt"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("template"), prompts.render(F.col("text"), t, [_SHOT]).alias("prompt")) for k, t in prompts.TEMPLATES.items())))
+    return q.select("item_id", each.alias("x")).select("item_id", "x.*")
+
+
+def prompt_chat(spark, sf_dir):
+    q = table(spark, sf_dir, "heldout_item").filter("text is not null").select("item_id", "text", F.explode(F.array(*map(F.lit, _MODELS))).alias("model"))
+    return q.select("item_id", "model", prompts.model_family(F.col("model")).alias("family"), prompts.model_depth(F.col("model")).alias("depth"), prompts.chat(F.col("model"), F.col("text")).alias("prompt"))
 
 
 def prompt_thinking_split(spark, sf_dir):
@@ -79,11 +89,15 @@ def prompt_thinking_split(spark, sf_dir):
 
 
 QUERIES = (
-    judge_extract_boxed, judge_boxed_solution, judge_extract, judge_norm, judge_equal, judge_bag_equal, judge_numeric_equal, judge_datetime, judge_predicates, judge_format_gate, prompt_render, prompt_thinking_split,
+    judge_extract_boxed, judge_boxed_solution, judge_extract, judge_norm, judge_equal, judge_bag_equal, judge_numeric_equal, judge_datetime, judge_predicates, judge_format_gate, prompt_render, prompt_chat, prompt_thinking_split,
 )
 
 _V = """a AS (SELECT raw_id, query, gt_ans FROM raw_question WHERE gt_ans IS NOT NULL AND query <> ''), f AS (SELECT query, arg_min(gt_ans, raw_id) AS ref FROM a GROUP BY 1),
     v AS (SELECT raw_id, try_cast(ref AS DOUBLE) AS r, try_cast(gt_ans AS DOUBLE) AS p FROM a JOIN f USING (query) WHERE r IS NOT NULL AND p IS NOT NULL)"""
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_DEPTH = """ch AS (SELECT doc_id, unnest(string_split(tail, '')) AS c, generate_subscripts(string_split(tail, ''), 1) AS i FROM t WHERE starts_with(tail, '{{')),
+    de AS (SELECT doc_id, i, CASE WHEN c = '{{' {esc} THEN 1 WHEN c = '}}' {esc} THEN -1 ELSE 0 END AS d FROM ch),
+    su AS (SELECT *, sum(d) OVER (PARTITION BY doc_id ORDER BY i) AS deep FROM de), ends AS (SELECT doc_id, min(i) AS z FROM su WHERE d <> 0 AND deep = 0 GROUP BY 1)"""
 _NEAR = "abs({a} - p) <= greatest({t} * greatest(abs({a}), abs(p)), 1e-8)"
 _PCT = "(({x} > 0 AND {x} < 1) OR ({x} > 1 AND {x} < 100))"
 SQL = {
@@ -95,9 +109,24 @@ SQL = {
                CASE WHEN q LIKE '%yes%' OR q LIKE '%true%' THEN 'true' WHEN q LIKE '%no%' OR q LIKE '%false%' THEN 'false' ELSE 'none' END AS bool_word
         FROM (SELECT raw_id, query, replace(lower(query), 'noindent', '') AS q FROM raw_question WHERE query IS NOT NULL)""",
     "judge_format_gate": "SELECT CASE WHEN contains(text, 'oxed{') THEN 'judge' ELSE '0.0' END AS gate, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "prompt_render": """
-        SELECT item_id, 'Below is an instruction that describes a task. Write a response that appropriately completes the request.' || chr(10) || chr(10) || '### Instruction:' || chr(10) || 'What is 1 + 1?' || chr(10) || chr(10) || '### Response:' || chr(10) || '2'
-               || chr(10) || chr(10) || '### Instruction:' || chr(10) || text || chr(10) || chr(10) || '### Response:' || chr(10) AS prompt FROM heldout_item WHERE text IS NOT NULL""",
+    "prompt_render": " UNION ALL ".join(
+        f"SELECT item_id, {_q(k)} AS template, {_q(t['system'])} || {_q(t['before_query'] + _SHOT[0] + t['after_query'] + t['before_answer'] + t['hint'] + _SHOT[1] + t['between'])} "
+        f"|| rtrim({_q(t['before_query'])} || text || {_q(t['after_query'] + t['before_answer'] + t['hint'])}, ' ') AS prompt FROM heldout_item WHERE text IS NOT NULL"
+        for k, t in prompts.TEMPLATES.items()
+    ),
+    "prompt_chat": """
+        WITH m(model, family, depth, pre, post) AS (VALUES
+            ('Qwen/Qwen3-8B', 'qwen3', 36, '<|im_start|>user' || chr(10), '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)),
+            ('Qwen/Qwen1.5-MoE-A2.7B-Chat', 'qwen1.5-moe', 24, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10), '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)),
+            ('Qwen/Qwen2.5-3B-Instruct', 'qwen2.5', 36, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10), '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)),
+            ('meta-llama/Llama-3.2-3B-Instruct', NULL, 28, '', ''))
+        SELECT item_id, model, family, depth::INTEGER AS depth, pre || text || post AS prompt FROM heldout_item, m WHERE text IS NOT NULL""",
+    "judge_extract_boxed": f"""
+        WITH t AS (SELECT doc_id, string_split(text, 'oxed')[-1] AS tail FROM documents WHERE contains(text, 'oxed')), {_DEPTH.format(esc="AND coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY i), '') <> chr(92)")}
+        SELECT t.doc_id, CASE WHEN NOT starts_with(tail, '{{') THEN regexp_replace(split_part(tail, '$', 1), '^\\s+|\\s+$', '', 'g') WHEN z IS NULL THEN substr(tail, 2) ELSE substr(tail, 2, z - 2) END AS answer FROM t LEFT JOIN ends USING (doc_id)""",
+    "judge_boxed_solution": f"""
+        WITH t AS (SELECT doc_id, substr(string_split(text, chr(92) || 'boxed')[-1], 1) AS tail FROM documents WHERE contains(text, chr(92) || 'boxed')), {_DEPTH.format(esc="")}
+        SELECT t.doc_id, substr(tail, 2, z - 2) AS answer FROM t JOIN ends USING (doc_id) WHERE starts_with(tail, '{{')""",
     "prompt_thinking_split": """
         SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 2 = 0 THEN 3 ELSE 0 END::INTEGER AS thinking_tokens, CASE WHEN event_id % 3 = 0 THEN 2 WHEN event_id % 2 = 0 THEN 0 ELSE 3 END::INTEGER AS answer_tokens,
                CASE WHEN event_id % 3 = 0 THEN 'complete' WHEN event_id % 2 = 0 THEN 'missing_end_marker' ELSE 'disabled' END AS status,

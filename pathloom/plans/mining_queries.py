@@ -50,7 +50,12 @@ def mine_consensus_prefix(spark, sf_dir):
 
 
 def mine_candidates(spark, sf_dir):
-    return mining.candidates(_search(spark, sf_dir))
+    c = mining.candidates(_search(spark, sf_dir))
+    support = F.array_join(F.transform(F.array_sort(F.map_entries("train_valid_support_by_difficulty")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+    return c.select(
+        "candidate_id", json_ints(F.col("path")).alias("path"), F.array_join("sources", "|").alias("sources"), "length", F.round("depth_ratio", 6).alias("depth_ratio"), "train_valid_support", "train_observed_support",
+        F.round("train_observed_accuracy", 6).alias("train_observed_accuracy"), support.alias("train_valid_support_by_difficulty"),
+    )
 
 
 def mine_heatmap(spark, sf_dir):
@@ -75,8 +80,14 @@ _LIFT = f"""{_CELL}, dense AS (SELECT grp, layer, action FROM (SELECT DISTINCT g
     lift AS (SELECT *, ln((valid_fraction + 0.01) / (invalid_fraction + 0.01)) AS log_propensity_lift FROM frac),
     gain AS (SELECT grp, layer, action, log_propensity_lift - max(log_propensity_lift) FILTER (action = 'keep') OVER (PARTITION BY grp, layer) AS gain FROM lift QUALIFY action <> 'keep'),
     hyp AS (SELECT action, layer, min(gain) FILTER (grp <> 'all') AS worst, avg(gain) FILTER (grp <> 'all') AS macro, max(gain) FILTER (grp = 'all') AS all_train FROM gain GROUP BY 1, 2)"""
-_EXACT = f"""{_OBS}, ex AS (SELECT path, count(DISTINCT sample_id) FILTER (outcome = 'valid') AS valid_support, count(DISTINCT sample_id) AS observed_support FROM obs
+_EX = """ex AS (SELECT path, count(DISTINCT sample_id) FILTER (outcome = 'valid') AS valid_support, count(DISTINCT sample_id) AS observed_support FROM obs
     WHERE path <> range(0, 28)::INTEGER[] GROUP BY 1 HAVING count(*) FILTER (outcome = 'valid') > 0)"""
+_EXACT = f"{_OBS}, {_EX}"
+_CONSENSUS = """best AS (SELECT grp, layer, arg_max(action, (gain, action)) AS action, max(gain) AS gain FROM gain GROUP BY 1, 2 HAVING max(gain) > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gain DESC, layer, action) AS n FROM best),
+    b AS (SELECT DISTINCT grp, n AS budget FROM r WHERE n <= 4),
+    p AS (SELECT b.grp, b.budget, l.layer, coalesce(max(r.action), 'keep') AS action FROM b CROSS JOIN range(0, 28) l(layer) LEFT JOIN r ON r.grp = b.grp AND r.n <= b.budget AND r.layer = l.layer GROUP BY ALL),
+    q AS (SELECT grp, budget, flatten(list(CASE action WHEN 'skip' THEN [] WHEN 'keep' THEN [layer] ELSE [layer, layer] END ORDER BY layer))::INTEGER[] AS path FROM p GROUP BY 1, 2)"""
 _P = "'[' || array_to_string({}, ',') || ']'"
 SQL = {
     "mine_layer_weights": f"WITH {_CELL} SELECT grp, outcome, layer::INTEGER AS layer, action, round(weight, 6) AS weight FROM w",
@@ -86,12 +97,24 @@ SQL = {
     "mine_rank": f"WITH {_LIFT} SELECT action, layer::INTEGER AS layer, row_number() OVER (PARTITION BY action ORDER BY worst DESC, macro DESC, layer)::INTEGER AS rank_within_action FROM hyp QUALIFY rank_within_action <= 10",
     "mine_exact_support": f"WITH {_EXACT} SELECT {_P.format('path')} AS path, valid_support, observed_support, round(valid_support / observed_support, 6) AS accuracy FROM ex",
     "mine_exact_top": f"WITH {_EXACT} SELECT {_P.format('path')} AS path, valid_support, round(valid_support / observed_support, 6) AS accuracy FROM ex ORDER BY valid_support DESC, valid_support / observed_support DESC, len(ex.path), ex.path LIMIT 20",
-    "mine_consensus_prefix": f"""
-        WITH {_LIFT}, best AS (SELECT grp, layer, arg_max(action, (gain, action)) AS action, max(gain) AS gain FROM gain GROUP BY 1, 2 HAVING max(gain) > 0),
-          r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY gain DESC, layer, action) AS n FROM best),
-          b AS (SELECT DISTINCT grp, n AS budget FROM r WHERE n <= 4),
-          p AS (SELECT b.grp, b.budget, l.layer, coalesce(max(r.action), 'keep') AS action FROM b CROSS JOIN range(0, 28) l(layer) LEFT JOIN r ON r.grp = b.grp AND r.n <= b.budget AND r.layer = l.layer GROUP BY ALL),
-          q AS (SELECT grp, budget, flatten(list(CASE action WHEN 'skip' THEN [] WHEN 'keep' THEN [layer] ELSE [layer, layer] END ORDER BY layer)) AS path FROM p GROUP BY 1, 2)
-        SELECT grp, budget::INTEGER AS budget, {_P.format('path')} AS path FROM q WHERE len(path) BETWEEN 1 AND 32""",
+    "mine_consensus_prefix": f"WITH {_LIFT}, {_CONSENSUS} SELECT grp, budget::INTEGER AS budget, {_P.format('path')} AS path FROM q WHERE len(path) BETWEEN 1 AND 32",
+    "mine_candidates": f"""
+        WITH {_LIFT}, {_CONSENSUS}, {_EX}, o AS (SELECT *, row_number() OVER (ORDER BY valid_support DESC, valid_support / observed_support DESC, len(ex.path), ex.path) AS place FROM ex),
+          ranked AS (SELECT action, layer, row_number() OVER (PARTITION BY action ORDER BY worst DESC, macro DESC, layer) AS n FROM hyp),
+          pool AS (
+            SELECT flatten(list_transform(range(0, 28), lambda i: CASE WHEN i <> layer THEN [i] WHEN action = 'skip' THEN [] ELSE [i, i] END))::INTEGER[] AS path, 'single_' || action || '_layer_' || layer AS source, 0 AS stage, action AS a, n AS b FROM ranked
+            UNION ALL SELECT path, 'consensus_' || grp || '_top' || budget, 1, CASE grp WHEN 'all' THEN '~' ELSE grp END, budget FROM q WHERE len(path) BETWEEN 1 AND 32
+            UNION ALL SELECT path, 'exact_train_support', 2, '', 0 FROM ex WHERE valid_support >= 2),
+          short AS (SELECT 96 - count(DISTINCT path) AS n FROM pool),
+          new AS (SELECT place FROM o WHERE path NOT IN (SELECT path FROM pool) QUALIFY row_number() OVER (ORDER BY place) <= (SELECT n FROM short)),
+          filled AS (SELECT * FROM pool UNION ALL SELECT path, 'exact_train_fallback', 3, '', 0 FROM o
+                     WHERE (SELECT n FROM short) > 0 AND ((SELECT count(*) FROM new) < (SELECT n FROM short) OR place <= (SELECT max(place) FROM new))),
+          named AS (SELECT path, string_agg(source, '|' ORDER BY stage, a, b, source) AS sources FROM (SELECT DISTINCT * FROM filled) GROUP BY 1),
+          ev AS (SELECT path, count(DISTINCT sample_id) FILTER (outcome = 'valid') AS vs, count(DISTINCT sample_id) AS os FROM obs GROUP BY 1),
+          bd AS (SELECT path, string_agg(difficulty || ':' || k, ',' ORDER BY difficulty) AS bd FROM (SELECT path, difficulty, count(*) AS k FROM obs WHERE outcome = 'valid' GROUP BY 1, 2) GROUP BY 1),
+          c AS (SELECT substr(sha256({_P.format('named.path')}), 1, 16) AS candidate_id, named.path AS path, sources, coalesce(vs, 0) AS vs, coalesce(os, 0) AS os, vs / os AS acc, coalesce(bd, '') AS bd FROM named LEFT JOIN ev USING (path) LEFT JOIN bd USING (path))
+        SELECT candidate_id, {_P.format('path')} AS path, sources, len(path)::INTEGER AS length, round(len(path) / 28, 6) AS depth_ratio, vs AS train_valid_support, os AS train_observed_support, round(acc, 6) AS train_observed_accuracy,
+               bd AS train_valid_support_by_difficulty FROM c
+        ORDER BY CASE WHEN contains('|' || sources, '|single_') THEN 0 WHEN contains('|' || sources, '|consensus_') THEN 1 ELSE 2 END, vs DESC, CASE WHEN coalesce(acc, 0) = 0 THEN -1 ELSE acc END DESC, len(c.path), candidate_id LIMIT 96""",
     "mine_heatmap": f"WITH {_LIFT} SELECT grp, " + ", ".join(f"round(max(valid_fraction) FILTER (layer = {i}), 6) AS l{i}" for i in range(28)) + " FROM lift WHERE action = 'skip' GROUP BY grp",
 }

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..runtime import scratch_path, table
+from ..runtime import table
 from ..streaming import resume
 
 
@@ -20,8 +18,7 @@ def stream_once_per_sample(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     counts = resume.windowed_counts(resume.record_stream(spark, f"{sf_dir}/events.parquet", schema), "ts", "1 day", "2 days", "event_type")
-    out = resume.drain(counts, f"windows_{uuid.uuid4().hex}", scratch_path(spark, "windows-mark"), "complete")
-    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    return resume.drained(counts, "windows", "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 QUERIES = (stream_once_per_sample, stream_window_counts)

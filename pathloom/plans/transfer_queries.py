@@ -179,6 +179,15 @@ SQL = {
     "geometry_knn": f"WITH {_VEC}, k AS ({_KNN.format(c='vec')}) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor_id)::INTEGER AS rank FROM k",
     "geometry_mutual_knn": f"""WITH {_VEC}, a AS ({_KNN.format(c='first')}), b AS ({_KNN.format(c='second')}), c AS (SELECT query_id, count(*) AS n FROM a JOIN b USING (query_id, neighbor_id) GROUP BY 1)
         SELECT q.query_id, round(coalesce(n, 0) / 10, 6) AS overlap FROM (SELECT DISTINCT query_id FROM a) q LEFT JOIN c USING (query_id)""",
+    "geometry_layerwise": """
+        WITH a AS (SELECT vec_id::VARCHAR AS id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL QUALIFY row_number() OVER (ORDER BY sha256('[42,"' || vec_id || '"]')) <= 500),
+          x AS (SELECT id, part, e[part * 16 + 1 : part * 16 + 16]::DOUBLE[] AS v FROM a, range(0, 4) r(part)),
+          u AS (SELECT id, part, list_transform(v, lambda y: y / greatest(sqrt(list_inner_product(v, v)), 1e-12)) AS v FROM x),
+          nn AS (SELECT p.id, p.part, q.id AS near FROM u p JOIN u q ON p.part = q.part AND p.id <> q.id
+                 QUALIFY row_number() OVER (PARTITION BY p.id, p.part ORDER BY round(list_inner_product(p.v, q.v), 6) DESC, q.id) <= 10),
+          s(program_id, slot, part) AS (VALUES ('baseline', 0, 0), ('baseline', 1, 1), ('baseline', 2, 2), ('baseline', 3, 3), ('turned', 0, 3), ('turned', 1, 1), ('turned', 2, 0), ('turned', 3, 2)),
+          pairs AS (SELECT s.program_id, s.slot, b.slot AS base_slot, p.id, count(q.near) AS n FROM s JOIN s b ON b.program_id = 'baseline' JOIN nn p ON p.part = s.part LEFT JOIN nn q ON q.part = b.part AND q.id = p.id AND q.near = p.near GROUP BY ALL)
+        SELECT program_id, slot::INTEGER AS slot, base_slot::INTEGER AS base_slot, round(avg(n / 10), 6) AS overlap FROM pairs GROUP BY ALL""",
     "geometry_norm": f"WITH {_VEC} SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(vec, vec))), 5) AS mean_norm FROM v GROUP BY 1",
     "geometry_pooled": f"""WITH {_VEC}, x AS (SELECT label, i, avg(vec[i]) AS m FROM v, range(1, 65) r(i) GROUP BY 1, 2) SELECT label, round(sqrt(sum(m * m)), 5) AS norm, count(*)::INTEGER AS dim FROM x GROUP BY 1""",
     "geometry_last": f"WITH {_VEC} SELECT label, round(sqrt(list_inner_product(vec, vec)), 5) AS norm, len(vec)::INTEGER AS dim FROM v QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1",

@@ -58,17 +58,32 @@ def running_quota(stream: DataFrame, target: int) -> DataFrame:
     return stream.select("sample_id", "score").groupBy("sample_id").applyInPandasWithState(step, _OUT, "correct bigint, wrong bigint", "update", "NoTimeout")
 
 
-def drained(stream: DataFrame, tag: str) -> DataFrame:
-    """Run an appending stream over all that is there now into a written table of the shared scratch folder and return its scan."""
+def drained(stream: DataFrame, tag: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now into a written table of the shared scratch folder and return its scan.
+
+    In mode "complete" each batch writes the whole result, and the last one counts; a batch
+    that is repeated after a failure overwrites its own.
+    """
     spark = stream.sparkSession
     path, mark = scratch_path(spark, tag), scratch_path(spark, f"{tag}-mark")
-    query = stream.writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(path)
+    writer, last = stream.writeStream.option("checkpointLocation", mark).trigger(availableNow=True), []
+    if mode == "complete":
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/{number}")
+            last.append(number)
+
+        query = writer.outputMode("complete").foreachBatch(keep).start()
+    else:
+        query = writer.format("parquet").outputMode(mode).start(path)
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if mode == "complete" and not last:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[-1]}" if last else path)
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now into an in-memory table and return it (for tests and small reports)."""
+    """Run a stream over all that is there now into an in-memory table of the driver and return it: for tests only."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import naming, prompts
 from pathloom.operators import reports
-from pathloom.sources import datasets, readers, sinks
+from pathloom.sources import arrays, datasets, readers, sinks
 
 
 def test_write_once(spark, tmp_path):
@@ -84,3 +85,28 @@ def test_layerwise_overlap(spark):
     df = spark.createDataFrame(rows, "program_id string, slot int, sample_id string, vec array<double>")
     got = {(r.program_id, r.slot, r.base_slot): r.overlap for r in reports.layerwise_overlap(reports.slot_neighbours(df, 5, 30), 5).collect()}
     assert got["baseline", 0, 0] == got["baseline", 1, 0] == got["other", 0, 1] == 1.0 and got["other", 1, 0] < 0.9
+
+
+def test_archives_are_read_by_member(spark, tmp_path):
+    x = np.arange(24, dtype=np.float32).reshape(4, 3, 2)
+    np.savez_compressed(tmp_path / "a.npz", sample_ids=np.array(["s0", "s1", "s2", "s3"]), pooled=x, other=np.zeros(7))
+    (tmp_path / "sub").mkdir()
+    np.savez_compressed(tmp_path / "sub" / "b.npz", sample_ids=np.array(["t0"]), pooled=np.ones((1, 3, 2)))
+    ids = arrays.read_npz(spark, str(tmp_path), "sample_ids")
+    assert ids.columns == ["file", "position", "sample_ids"] and {r.sample_ids for r in ids.collect()} == {"s0", "s1", "s2", "s3", "t0"}
+    rows = {r.sample_ids: r.pooled for r in arrays.read_npz(spark, str(tmp_path), "sample_ids", ["pooled"]).collect()}
+    assert rows["s2"] == x[2].ravel().tolist() and rows["t0"] == [1.0] * 6
+    order = spark.createDataFrame([("t0", 0), ("s3", 1), ("none", 2)], "sample_ids string, place int")
+    assert [r.sample_ids for r in arrays.read_npz(spark, str(tmp_path), "sample_ids", ["pooled"], order).orderBy("place").collect()] == ["t0", "s3"]
+    with pytest.raises(Exception, match="7 rows for 4 samples"):
+        arrays.read_npz(spark, str(tmp_path), "sample_ids", ["other"]).collect()
+    (tmp_path / "empty").mkdir()
+    assert arrays.read_npz(spark, str(tmp_path / "empty"), "sample_ids").count() == 0
+
+
+def test_chat_turns(spark):
+    df = spark.createDataFrame([("Qwen3-8B",), ("qwen1_5-moe-a2.7b-chat",), ("Qwen2.5-3B-Instruct",), ("Qwen2.5-3B",), ("other",), (None,)], "name string")
+    rows = df.select("name", prompts.model_family(F.col("name")).alias("f"), prompts.model_depth(F.col("name")).alias("d"), prompts.chat(F.col("name"), F.lit("q")).alias("c")).collect()
+    assert [(r.f, r.d) for r in rows] == [("qwen3", 36), ("qwen1.5-moe", 24), ("qwen2.5", 36), (None, 36), (None, None), (None, None)]
+    assert rows[0].c == "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n"
+    assert rows[2].c.startswith("<|im_start|>system\nYou are a helpful assistant.<|im_end|>\n") and rows[2].c.endswith("assistant\n") and rows[3].c == rows[4].c == "q"

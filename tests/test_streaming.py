@@ -28,6 +28,10 @@ def test_windows_and_quota(spark, tmp_path):
     schema = spark.read.parquet(path).schema
     w = resume.drain(resume.windowed_counts(resume.record_stream(spark, path, schema), "written_at", "10 minutes", "5 minutes", "sample_id"), "win", str(tmp_path / "m1"), "complete")
     assert sorted(r.n for r in w.collect()) == [10, 10, 10]
+    whole = resume.drained(resume.windowed_counts(resume.record_stream(spark, path, schema), "written_at", "10 minutes", "5 minutes", "sample_id"), "windows", "complete")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, w.collect()))
+    none = resume.drained(resume.windowed_counts(resume.record_stream(spark, path, schema).filter("score > 5"), "written_at", "10 minutes", "5 minutes", "sample_id"), "windows", "complete")
+    assert none.count() == 0
     q = resume.drain(resume.running_quota(resume.record_stream(spark, path, schema), 15), "quota", str(tmp_path / "m2"), "update")
     last = q.collect()[-1]
     assert (last.seen, last.correct, last.wrong, last.reached) == (30, 15, 15, True)
