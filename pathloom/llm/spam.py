@@ -16,6 +16,7 @@ more than half of its words lie in such lines and windows.
 from __future__ import annotations
 
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import written
 from .overlap import _spread
-from .text import form, words
+from .text import MARKS, form, words
 
 #: Words of a phrase shingle.
 PHRASE = 5
@@ -55,7 +56,8 @@ _PRODUCT = re.compile(r"(?i)\bsku\W?\d+|\S\s[>»›]\s\S+(?:\s\S+){0,3}\s[>»›
 _TAGS = re.compile(r"^\s*#?\w{3,12}:(?:\s*[\w-]+\s*[,;]){3,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
 _ENDED = re.compile(r"[.!?…][\"'”’)\]]*\s*$")
-_TOKEN = re.compile(r"[^\W_]+")
+_SEPARATORS = str.maketrans(dict.fromkeys(string.punctuation + MARKS, " "))
+_ASCII_SEPARATORS = bytes(32 if chr(k) in string.punctuation else k for k in range(256))
 _NUMBER = re.compile(r"^[^A-Za-z]*\d[\d.,:/%x=_-]*$")
 
 
@@ -84,33 +86,43 @@ def leader(tokens: list[str]) -> tuple[str, float]:
     return word, counts[word] / len(tokens)
 
 
-def sentence_words(text: str, lead: str = "") -> int:
-    """Words in real sentences: pieces of 4 to 60 words that end with a full stop, question or exclamation mark and aren't led by one word.
+def _tokens(line: str) -> list[str]:
+    """Runs of letters and digits in lower case, for counting only."""
+    if line.isascii():  # a table of bytes is much faster
+        return line.lower().encode("ascii").translate(_ASCII_SEPARATORS).decode("ascii").split()
+    return line.lower().translate(_SEPARATORS).split()
 
-    ``lead`` leads the page; a line of some length may have its own leader.
-    """
-    led = {lead} if lead else set()
-    for line in text.splitlines():
-        own = _TOKEN.findall(line.lower())
-        if len(own) >= LEAST_WORDS and len(set(own)) <= len(own) * (1 - LED) + 1:  # else no word can come that often
-            word, share = leader(own)
-            if share >= LED:
-                led.add(word)
+
+def line_leader(tokens: list[str]) -> str:
+    """The word that leads a line of some length, or nothing."""
+    if len(tokens) < LEAST_WORDS or len(set(tokens)) > len(tokens) * (1 - LED) + 1:  # else no word can come that often
+        return ""
+    word, share = leader(tokens)
+    return word if share >= LED else ""
+
+
+def page_leader(tokens: list[str]) -> str:
+    """The word that leads a whole page, or nothing."""
+    word, share = leader(tokens) if len(tokens) >= LEAST_WORDS else ("", 0.0)
+    return word if share >= LEAD else ""
+
+
+def sentence_words(text: str, led: set[str] = frozenset()) -> int:
+    """Words in real sentences: pieces of 4 to 60 words that end with a full stop, question or exclamation mark and that no word of ``led`` leads."""
     total = 0
     for piece in _SENTENCE.split(text):
         n = len(piece.split())
         if 4 <= n <= 60 and _ENDED.search(piece):
-            w = _TOKEN.findall(piece.lower()) if led else ()
+            w = _tokens(piece) if led else ()
             if not any(w.count(x) >= LED * len(w) for x in led):
                 total += n
     return total
 
 
-def page_leader(text: str) -> str:
-    """The word that leads the whole text, or nothing."""
-    own = _TOKEN.findall(text.lower())
-    word, share = leader(own) if len(own) >= LEAST_WORDS else ("", 0.0)
-    return word if share >= LEAD else ""
+def page_sentences(text: str) -> int:
+    """Words in real sentences of a whole page."""
+    rows = [_tokens(x) for x in text.splitlines()]
+    return sentence_words(text, {x for x in (page_leader([y for r in rows for y in r]), *map(line_leader, rows)) if x})
 
 
 def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]]]]:
@@ -122,7 +134,9 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
         if t:
             lines.append(x)
             split.append(t)
-    lead = page_leader("\n".join(lines))
+    tokens = [_tokens(x) for x in lines]
+    lead = page_leader([y for row in tokens for y in row])
+    leads = [{x for x in (lead, line_leader(row)) if x} for row in tokens]
     kinds = [line_kind(x, t) for x, t in zip(lines, split, strict=True)]
     for k, kind in enumerate(kinds):  # bare words between links or tags belong to that list
         if kind == "short" and any(kinds[j] in ("link", "tag") for j in (k - 1, k + 1) if 0 <= j < len(kinds)):
@@ -142,23 +156,25 @@ def page_evidence(text: str) -> tuple[int, int, list[tuple[int, float, list[str]
 
     def close() -> None:
         # one block: lines in a row of which none is mostly sentences
-        if block and sum(len(t) for t, _ in block) >= LEAST_WORDS and sentence_words("\n".join(x for _, x in block), lead) < 0.5 * sum(len(t) for t, _ in block):
-            w = [y for _, x in block for y in words(x)]
+        size = sum(len(split[k]) for k in block)
+        if size >= LEAST_WORDS and sentence_words("\n".join(lines[k] for k in block), set().union(*(leads[k] for k in block))) < 0.5 * size:
+            w = [y for k in block for y in words(lines[k])]
             if len(w) >= LEAST_WORDS and sum(bool(_NUMBER.match(y)) for y in w) <= 0.2 * len(w):
                 n = max(1, round(len(w) / WINDOW))
                 cut = [len(w) * j // n for j in range(n + 1)]
                 windows.extend((b - a, 1 - len(set(w[a:b])) / (b - a), w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True))
         block.clear()
 
-    for line, t, kind in zip(lines, split, kinds, strict=True):
-        total += len(t)
+    for k, kind in enumerate(kinds):
+        n = len(split[k])
+        total += n
         if kind in ("link", "tag", "product", "listed"):
-            listed += len(t)
+            listed += n
             close()
-        elif 2 * sentence_words(line, lead) >= len(t):
+        elif 2 * sentence_words(lines[k], leads[k]) >= n:
             close()
         else:
-            block.append((t, line))
+            block.append(k)
     close()
     return total, listed, windows
 
@@ -169,14 +185,13 @@ _MASK = np.uint64(0x5851F42D4C957F2D)
 
 
 def _word_hashes(w: list[str], known: dict[str, int]) -> list[int]:
-    out = []
-    for x in w:
-        h = known.get(x)
-        if h is None:
-            if len(known) > 300_000:
-                known.clear()
-            h = known[x] = xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))
-        out.append(h)
+    out = list(map(known.get, w))
+    if None in out:
+        if len(known) > 300_000:
+            known.clear()
+        for k, h in enumerate(out):
+            if h is None:
+                out[k] = known[w[k]] = xxhash.xxh64_intdigest(w[k].encode("utf-8", "surrogatepass"))
     return out
 
 
@@ -225,7 +240,7 @@ def pages(documents: DataFrame) -> DataFrame:
             out = []
             for i, host, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "host", "text")), strict=True):
                 n, listed, windows = page_evidence(text or "")
-                if any(x[1] < STRAY for x in windows) and 2 * sentence_words(text if text.isascii() else form(text), page_leader(text)) >= n:
+                if any(x[1] < STRAY for x in windows) and 2 * page_sentences(text if text.isascii() else form(text)) >= n:
                     windows = [x for x in windows if x[1] >= STRAY]
                 lines = sum(not x.isspace() and x != "" for x in (text or "").splitlines())
                 out.append({"doc_id": i, "host": host, "n": n, "lines": lines, "listed": listed, "windows": [_window(*x, known) for x in windows]})
@@ -297,4 +312,4 @@ def spam_pages(documents: DataFrame) -> DataFrame:
     return s.filter(((F.col("n_words") >= LEAST_WORDS) | (F.col("lines") > 1)) & (2 * (F.col("list_words") + F.col("stuffed_words")) > F.col("n_words"))).select("doc_id").distinct()
 
 
-__all__ = ["line_kind", "page_evidence", "pages", "sentence_words", "spam_pages", "spam_scores"]
+__all__ = ["line_kind", "page_evidence", "page_sentences", "pages", "sentence_words", "spam_pages", "spam_scores"]
