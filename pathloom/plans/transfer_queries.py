@@ -78,6 +78,14 @@ def geometry_knn(spark, sf_dir):
     return geometry.nearest(v, _asked(v), 10)
 
 
+def geometry_knn_index(spark, sf_dir):
+    """How many of the exact neighbours the index finds; these vectors have no groups, so most lists are looked into."""
+    v = _vectors(spark, sf_dir)
+    got, exact = geometry.nearest_indexed(v, _asked(v), 10, probes=0.7), geometry.nearest(v, _asked(v), 10)
+    hit = got.join(exact.select("query_id", "neighbor_id", F.lit(1).alias("hit")), ["query_id", "neighbor_id"], "left")
+    return hit.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.count("hit").alias("exact"))
+
+
 def geometry_mutual_knn(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     a, b = (geometry.nearest(v, _asked(v), 10, vec_col=c) for c in ("first", "second"))
@@ -120,7 +128,7 @@ def geometry_layerwise(spark, sf_dir):
 
 QUERIES = (
     transfer_programs, geometry_layerwise, transfer_metrics, transfer_by_difficulty, transfer_select, transfer_select_by_difficulty, transfer_bootstrap, transfer_verdict, transfer_single_layer, split_counts_pivot, outcome_transitions,
-    geometry_groups, geometry_knn, geometry_mutual_knn, geometry_cka, geometry_norm, geometry_plane, geometry_pooled, geometry_last,
+    geometry_groups, geometry_knn, geometry_knn_index, geometry_mutual_knn, geometry_cka, geometry_norm, geometry_plane, geometry_pooled, geometry_last,
 )
 
 _U = """u AS (SELECT * FROM universal_record WHERE status = 'complete' QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY record_digest) = 1),

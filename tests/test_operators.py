@@ -341,3 +341,17 @@ def test_a_sound_run_breaks_no_rule(spark):
     assert records.validated(m, s, u, c).collect() == []
     bad = {(r.stage, r.rule): r.n for r in records.validated(m, s.withColumn("question", F.lit("other")).withColumn("status", F.lit("failed")), u, c).collect()}
     assert bad == {("source", "question"): 1, ("record", "failed_without_reason"): 1, ("merge", "failed"): 1}
+
+
+def test_indexed_neighbours(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(30, 16))
+    x = middle[rng.integers(0, 30, 1500)] + 0.3 * rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)], "vec_id long, vec array<double>")
+    q = df.filter("vec_id % 20 = 0 or vec_id = 9999")
+    exact = {(r.query_id, r.neighbor_id, r.rank) for r in geometry.nearest(df, q, 5).collect()}
+    pairs = lambda s: {x[:2] for x in s}
+    found = {(r.query_id, r.neighbor_id, r.rank) for r in geometry.nearest_indexed(df, q, 5, probes=0.15).collect()}
+    assert len(exact) == 375 and len(pairs(found) & pairs(exact)) >= 0.95 * len(exact)
+    assert {(r.query_id, r.neighbor_id, r.rank) for r in geometry.nearest_indexed(df, q, 5, lists=7, probes=1.0, fit_rows=100).collect()} == exact
+    assert geometry.nearest_indexed(df.limit(0), q, 5).count() == 0 and geometry.nearest_indexed(df, q.limit(0), 5).count() == 0
