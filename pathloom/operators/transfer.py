@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import digest_of
 from ..functions.paths import KEEP, layer_actions
 from .ranking import first_by
 from .records import DEPTH
@@ -94,6 +99,29 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42) -> DataF
     return sorted_.select("split", "candidate_id", pick(0.025).alias("gain_low"), pick(0.975).alias("gain_high"))
 
 
+def bootstrap_counts(scores: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """``bootstrap`` for any number of questions: each resample draws how many deltas are -1 and 1 at once, from the counts of all.
+
+    The draws are those of resampling n questions with replacement, made by a generator that
+    is seeded with (seed, split); nothing grows with the number of questions.
+    """
+    delta = F.col("score") - F.col("baseline")
+    counts = scores.groupBy("split", "candidate_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(delta < 0).alias("worse"), F.count_if(delta > 0).alias("better"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = [], []
+            for split, n, worse, better in zip(*(batch.column(c).to_pylist() for c in ("split", "n", "worse", "better")), strict=True):
+                rng = np.random.Generator(np.random.PCG64(int(digest_of([seed, split])[:16], 16)))
+                drawn = rng.multinomial(n, [worse / n, better / n, (n - worse - better) / n], size=resamples)
+                means = np.sort((drawn[:, 1] - drawn[:, 0]) / n)
+                low.append(round(float(means[int(0.025 * (resamples - 1))]), ROUND))
+                high.append(round(float(means[int(0.975 * (resamples - 1))]), ROUND))
+            yield pa.RecordBatch.from_arrays([batch.column("split"), batch.column("candidate_id"), pa.array(low, pa.float64()), pa.array(high, pa.float64())], names=["split", "candidate_id", "gain_low", "gain_high"])
+
+    return counts.mapInArrow(run, "split string, candidate_id string, gain_low double, gain_high double")
+
+
 def verdict(chosen: DataFrame, interval: DataFrame) -> DataFrame:
     """(candidate_id, validation_robust, held_out_robust, test_interval_excludes_zero)."""
     low = interval.filter("split = 'test'").select("candidate_id", "gain_low")

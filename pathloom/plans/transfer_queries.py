@@ -43,6 +43,10 @@ def transfer_bootstrap(spark, sf_dir):
     return transfer.bootstrap(_chosen_scores(spark, sf_dir), 200)
 
 
+def transfer_bootstrap_counts(spark, sf_dir):
+    return transfer.bootstrap_counts(_chosen_scores(spark, sf_dir))
+
+
 def transfer_verdict(spark, sf_dir):
     s = _scores(spark, sf_dir)
     return transfer.verdict(transfer.selected(transfer.metrics(s), _candidates(spark, sf_dir)), transfer.bootstrap(_chosen_scores(spark, sf_dir), 200))
@@ -127,7 +131,7 @@ def geometry_layerwise(spark, sf_dir):
 
 
 QUERIES = (
-    transfer_programs, geometry_layerwise, transfer_metrics, transfer_by_difficulty, transfer_select, transfer_select_by_difficulty, transfer_bootstrap, transfer_verdict, transfer_single_layer, split_counts_pivot, outcome_transitions,
+    transfer_programs, geometry_layerwise, transfer_metrics, transfer_by_difficulty, transfer_select, transfer_select_by_difficulty, transfer_bootstrap, transfer_bootstrap_counts, transfer_verdict, transfer_single_layer, split_counts_pivot, outcome_transitions,
     geometry_groups, geometry_knn, geometry_knn_index, geometry_mutual_knn, geometry_cka, geometry_norm, geometry_plane, geometry_pooled, geometry_last,
 )
 

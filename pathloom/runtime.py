@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by ``written`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"-{os.getpid()}-" in folder.rpartition("/")[2]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_local(master: str) -> bool:
     """Whether all executors of ``master`` are threads of one process on this machine."""
     return re.fullmatch(r"local(\[.*\])?", master) is not None

@@ -355,3 +355,13 @@ def test_indexed_neighbours(spark):
     assert len(exact) == 375 and len(pairs(found) & pairs(exact)) >= 0.95 * len(exact)
     assert {(r.query_id, r.neighbor_id, r.rank) for r in geometry.nearest_indexed(df, q, 5, lists=7, probes=1.0, fit_rows=100).collect()} == exact
     assert geometry.nearest_indexed(df.limit(0), q, 5).count() == 0 and geometry.nearest_indexed(df, q.limit(0), 5).count() == 0
+
+
+def test_bootstrap_by_counts_agrees_with_single_draws(spark):
+    rows = [("test", "c", float(k % 3 == 0), float(k % 2 == 0)) for k in range(300)] + [("validation", "c", 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "split string, candidate_id string, baseline double, score double")
+    one, many = ({r.split: (r.gain_low, r.gain_high) for r in f(df, 1000).collect()} for f in (transfer.bootstrap, transfer.bootstrap_counts))
+    assert one["validation"] == many["validation"] == (0.0, 0.0)
+    assert all(abs(a - b) < 0.03 for a, b in zip(one["test"], many["test"], strict=True)) and many["test"][0] < 1 / 6 < many["test"][1]
+    assert {r.split: (r.gain_low, r.gain_high) for r in transfer.bootstrap_counts(df.repartition(5), 1000).collect()} == many
+    assert transfer.bootstrap_counts(df.limit(0)).count() == 0

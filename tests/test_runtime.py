@@ -47,3 +47,12 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     got = sorted((r.k, r.x, r.y) for r in runtime.hot_joined(rows, other, ["k"]).collect())
     assert got == sorted([(1, k, y) for k in range(95) for y in "ab"] + [(2, 200, "c")])
     assert runtime.hot_joined(rows.limit(0), other, ["k"]).count() == 0
+
+
+def test_a_written_table_can_be_discarded(spark):
+    a, b = runtime.written(spark.range(5), "gone"), runtime.written(spark.range(7), "kept")
+    files = a.inputFiles()
+    runtime.discard(a)
+    assert b.count() == 7 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        a.count()
