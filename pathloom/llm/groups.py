@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import written
+from ..runtime import discard, written
 from .neardup import THRESHOLD
 from .overlap import similar_classes, written_tokens
 
@@ -26,6 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         hop = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = written(step.join(hop, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "labels")
+        discard(labels)
         if new.filter("label <> old").isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
