@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table, written
-from . import copies, groups, leakage, neardup, packing, sampling, spam, unify
+from . import copies, groups, leakage, neardup, oracle, packing, sampling, spam, unify
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ _RATE = f"CASE {_STRATUM} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.
 
 def oracle_sql() -> dict[str, str]:
     hit = f"{_FRACTION} < {_RATE}"
-    return {
+    return oracle.oracle_sql() | {
         "p3_sample": f"""
             SELECT sample_id, global_index, split, difficulty, prepared_at FROM manifest
             WHERE sample_id IN (SELECT sample_id FROM manifest WHERE sample_id IS NOT NULL AND {hit})""",
