@@ -59,12 +59,24 @@ def oracle_sql() -> dict[str, str]:
     keyed = f"""keyed AS (SELECT tab, id, bare AS k FROM txt WHERE tab IN ('raw_question', 'manifest')
         UNION ALL SELECT 'raw_line', line_id, {kinds} || '|' || coalesce(string_agg(tab || '=' || bare, '|' ORDER BY tab), '') FROM ({line}) l LEFT JOIN txt ON txt.id = line_id AND tab IN ({", ".join(map(_literal, texts))}) GROUP BY line_id, payload)"""
     grams = "SELECT DISTINCT id, array_to_string(w[i : i + 11], ' ') AS gram FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM txt WHERE tab = '{}' AND len(w) >= 12)"
-    return {
-        "p1_found": f"""
+    p1_found = f"""
             WITH {words_sql(f"SELECT 'manifest' AS tab, id, text FROM ({_SIDES})")}, sides AS (SELECT DISTINCT id, side FROM ({_SIDES})), {NEAR_SQL},
               same AS (SELECT a.r AS ra, b.r AS rb FROM txt a JOIN txt b ON a.bare = b.bare AND a.r < b.r),
               pairs AS (SELECT a.id AS x, b.id AS y FROM (SELECT * FROM near UNION SELECT * FROM same) JOIN txt a ON a.r = ra JOIN txt b ON b.r = rb)
-            SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM pairs JOIN sides s ON s.id = x JOIN sides t ON t.id = y WHERE x <> y AND s.side <> t.side""",
+            SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM pairs JOIN sides s ON s.id = x JOIN sides t ON t.id = y WHERE x <> y AND s.side <> t.side"""
+    return {
+        "p1_found": p1_found,
+        "p1_overlap_report": f"""
+            WITH pr AS ({p1_found}), ends AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM pr UNION ALL SELECT id_b FROM pr) GROUP BY 1),
+              rec AS (SELECT global_index::BIGINT AS id, min(split) AS split, min(CASE WHEN contains(source_query_id, '/') THEN regexp_extract(source_query_id, '^(.*)/', 1) ELSE 'unknown' END) AS source
+                      FROM manifest WHERE split IN ('validation', 'test') GROUP BY 1)
+            SELECT split, source, count(*) AS records, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM rec LEFT JOIN ends USING (id) GROUP BY 1, 2""",
+        "p2_groups": f"""
+            WITH RECURSIVE {words_sql(_QUESTIONS)}, {NEAR_SQL}, node AS (SELECT r, tab, id, bare, tab || ':' || array_to_string(w, ' ') AS node FROM txt),
+              edge AS (SELECT DISTINCT a.node AS a, b.node AS b FROM near JOIN node a ON a.r = ra JOIN node b ON b.r = rb WHERE a.bare <> b.bare), two AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+              reach AS (SELECT DISTINCT a AS n, a AS m FROM two UNION SELECT reach.n, two.b FROM reach JOIN two ON two.a = reach.m),
+              member AS (SELECT tab, id, l, links FROM node JOIN (SELECT n, min(m) AS l FROM reach GROUP BY 1) ON n = node JOIN (SELECT a, count(DISTINCT b) AS links FROM two GROUP BY 1) ON a = node)
+            SELECT tab, id, min(group_id) AS group_id, max(links)::BIGINT AS links FROM member JOIN (SELECT l, min(id) AS group_id FROM member GROUP BY 1) USING (l) GROUP BY 1, 2""",
         "p2_found": f"""
             WITH {words_sql(_QUESTIONS)}, {NEAR_SQL}
             SELECT DISTINCT a.tab AS tab, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM near JOIN txt a ON a.r = ra JOIN txt b ON b.r = rb WHERE a.bare <> b.bare AND a.id <> b.id""",
