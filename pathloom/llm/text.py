@@ -9,7 +9,6 @@ computes the same form relationally.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata as ud
 
 #: Letters of other alphabets that are drawn like a Latin letter (fixed values).
@@ -41,9 +40,9 @@ def _shape(ch: str) -> str:
     kind, dec = ud.category(ch), ud.decomposition(ch)
     if kind in ("Zs", "Zl", "Zp"):
         return " "
-    if kind == "Cf" or ch in "͏ᅟᅠ឴឵ㅤﾠ" or ud.name(ch, "").startswith("VARIATION SELECTOR"):
+    if kind == "Cf" or ch in "͏ᅟᅠ឴឵ㅤﾠ" or kind == "Mn" and ud.name(ch, "").startswith("VARIATION SELECTOR"):
         return ""
-    if dec.startswith(_SHAPES) or "LIGATURE" in ud.name(ch, "") and "LATIN" in ud.name(ch, "") and dec.startswith("<compat>"):
+    if dec.startswith(_SHAPES) or dec.startswith("<compat>") and "LIGATURE" in ud.name(ch, "") and "LATIN" in ud.name(ch, ""):
         plain = "".join(_shape(c) if c != ch else c for c in "".join(chr(int(x, 16)) for x in dec.split()[1:]))
         return plain
     return ch
@@ -57,14 +56,15 @@ def _decompose(ch: str) -> str:
     return now
 
 
+#: The planes with characters: 0 to 3 and 14, without surrogates. The others are unassigned or for private use.
+_POINTS = [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)]
+
+
 def _tables() -> tuple[dict[str, str], dict[str, str], str]:
     """(character -> decomposed plain form where they differ, decomposed cluster -> composed character, all combining marks)."""
     plain, composed, marks = {}, {}, []
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3:
-            continue
-        ch = chr(cp)
-        if ud.category(ch) in ("Cn", "Co"):
+    for ch in map(chr, _POINTS):
+        if "\uac00" <= ch <= "\ud7a3" or ud.category(ch) in ("Cn", "Co"):
             continue
         if ud.combining(ch):
             marks.append(ch)
@@ -82,7 +82,7 @@ PLAIN, COMPOSED, COMBINING = _tables()
 
 #: Unicode's primary compositions of two characters: first + second -> composed character.
 PAIRS = {}
-for _ch in map(chr, (cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp <= 0xDFFF)):
+for _ch in map(chr, _POINTS):
     _dec = ud.decomposition(_ch)
     if _dec and not _dec.startswith("<") and " " in _dec and ud.normalize("NFC", _ch) == _ch:
         PAIRS["".join(chr(int(x, 16)) for x in _dec.split())] = _ch
