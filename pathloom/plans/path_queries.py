@@ -154,7 +154,24 @@ _LABEL = f"""{_S}, obs AS (SELECT difficulty, unnest(coalesce(final_valid_transi
                     UNION ALL SELECT difficulty, unnest(coalesce(final_invalid_transitions, [])), FALSE FROM s WHERE split = 'train'),
     lab AS (SELECT difficulty, path, substr(sha256({_P.format('path')}), 1, 16) AS candidate_id, len(path) AS length, bool_or(good) AS correct FROM obs GROUP BY 1, 2),
     c AS (SELECT *, ('0x' || substr(candidate_id, 1, 7))::INTEGER AS evaluation_index, len(list_distinct(path)) AS n_layers FROM lab WHERE correct)"""
+_BEAM = """
+    e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+    st AS (SELECT id, v, [0] || list_filter(range(1, 28), lambda i: 1 / (1 + exp(-3 * v[i + 1])) >= 0.5) || [28] AS starts FROM e),
+    cu AS (SELECT id, v, list_sort(flatten(list_transform(range(1, len(starts)), lambda k: range(starts[k], starts[k + 1], 4)))) || [28] AS cuts FROM st),
+    sg AS (SELECT id, v, n, cuts[n]::INTEGER AS a, (cuts[n + 1] - cuts[n])::INTEGER AS size FROM cu, range(1, 29) r(n) WHERE n < len(cuts)),
+    op AS (SELECT id, n, a, size, o, l - greatest(v[a + 2], v[a + 18], v[a + 34]) - ln(exp(v[a + 2] - greatest(v[a + 2], v[a + 18], v[a + 34])) + exp(v[a + 18] - greatest(v[a + 2], v[a + 18], v[a + 34]))
+                  + exp(v[a + 34] - greatest(v[a + 2], v[a + 18], v[a + 34]))) AS logp
+           FROM (SELECT *, unnest([0, 1, 2]) AS o, unnest([v[a + 2], v[a + 18], v[a + 34]]) AS l FROM sg)),
+    top AS (SELECT *, row_number() OVER (PARTITION BY id, n ORDER BY logp DESC, o) AS choice FROM op QUALIFY choice <= 2),
+    bm AS (SELECT id, 0::BIGINT AS n, 0.0::DOUBLE AS score, []::INTEGER[] AS path, 0 AS length, 1::BIGINT AS place FROM e
+           UNION ALL
+           SELECT id, n, score, path, length, place FROM (
+             SELECT top.id, top.n, bm.score + logp AS score, bm.path || CASE o WHEN 0 THEN []::INTEGER[] WHEN 1 THEN range(a, a + size)::INTEGER[] ELSE (range(a, a + size) || range(a, a + size))::INTEGER[] END AS path, bm.length + o * size AS length,
+                    row_number() OVER (PARTITION BY top.id ORDER BY bm.score + logp DESC, bm.place, choice) AS place FROM bm JOIN top ON top.id = bm.id AND top.n = bm.n + 1) WHERE place <= 5),
+    bs AS (SELECT bm.*, place::INTEGER AS rank FROM bm JOIN cu ON cu.id = bm.id AND bm.n = len(cuts) - 1)"""
 SQL = {
+    "beam_decode": f"WITH RECURSIVE {_BEAM} SELECT id AS sample_id, rank, round(score, 6) AS score, {_P.format('path')} AS path FROM bs",
+    "beam_rerank": f"""WITH RECURSIVE {_BEAM} SELECT id AS sample_id, row_number() OVER (PARTITION BY id ORDER BY round(score - 0.1::DOUBLE * length, 9) DESC, rank)::INTEGER AS new_rank, rank, length::INTEGER AS length FROM bs QUALIFY new_rank <= 2""",
     "path_layer_actions": f"WITH {_E} SELECT {_P.format('path')} AS path, array_to_string(list_transform({_N}, lambda n: CASE n WHEN 0 THEN 'skip' WHEN 1 THEN 'keep' ELSE 'loop' END), ',') AS actions FROM p WHERE list_max({_N}) <= 2",
     "path_from_actions": f"WITH {_E} SELECT {_P.format('path')} AS path, {_P.format('list_sort(path)')} AS layer_path FROM p WHERE list_max({_N}) <= 2 AND len(path) > 0",
     "path_counts": f"WITH {_E} SELECT {_P.format('path')} AS path, array_to_string({_N}, ',') AS counts FROM p",
