@@ -292,6 +292,15 @@ def near_leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, within:
     return found.groupBy("doc_id", "item_id").agg(F.max("n_terms").alias("n_terms"))
 
 
+def leaks_and_near(documents: DataFrame, items: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, item_id, n_words) of ``leaks`` and (doc_id, item_id, n_terms) of ``near_leaks`` from one index, written once."""
+    pair = ["doc_id", "item_id"]
+    both = lambda *x: phrase_matches(*x, span).select(*pair, "n_words", F.lit(0).alias("n_terms")).union(near_matches(*x, span).select(*pair, F.lit(0).alias("n_words"), "n_terms"))
+    found = _in_parts(documents, items, span, both, "doc_id bigint, item_id bigint, n_words bigint, n_terms bigint")
+    most = written(found.groupBy(*pair).agg(F.max("n_words").alias("n_words"), F.max("n_terms").alias("n_terms")), "leaks")
+    return most.filter("n_words > 0").select(*pair, "n_words"), most.filter("n_terms > 0").select(*pair, "n_terms")
+
+
 def leaked_pairs(documents: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, item_id) that share at least ``span`` consecutive words."""
     return leaks(documents, items, span, whole=False).select("doc_id", "item_id").distinct()

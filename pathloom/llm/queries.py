@@ -86,7 +86,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, documents = table(spark, sf_dir, "heldout_item"), table(spark, sf_dir, "documents")
-    return leakage.leak_report(leakage.leaks(documents, items), items, leakage.near_leaks(documents, items))
+    exact, near = leakage.leaks_and_near(documents, items)
+    return leakage.leak_report(exact, items, near)
 
 
 def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:

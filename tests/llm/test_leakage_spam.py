@@ -101,6 +101,10 @@ def test_an_edit_in_every_run_leaves_a_proximity_match(spark):
     assert {tuple(r) for r in leakage.leaked_pairs(docs, items).collect()} == {(2, 7)}
     assert {r.doc_id for r in leakage.near_leaks(docs, items).collect()} == {1, 2}
     assert [tuple(r) for r in leakage.leak_report(leakage.leaks(docs, items), items, leakage.near_leaks(docs, items)).collect()] == [(7, "b", "test", 1, 30, 1)]
+    exact, near = leakage.leaks_and_near(docs, items)
+    assert [tuple(r) for r in leakage.leak_report(exact, items, near).collect()] == [(7, "b", "test", 1, 30, 1)]
+    none = leakage.leaks_and_near(docs.limit(0), items)
+    assert [tuple(r) for r in leakage.leak_report(none[0], items, none[1]).collect()] == [(7, "b", "test", 0, 0, 0)]
 
 
 def test_items_beyond_the_bound_are_taken_in_parts(spark, monkeypatch):
